@@ -8,6 +8,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_hpy_lm(spark, sf_dir):
+    from .hpy_lm import score_texts
+
+    held = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 7 == 2
+    found = score_texts(table(spark, sf_dir, "documents"), ~held)
+    return found.withColumn("held_out", ~F.col("train")).drop("train")
+
+
 def op3_simhash_dedup(spark, sf_dir):
     from .simhash_dedup import near_duplicates
 

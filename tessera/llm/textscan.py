@@ -24,14 +24,15 @@ def mix(x):
     return x ^ (x >> U(33))
 
 
-def slices(batch, text, limit=CHUNK):
-    """Consecutive slices of a record batch holding at most ``limit`` text bytes, or one row."""
+def slices(batch, text, limit=CHUNK, rows=30_000):
+    """Consecutive slices of a record batch: at most ``rows`` rows and ``limit`` text bytes, or one row."""
     size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     ends = np.cumsum(size)
     at = 0
     while at < len(size):
         done = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
+        stop = min(stop, at + rows)
         yield batch.slice(at, stop - at)
         at = stop
 
