@@ -8,6 +8,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark, sf_dir):
+    from .toxicity import corpus_chain, score_toxicity
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return score_toxicity(docs, corpus_chain(docs, table(spark, sf_dir, "labels"))).drop("text")
+
+
 def op2_hpy_lm(spark, sf_dir):
     from .hpy_lm import score_texts
 
