@@ -30,6 +30,14 @@ def op3_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op10_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 

@@ -125,20 +125,56 @@ def codepoints(texts):
     return joined, points, np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
 
 
-def contractions(points, kinds, first):
-    """Where an apostrophe that opens a match takes one or two of the letters after it: (places, letters)."""
+def contractions(points, first, opens):
+    """Where an apostrophe that starts a match takes one or two letters: (places, letters).
+
+    first: where matches start; opens: where documents start, which a match never crosses.
+    """
+    wide, shut = np.append(points, [0, 0]), np.append(opens, [True, True])
     at = np.flatnonzero(first & (points == 39))
-    at = at[at + 1 < len(points)]
-    at = at[~first[at + 1] | (kinds[at + 1] == 1)]
-    a = points[at + 1]
-    b = np.where(at + 2 < len(points), points[np.minimum(at + 2, len(points) - 1)], 0)
-    one = np.isin(a, [ord(c) for c in "stmd"])
+    a, b = wide[at + 1], wide[at + 2]
+    one = np.isin(a, [ord(c) for c in "stmd"]) & ~shut[at + 1]
     two = np.zeros(len(at), bool)
     for x, y in ("re", "ve", "ll"):
         two |= (a == ord(x)) & (b == ord(y))
+    two &= ~shut[at + 1] & ~shut[at + 2]
     return at[one | two], np.where(one, 1, 2)[one | two]
 
 
+def pieces(points, offsets, spaced):
+    """Starts and ends of the pieces that tokenizers split a text into before merging.
+
+    spaced=True: runs of letters, of numbers and of other characters, each with one leading space,
+    white space otherwise apart, so that pieces cover the text. spaced=False: white space dropped and
+    every number character alone. Both split 's 't 're 've 'm 'll 'd from what follows them.
+    """
+    n = len(points)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    kinds = classes()[points]
+    opens = np.zeros(n, bool)
+    opens[offsets[:-1][offsets[:-1] < n]] = True
+    first = opens.copy()
+    first[1:] |= kinds[1:] != kinds[:-1]
+    if spaced:
+        after = np.flatnonzero(first[1:] & (kinds[:-1] == 0) & ~opens[1:]) + 1  # ends of white space inside a text
+        first[after - 1] = True
+        first[after[points[after - 1] == 32]] = False
+    else:
+        first |= kinds == 2
+    at, letters = contractions(points, first, opens)
+    first[at + 1] = False
+    rest = at + 1 + letters
+    rest = rest[rest < n]
+    first[rest] = True
+    if not spaced:
+        first |= kinds == 0
+    starts = np.flatnonzero(first)
+    ends = np.append(starts[1:], n)
+    keep = slice(None) if spaced else kinds[starts] > 0
+    return starts[keep], ends[keep]
+
+
 def point_keys(points):
     v = points.astype(U) + U(1)
     return Keys([mix(v * U(k)) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
