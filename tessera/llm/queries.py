@@ -30,6 +30,14 @@ def op3_simhash_dedup(spark, sf_dir):
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
+def op6_byte_bpe(spark, sf_dir):
+    import public_tokenizers
+
+    from .byte_bpe import encode_documents
+
+    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_ids=False)
+
+
 def op10_packing(spark, sf_dir):
     import public_tokenizers
 
