@@ -38,6 +38,13 @@ def op6_byte_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_ids=False)
 
 
+def op8_pii(spark, sf_dir):
+    from .pii import find_pii, fit_detector
+
+    docs = table(spark, sf_dir, "documents")
+    return find_pii(docs, fit_detector(docs))
+
+
 def op10_packing(spark, sf_dir):
     import public_tokenizers
 
