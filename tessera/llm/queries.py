@@ -36,6 +36,15 @@ def op4_sharding(spark, sf_dir):
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_bitsliced_topk(spark, sf_dir):
+    from .bitsliced import topk_inner_product
+
+    finite = "embedding is not null and not exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
+    scaled = F.transform("embedding", lambda x: F.floor(x.cast("double") * 64))
+    vectors = table(spark, sf_dir, "embeddings").where(finite).select("vec_id", scaled.alias("vector"))
+    return topk_inner_product(vectors, vectors.where("vec_id % 20 = 0"), id_col="vec_id")
+
+
 def op6_byte_bpe(spark, sf_dir):
     import public_tokenizers
 
@@ -63,7 +72,21 @@ def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op5_bitsliced_topk": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS vector
+            FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (
+            SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_inner_product(q.vector, c.vector)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+        ), r AS (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+    """,
+}
 
 
 def oracle_sql():
