@@ -60,6 +60,12 @@ def op8_pii(spark, sf_dir):
     return find_pii(docs, fit_detector(docs))
 
 
+def op9_fingerprints(spark, sf_dir):
+    from .fingerprints import fingerprint_edits
+
+    return fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     import public_tokenizers
 
