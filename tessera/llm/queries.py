@@ -53,6 +53,12 @@ def op6_byte_bpe(spark, sf_dir):
     return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), keep_ids=False)
 
 
+def op7_secrets(spark, sf_dir):
+    from .secrets import find_secrets, labelled_findings, train_forest
+
+    return find_secrets(table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)), path_col="source")
+
+
 def op8_pii(spark, sf_dir):
     from .pii import find_pii, fit_detector
 
