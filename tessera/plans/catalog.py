@@ -1,9 +1,14 @@
 """Registry of the retrieval queries."""
 
+from tessera.plans import base, dimensions, scoring
+
 
 def queries():
-    return {}
+    return dict(base.QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(base.SQL)
+
+
+__all__ = ["dimensions", "oracle_sql", "queries", "scoring"]
