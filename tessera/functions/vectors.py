@@ -24,6 +24,11 @@ def floats(v) -> Column:
     return _c(v).cast("array<float>")
 
 
+def let(value, use) -> Column:
+    """use(value) with the value computed once: inside a lambda an expression is computed for every element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def total(v) -> Column:
     return F.aggregate(_c(v), F.lit(ZERO), lambda s, x: s + x)
 
@@ -47,8 +52,7 @@ def norm(v) -> Column:
 
 def normalize(v) -> Column:
     """Unit vector; a zero vector stays as it is."""
-    n = norm(v)
-    return F.transform(_c(v), lambda x: F.when(n > 0, x / n).otherwise(x))
+    return let(_c(v), lambda a: let(norm(a), lambda n: F.transform(a, lambda x: F.when(n > 0, x / n).otherwise(x))))
 
 
 def prefix(v, k: int) -> Column:
@@ -63,8 +67,7 @@ def dims(v, start: int, stop: int) -> Column:
 
 def gather(v, order) -> Column:
     """The vector's elements in the given order of 0-based dimensions."""
-    values = _c(v)
-    return F.transform(_c(order), lambda i: F.get(values, i))
+    return let(_c(v), lambda values: F.transform(_c(order), lambda i: F.get(values, i)))
 
 
 def argsort_desc(v) -> Column:
@@ -102,8 +105,7 @@ def centred_magnitude(q, mean) -> Column:
 def reflect(v, axis) -> Column:
     """Householder reflection, an orthogonal transform that keeps all inner products."""
     a = _c(axis)
-    factor = 2 * dot(v, a) / dot(a, a)
-    return F.zip_with(_c(v), a, lambda x, w: x - factor * w)
+    return let(_c(v), lambda x: let(2 * dot(x, a) / dot(a, a), lambda f: F.zip_with(x, a, lambda e, w: e - f * w)))
 
 
 def decay(v, rate: float) -> Column:

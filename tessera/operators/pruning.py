@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.storagelevel import StorageLevel
 
 from tessera.functions import vectors as V
 from tessera.operators.scoring import best_then_sum, rounded, small, token_pairs, topk
+from tessera.sources.stages import cut_lineage
 
 SLACK = 1e-9
 
@@ -90,16 +90,15 @@ def pruned_search(docs: DataFrame, queries: DataFrame, k: int, steps: list[int],
     """(top k: qid, rank, doc_id, score; work by qid and step: live pairs and cells) by rounds of pruning.
 
     steps: numbers of scanned dimensions, rising to the full width; those under ``warm_up`` are
-    scanned without a bound. Exact at shrink = 1. Each round is stored until the search ends.
+    scanned without a bound. Exact at shrink = 1. Each round is a stored table.
     """
     width = steps[-1]
     kept = [s for s in steps if s >= warm_up] or [width]
-    tokens = docs.select("doc_id", "tok")
-    live = tokens.crossJoin(small(queries.select("qid", "qtok"))).withColumn("p", F.lit(0.0))
-    work, at, before = None, 0, []
+    docs, queries = cut_lineage(docs.select("doc_id", "tok", "vec")), cut_lineage(queries.select("qid", "qtok", "vec"))
+    live = docs.select("doc_id", "tok").crossJoin(small(queries.select("qid", "qtok"))).withColumn("p", F.lit(0.0))
+    work, at = None, 0
     for step in kept:
-        pairs = _step(live, docs, queries, at, step, V.confidence(step, width, shrink)).persist(StorageLevel.MEMORY_AND_DISK)
-        before.append(pairs)
+        pairs = cut_lineage(_step(live, docs, queries, at, step, V.confidence(step, width, shrink)))
         done = pairs.groupBy("qid").agg(F.count("*").alias("pairs")).select("qid", F.lit(step).alias("step"), "pairs", (F.col("pairs") * (step - at)).alias("cells"))
         work = done if work is None else work.unionByName(done)
         if step == width:

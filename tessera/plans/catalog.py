@@ -1,6 +1,6 @@
 """Registry of the retrieval queries."""
 
-from tessera.plans import base, dimensions, scoring
+from tessera.plans import base, dimensions, pruning, scoring
 
 
 def queries():
@@ -11,4 +11,4 @@ def oracle_sql():
     return dict(base.SQL)
 
 
-__all__ = ["dimensions", "oracle_sql", "queries", "scoring"]
+__all__ = ["dimensions", "oracle_sql", "pruning", "queries", "scoring"]
