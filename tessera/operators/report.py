@@ -61,7 +61,7 @@ def frontier_mean(points: DataFrame) -> DataFrame:
 
 def over_best(points: DataFrame, arm: str, others: list[str]) -> DataFrame:
     """k, fraction and how far an arm's recall lies above the best of the others."""
-    best = F.greatest(*(F.max(F.when(F.col("arm") == o, F.col("recall"))) for o in others))
+    best = F.array_max(F.array(*(F.max(F.when(F.col("arm") == o, F.col("recall"))) for o in others)))
     return points.groupBy("k", "fraction").agg((F.max(F.when(F.col("arm") == arm, F.col("recall"))) - best).alias("gain"))
 
 
