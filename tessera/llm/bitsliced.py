@@ -67,7 +67,7 @@ class Index:
         dims = x.shape[1]
         plain = _bitmap(np.stack(planes, 1).reshape(dims * self.bits, self.n)) if self.bits else np.zeros((0, -(-self.n // 64)), np.uint64)
         self.rows = _bitmap(np.ones((1, self.n), np.uint8))[0]
-        self.slices = np.stack([plain, ~plain & self.rows]).reshape(2, dims, self.bits, -1)
+        self.slices = np.stack([plain, ~plain & self.rows]).reshape(2, dims, self.bits, len(self.rows))
 
     def sums(self, q: np.ndarray) -> list[np.ndarray]:
         """Slices of sum |q_i| * (value_i, or its complement where q_i < 0) over the rows."""
