@@ -139,9 +139,10 @@ def topk_inner_product(rows: DataFrame, queries: DataFrame, k=20, id_col="id", v
     dealt = dealt.repartitionById(parts, (F.col("cell") % parts).cast("int"))
 
     def search(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
+        table = pa.Table.from_batches(batches)
         cell, ids, query = (table[c].to_numpy() for c in ("cell", "id", "query"))
         v = table["v"].combine_chunks()
         sizes = v.value_lengths().to_numpy()

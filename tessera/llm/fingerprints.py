@@ -120,12 +120,13 @@ def hexadecimal(c) -> Column:
     return F.lpad(F.lower(F.hex(c)), 16, "0")
 
 
-def fingerprint_edits(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def fingerprint_edits(docs: DataFrame, id_col="doc_id", text_col="text", every=20, radius=3) -> DataFrame:
     """Fingerprints of every row's text and of that text with its last third replaced.
 
     The last floor(n/3) code points give way to the first as many (or all) of the following row's
-    text, by followers(). Gives id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited
-    and near_next. Null text is empty; repeated rows are kept; an empty table gives an empty result;
+    text, by followers(). Gives id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
+    near_next and, for rows whose id is divisible by ``every`` (else null), n_near: how many other
+    fingerprints of the table lie within ``radius`` bits of theirs. Null text is empty; repeated rows are kept; an empty table gives an empty result;
     other columns are ignored. Equal texts have equal fingerprints.
     """
     n = F.length("text").cast("long")
@@ -137,7 +138,10 @@ def fingerprint_edits(docs: DataFrame, id_col="doc_id", text_col="text") -> Data
     keys = ["row", "id", "n_chars", "edited_sha256", "this", "that"]
     found = materialize(fingerprint_texts(rows, keys, ["text", "edited"]).drop("row"))
     by_text = found.groupBy("this").agg(F.first("fp_text").alias("fp_next")).withColumnRenamed("this", "that")
-    out = found.join(by_text, "that")
+    asked = F.col("id") % every == 0
+    near = near_fingerprints(found.select(F.col("fp_text").alias("fp")), found.where(asked).select(F.col("fp_text").alias("query")), radius)
+    near = near.groupBy("query").agg((F.count("*") - 1).alias("n_near")).withColumnRenamed("query", "fp_text")
+    out = found.join(by_text, "that").join(near, "fp_text", "left")
     return out.select(
         F.col("id").alias(id_col),
         "n_chars",
@@ -146,4 +150,5 @@ def fingerprint_edits(docs: DataFrame, id_col="doc_id", text_col="text") -> Data
         hexadecimal("fp_edited").alias("edited_fingerprint"),
         likeness("fp_text", "fp_edited").alias("near_edited"),
         likeness("fp_text", "fp_next").alias("near_next"),
+        F.when(asked, F.col("n_near")).alias("n_near"),
     )

@@ -27,7 +27,7 @@ def op3_simhash_dedup(spark, sf_dir):
     from .simhash_dedup import near_duplicates
 
     found = near_duplicates(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex(F.get("fp", F.lit(0)))), 16, "0").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
 def op4_sharding(spark, sf_dir):

@@ -15,43 +15,52 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import materialize
-from .textscan import slices
+from .textscan import mix, slices
 
 SEED = 42
 
 
-def text_fingerprint(text: str | None, shingle: int = 4) -> int:
-    """Unsigned 64-bit fingerprint: majority bits over the shingles' hashes, 0 without words."""
+def text_fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> tuple[int, ...]:
+    """Unsigned 64-bit words of majority bits over the shingles' hashes, zeros without words.
+
+    The first word takes the hashes themselves, the others scramblings of them.
+    """
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space
-    if not words:
-        return 0
-    line = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII case and white space
+    if not tokens:
+        return (0,) * words
+    line = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
-    k = min(shingle, len(words))
+    k = min(shingle, len(tokens))
     digest = xxhash.xxh64_intdigest
-    spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
-    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(words) - k + 1)
-    votes = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        part = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
-        votes += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0])
-
-
-def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle=4) -> DataFrame:
-    """(id, fp): the fingerprint of every row's whole text as a signed long; null text is empty."""
+    spans = zip(starts[: len(tokens) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
+    hashes = np.fromiter((digest(line[a:b], SEED) for a, b in spans), np.uint64, len(tokens) - k + 1)
+    out = []
+    for w in range(words):
+        votes = np.zeros(64, np.int64)
+        for at in range(0, len(hashes), 1 << 15):
+            part = hashes[at : at + (1 << 15)]
+            part = (mix(part + np.uint64(w)) if w else part).astype("<u8").view(np.uint8).reshape(-1, 8)
+            votes += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")[0]))
+    return tuple(out)
+
+
+def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text", shingle=4, words=1) -> DataFrame:
+    """(id, fp): the fingerprint of every row's whole text as signed longs; null text is empty."""
 
     def scan(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                found = np.array([text_fingerprint(t, shingle) for t in part.column(1).to_pylist()], np.uint64)
-                yield pa.record_batch({"id": part.column(0), "fp": pa.array(found.view(np.int64))})
+                found = np.array([text_fingerprint(t, shingle, words) for t in part.column(1).to_pylist()], np.uint64)
+                flat = pa.array(found.view(np.int64).ravel())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, words), pa.int32()), flat)
+                yield pa.record_batch({"id": part.column(0), "fp": lists})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(scan, f"id {kind}, fp long")
+    return docs.select(F.col(id_col), F.col(text_col)).mapInArrow(scan, f"id {kind}, fp array<long>")
 
 
 def segments(radius: int) -> list[tuple[int, int]]:
@@ -92,16 +101,18 @@ def _find(parent, x):
     return x
 
 
-def linked_pairs(keys, first, fps, radius):
-    """Pairs (index a, index b) that connect what links within equal keys; a spanning set, not all pairs.
+def linked_pairs(keys, first, word, node, radius, whole=None, total=None):
+    """Pairs of nodes that connect what links within equal keys; a spanning set, not all pairs.
 
+    word: the 64 bits that the key is of; whole: all words of each row, with ``total`` as their limit.
     Exact: every pair of rows with equal keys is compared, in vectors, but a pair inside a component
     that is already connected isn't returned. Time is quadratic in the distinct fingerprints under
     one key, memory and output are linear.
     """
-    order = np.lexsort((fps, keys))
-    keys, first, fps = keys[order], first[order], fps[order]
-    values, place = np.unique(fps, return_inverse=True)
+    order = np.lexsort((node, keys))
+    keys, first, word, node = keys[order], first[order], word[order], node[order]
+    whole = whole[order] if whole is not None else None
+    values, place = np.unique(node, return_inverse=True)
     parent = np.arange(len(values))
     out_a, out_b = [], []
     live, d = np.arange(len(keys)), 1
@@ -110,8 +121,9 @@ def linked_pairs(keys, first, fps, radius):
         live = live[keys[live + d] == keys[live]]
         for at in range(0, len(live), 1 << 20):
             i = live[at : at + (1 << 20)]
-            i = i[place[i] != place[i + d]]
-            hit = i[within(fps[i], fps[i + d], first[i], radius)]
+            hit = i[within(word[i], word[i + d], first[i], radius)]
+            if whole is not None:
+                hit = hit[np.bitwise_count(whole[hit] ^ whole[hit + d]).sum(1, dtype=np.int64) <= total]
             a, b = _find(parent, place[hit]), _find(parent, place[hit + d])
             new = a != b
             out_a.append(values[place[hit[new]]])
@@ -122,44 +134,55 @@ def linked_pairs(keys, first, fps, radius):
                 a, b = _find(parent, a), _find(parent, b)
                 a, b = a[a != b], b[a != b]
         d += 1
-    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.uint64)
+    join = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
     return join(out_a), join(out_b)
 
 
-def fingerprint_edges(fps: DataFrame, radius=4) -> DataFrame:
-    """(a, b): links that connect the distinct fingerprints ``fp`` lying within radius of each other."""
+def fingerprint_edges(fps: DataFrame, radius=4, words=1, total=None) -> DataFrame:
+    """(a, b): links that connect the distinct fingerprints (node, fp) of which some word lies within radius."""
     keys = chain_keys(radius)
     signed = lambda m: m - (1 << 64) if m >> 63 else m
-    made = [F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(signed(m))).alias("bits")) for k, (_, m) in enumerate(keys)]
-    rows = fps.select("fp", F.explode(F.array(*made)).alias("key")).select("fp", "key.k", "key.bits")
+    word = lambda w: F.get("fp", F.lit(w))
+    made = [F.struct(F.lit(w * len(keys) + k).alias("k"), word(w).bitwiseAND(F.lit(signed(m))).alias("bits")) for w in range(words) for k, (_, m) in enumerate(keys)]
+    every = [f"w{w}" for w in range(words)]
+    rows = fps.select("node", *(word(w).alias(every[w]) for w in range(words)), F.explode(F.array(*made)).alias("key")).select("node", *every, "key.k", "key.bits")
 
     def link(batches):
-        table = pa.Table.from_batches(list(batches))
-        if not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        fp, k, bits = (table.column(c).to_numpy() for c in ("fp", "k", "bits"))
-        # one sortable key: the masked bits leave room for the key's number in none, so rank them
-        code = np.unique(bits, return_inverse=True)[1] * len(keys) + k
-        first = np.array([i for i, _ in keys])[k]
-        a, b = linked_pairs(code, first, fp.view(np.uint64), radius)
-        yield pa.record_batch({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64))})
+        table = pa.Table.from_batches(batches)
+        node, k, bits = (table.column(c).to_numpy() for c in ("node", "k", "bits"))
+        whole = np.stack([table.column(c).to_numpy() for c in every], 1).view(np.uint64)
+        code = np.unique(bits, return_inverse=True)[1] * (len(keys) * words) + k
+        first = np.array([i for i, _ in keys])[k % len(keys)]
+        own = whole[np.arange(len(k)), k // len(keys)]
+        a, b = linked_pairs(code, first, own, node, radius, whole if words > 1 else None, total)
+        yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
     return rows.repartition("k", "bits").mapInArrow(link, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=4, radius=4) -> DataFrame:
-    """One row per input row: id, fp (signed long) and component (smallest id reachable by links).
+def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=4, radius=4, words=1, total=None) -> DataFrame:
+    """One row per input row: id, fp (signed longs) and component (smallest id reachable by links).
 
     Null text counts as empty; texts without words share fingerprint zero and link like any other.
     A text of fewer than ``shingle`` words is one shingle. Equal texts, repeated rows and repeated
     ids are kept row by row; rows whose id is null get the component of their group's other ids.
     An empty table gives an empty result, further columns are ignored.
     """
-    marked = materialize(fingerprints(docs, id_col, text_col, shingle))
-    classes = marked.groupBy("fp").agg(F.min("id").alias("low"))
-    roots = connected_components(fingerprint_edges(classes.select("fp"), radius))
-    grouped = classes.join(roots, classes.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    grouped = materialize(grouped)
+    node = F.get("fp", F.lit(0)) if words == 1 else F.xxhash64("fp")
+    marked = materialize(fingerprints(docs, id_col, text_col, shingle, words).withColumn("node", node))
+    classes = marked.groupBy("node").agg(F.first("fp").alias("fp"), F.min("id").alias("low"))
+    roots = connected_components(fingerprint_edges(classes.select("node", "fp"), radius, words, total))
+    grouped = classes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    grouped = materialize(grouped.select("node", "low", F.coalesce("root", "node").alias("root")))
     lows = grouped.groupBy("root").agg(F.min("low").alias("component"))
-    by_fp = grouped.join(lows, "root").select("fp", "component")
-    return marked.join(by_fp, "fp", "left").select(F.col("id").alias(id_col), "fp", "component")
+    by_node = grouped.join(lows, "root").select("node", "component")
+    return marked.join(by_node, "node", "left").select(F.col("id").alias(id_col), "fp", "component")
+
+
+def similarity_limit(least: float, words: int) -> int:
+    """Bits in which fingerprints of ``words`` words differ, on average, at a Jaccard similarity of the shingles."""
+    cosine = 2 * least / (1 + least)
+    return int(64 * words * np.arccos(cosine) / np.pi)

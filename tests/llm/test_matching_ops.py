@@ -38,7 +38,7 @@ def slow_components(fps, radius):
 
 @pytest.mark.parametrize("text", ["", " ", "one", "a b c", "a b c d", "A b C d e É é", "x " * 300, "a\tb\nc\x0bd e"])
 def test_text_fingerprint(text):
-    assert simhash_dedup.text_fingerprint(text) == slow_fingerprint(text)
+    assert simhash_dedup.text_fingerprint(text) == (slow_fingerprint(text),)
 
 
 def test_near_duplicates_of_the_smallest_table(spark):
@@ -46,10 +46,41 @@ def test_near_duplicates_of_the_smallest_table(spark):
     got = {r.doc_id: r for r in simhash_dedup.near_duplicates(df).collect()}
     fps = {r.doc_id: slow_fingerprint(r.text) for r in df.collect()}
     want = slow_components(fps, 4)
-    assert {i: r.fp % 2**64 for i, r in got.items()} == fps
+    assert {i: r.fp[0] % 2**64 for i, r in got.items()} == fps
     assert {i: r.component for i, r in got.items()} == want
 
 
+def nodes(spark, fps):
+    return spark.createDataFrame([(x, [x]) for x in fps], "node long, fp array<long>")
+
+
+def test_wide_fingerprints_link_similar_texts(spark):
+    """Copies with few words changed link, those with many don't; against the definition by all pairs."""
+    r = np.random.default_rng(1)
+    rows = []
+    for g in range(12):
+        base = [f"w{x}" for x in r.integers(0, 5000, 300)]
+        for c, changes in enumerate((0, 0, 1, 3, 6, 60)):
+            words = list(base)
+            for at in r.choice(300, changes, replace=False):
+                words[at] = f"new{r.integers(0, 10**6)}"
+            rows.append((10 * g + c, " ".join(words)))
+    limit = simhash_dedup.similarity_limit(0.8, 4)
+    assert limit == 38
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {x.doc_id: x.component for x in simhash_dedup.near_duplicates(df, shingle=5, radius=6, words=4, total=limit).collect()}
+    fps = {i: simhash_dedup.text_fingerprint(t, 5, 4) for i, t in rows}
+    parent = {i: i for i in fps}
+    for a in sorted(fps):
+        for b in sorted(fps):
+            each = [(x ^ y).bit_count() for x, y in zip(fps[a], fps[b], strict=True)]
+            if a < b and min(each) <= 6 and sum(each) <= limit:
+                low, high = sorted((parent[a], parent[b]))
+                parent = {k: low if v == high else v for k, v in parent.items()}
+    assert got == parent
+    assert all(got[10 * g + c] == 10 * g for g in range(12) for c in (1, 2)) and all(got[10 * g + 5] == 10 * g + 5 for g in range(12))
+
+
 @pytest.mark.parametrize("radius", [0, 1, 3, 4, 7])
 def test_links_of_planted_fingerprints(spark, radius):
     r = np.random.default_rng(radius)
@@ -62,7 +93,7 @@ def test_links_of_planted_fingerprints(spark, radius):
                 x ^= 1 << b
             fps.add(x)
     signed = [x - 2**64 if x >> 63 else x for x in fps]
-    edges = simhash_dedup.fingerprint_edges(spark.createDataFrame([(x,) for x in signed], "fp long"), radius).collect()
+    edges = simhash_dedup.fingerprint_edges(nodes(spark, signed), radius).collect()
     table = {s % 2**64: s for s in signed}
     want = slow_components({s: u for u, s in table.items()}, radius)
     linked = slow_components_of_edges(signed, [(e.a, e.b) for e in edges])
@@ -87,7 +118,7 @@ def slow_components_of_edges(nodes, edges):
 def test_a_large_group_gives_few_links(spark):
     """All pairs of 1,000 fingerprints link; a spanning set of them comes back."""
     rows = [(int(x),) for x in {sum(1 << int(b) for b in c) for c in np.random.default_rng(0).integers(0, 60, (1000, 2))}]
-    edges = simhash_dedup.fingerprint_edges(spark.createDataFrame(rows, "fp long"), 4)
+    edges = simhash_dedup.fingerprint_edges(nodes(spark, [r[0] for r in rows]), 4)
     assert len(rows) - 1 <= edges.distinct().count() <= 12 * len(rows)
     assert slow_components_of_edges([r[0] for r in rows], [(e.a, e.b) for e in edges.collect()]) == {r[0]: min(rows)[0] for r in rows}
 
@@ -104,7 +135,7 @@ def test_near_duplicate_edges(spark, odd_docs, no_docs):
     rows = simhash_dedup.near_duplicates(odd_docs).collect()
     assert len(rows) == odd_docs.count()
     by = {r.doc_id: r for r in rows}
-    assert by[2].component == 1 and by[3].component == by[4].component == by[5].component == 3 and by[3].fp == 0
+    assert by[2].component == 1 and by[3].component == by[4].component == by[5].component == 3 and by[3].fp == [0]
     assert by[None].component is None
     assert simhash_dedup.near_duplicates(no_docs).count() == 0
 
@@ -123,6 +154,9 @@ def test_edited_texts_and_likeness(spark):
         assert r.near_edited == like(r.fingerprint, r.edited_fingerprint)
         assert r.near_next == like(r.fingerprint, got[j].fingerprint)
         assert by_text.setdefault(text, r.fingerprint) == r.fingerprint
+        others = {int(o.fingerprint, 16) for o in got.values()} - {int(r.fingerprint, 16)}
+        want = sum((int(r.fingerprint, 16) ^ o).bit_count() <= 3 for o in others)
+        assert r.n_near == (want if i % 20 == 0 else None)
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.95
 
 

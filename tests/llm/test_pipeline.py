@@ -6,19 +6,30 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import functions as F
 from tessera.llm import packing, pii, queries
-from tests.llm.test_matching_ops import slow_components, slow_fingerprint
+from tessera.llm.simhash_dedup import similarity_limit, text_fingerprint
 from tests.llm.test_scoring_ops import check_packing
 
 SF = "/root/testdata/sf0.001"
 
 
+def slow_groups(fps, total):
+    parent = {i: i for i in fps}
+    for a in sorted(fps):
+        for b in sorted(fps):
+            each = [(x ^ y).bit_count() for x, y in zip(fps[a], fps[b], strict=True)]
+            if a < b and min(each) <= 6 and sum(each) <= total:
+                low, high = sorted((parent[a], parent[b]))
+                parent = {k: low if v == high else v for k, v in parent.items()} if low != high else parent
+    return parent
+
+
 def test_run_equals_plain_code(spark, tmp_path):
     """Toxicity by the operator (a classifier); everything after it by brute force."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     kept = corpus_pipeline.drop_toxic(spark, docs, SF)
     assert kept.columns == docs.columns and kept.count() < docs.count()
     texts = {r.doc_id: r.text for r in kept.select("doc_id", "text").collect()}
-    groups = slow_components({i: slow_fingerprint(t) for i, t in texts.items()}, 4)
+    groups = slow_groups({i: text_fingerprint(t, 5, 4) for i, t in texts.items()}, similarity_limit(0.8, 4))
     first = {i: texts[i] for i in sorted(set(groups.values()))}
     detector = pii.fit_detector(kept.join(spark.createDataFrame([(i,) for i in first], "doc_id long"), "doc_id"))
     clean = [(i, pii.mask(t, detector.spans(t)[1])) for i, t in first.items()]
