@@ -10,11 +10,13 @@ document, token) rows that the next one touches; the threshold of a query is its
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators.scoring import best_then_sum, rounded, small, token_pairs, topk
+from tessera.operators.scoring import QUERY_BYTES, best_then_sum, rounded, small, token_pairs, topk
 from tessera.sources.stages import cut_lineage
 
 SLACK = 1e-9
@@ -104,7 +106,7 @@ def pruned_search(docs: DataFrame, queries: DataFrame, k: int, steps: list[int],
         if step == width:
             live = pairs
             break
-        alive = live_tokens(pairs)
+        alive = live_tokens(pairs.repartition("qid", "doc_id"))  # one exchange for all that groups by document below
         best = alive.groupBy("qid", "doc_id", "qtok").agg(F.max("u").alias("u"), F.max("l").alias("l"))
         bounds = best.groupBy("qid", "doc_id").agg(F.sum("u").alias("ub"), F.sum("l").alias("lb"))
         order = Window.partitionBy("qid").orderBy(F.desc("lb"), "doc_id")
@@ -127,3 +129,48 @@ def keep_fraction(partial: DataFrame, truth: DataFrame, fraction: float, k: int)
     ranked = partial.withColumn("rn", F.row_number().over(order)).withColumn("keep", F.greatest(F.lit(k), F.bround(n * fraction)))
     hits = truth.select("qid", "doc_id").join(ranked.where("rn <= keep").select("qid", "doc_id", F.lit(1).alias("hit")), ["qid", "doc_id"], "left")
     return hits.groupBy("qid").agg((F.count("hit") / F.count("*")).alias("recall"))
+
+
+def sequential_search(docs: DataFrame, queries: DataFrame, k: int, steps: list[int], shrink=1.0, limit=QUERY_BYTES) -> DataFrame:
+    """The order-dependent form: documents one by one by id, each against the k-th best score so far.
+
+    qid, rank, doc_id, score and the query's counters: cells, and documents and tokens pruned, at all
+    checkpoints (``_all``) and before the last (``_early``). One task a query; the corpus goes to every
+    task, so it may have at most ``limit`` bytes. For counters and comparison; pruned_search() scales.
+    """
+    size = docs.select(F.sum(F.size("vec").cast("long") * 8)).first()[0] or 0
+    if size > limit:
+        raise ValueError(f"{size} bytes of documents; the sequential form takes {limit}")
+    packed = docs.select("doc_id", "tok", V.doubles("vec").alias("vec")).orderBy("doc_id", "tok").toPandas()
+    corpus = [(int(d), np.stack(g["vec"].to_numpy())) for d, g in packed.groupby("doc_id")]
+    shared = docs.sparkSession.sparkContext.broadcast(corpus)
+    names = ["cells", "docs_all", "docs_early", "tokens_all", "tokens_early"]
+
+    def search(frame):
+        q = np.stack(frame.sort_values("qtok")["vec"].to_numpy())
+        best, counts = [], dict.fromkeys(names, 0)
+        for doc, d in shared.value:
+            floor = best[-1][0] if len(best) == k else -np.inf
+            partial, live, at = np.zeros((len(q), len(d))), np.arange(len(d)), 0
+            for step in steps:
+                partial[:, live] += q[:, at:step] @ d[live, at:step].T
+                counts["cells"] += len(live) * (step - at) * len(q)
+                slack = np.linalg.norm(q[:, step:], axis=1)[:, None] * np.linalg.norm(d[live, step:], axis=1)
+                slack = slack * V.confidence(step, q.shape[1], shrink)
+                upper, lower = partial[:, live] + slack, (partial[:, live] - slack).max(1)
+                keep = (upper >= lower[:, None] - SLACK).any(0)
+                early = step < steps[-1]
+                counts["tokens_all"] += int((~keep).sum())
+                counts["tokens_early"] += int((~keep).sum()) * early
+                live, at = live[keep], step
+                if upper[:, keep].max(1).sum() < floor - SLACK:
+                    counts["docs_all"] += 1
+                    counts["docs_early"] += early
+                    break
+            else:
+                best = sorted([*best, (round(float(partial[:, live].max(1).sum()), 6), -doc)], reverse=True)[:k]
+        rows = [(int(frame["qid"].iloc[0]), i + 1, -d, s, *counts.values()) for i, (s, d) in enumerate(best)]
+        return pd.DataFrame(rows, columns=["qid", "rank", "doc_id", "score", *names])
+
+    schema = "qid long, rank int, doc_id long, score double, " + ", ".join(f"{n} long" for n in names)
+    return queries.select("qid", "qtok", V.doubles("vec").alias("vec")).groupBy("qid").applyInPandas(search, schema)

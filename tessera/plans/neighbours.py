@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 from tessera.operators import index as I
-from tessera.operators import knn, metrics
+from tessera.operators import knn, metrics, stats
 from tessera.operators import scoring as S
 from tessera.plans.base import exact_sql, qrels, query, read, scores_sql, tables, topk_sql, views
 from tessera.sources import tokens
@@ -177,19 +177,38 @@ def ivf_probe_topk(spark, sf_dir):
     return I.probe(I.assign(docs, centres), docs, centres, queries, PROBES, CANDIDATES, K)
 
 
-@query(
-    f"""{PAIRS}, centres AS (SELECT label AS centroid, list(c ORDER BY dim) AS cv FROM (SELECT label, dim, round(avg(x[dim + 1]), 9) AS c FROM v, range(0, 64) t(dim) GROUP BY ALL) GROUP BY label),
+LISTS = f"""{PAIRS}, centres AS (SELECT label AS centroid, list(c ORDER BY dim) AS cv FROM (SELECT label, dim, round(avg(x[dim + 1]), 9) AS c FROM v, range(0, 64) t(dim) GROUP BY ALL) GROUP BY label),
     a AS (SELECT vec_id, x, centroid FROM v, centres QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_inner_product(x, cv), 6) DESC, centroid) = 1),
     p AS (SELECT qid, q, centroid FROM q, centres QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(list_inner_product(q, cv), 6) DESC, centroid) <= 2),
     h AS (SELECT qid, vec_id, list_sum(list_transform(list_zip(q, x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS l2 FROM p JOIN a USING (centroid))
     {_top('l2', 'ASC', 'h')}"""
-)
-def ivf_linear_scan(spark, sf_dir):
-    """M4, M8: k-NN over the lists of the two nearest centroids."""
+
+
+def _lists(spark, sf_dir):
     vectors, queries = _vectors(spark, sf_dir)
     centres = I.mean_centroids(vectors, "label")
     lists = I.nearest(vectors, centres, 1, "vec_id").drop("rank").join(vectors.select("vec_id", "vec"), "vec_id")
-    return I.linear_scan(lists, centres, queries, 2, K)
+    return lists, centres, queries
+
+
+@query(LISTS)
+def ivf_linear_scan(spark, sf_dir):
+    """M4, M8: k-NN over the lists of the two nearest centroids."""
+    return I.linear_scan(*_lists(spark, sf_dir), 2, K)
+
+
+@query(LISTS)
+def ivf_bond_scan(spark, sf_dir):
+    """M7: the same lists, dimensions of most variance first, terminated early without loss."""
+    lists, centres, queries = _lists(spark, sf_dir)
+    order = stats.as_list(stats.ranked(stats.variances(lists), "variance"))
+    return I.early_scan(lists, centres, queries, 2, K, STEPS, order=order)[0]
+
+
+@query(None)
+def ivf_adaptive_scan(spark, sf_dir):
+    """M5: the same lists with adaptive sampling."""
+    return I.early_scan(*_lists(spark, sf_dir), 2, K, STEPS, alpha=2.0)[0]
 
 
 @query(None)

@@ -270,3 +270,16 @@ def scale_probe(spark, sf_dir):
     some = scores.select("*", grid.alias("n")).where("doc_id < n")
     order = Window.partitionBy("n", "qid").orderBy(F.desc("score"), "doc_id")
     return some.withColumn("rank", F.row_number().over(order)).where("rank <= 5").select("n", "qid", "rank", "doc_id", "score")
+
+
+@query(exact_sql(K, True))
+def sequential_topk(spark, sf_dir):
+    """Document by document against the running threshold; equals brute force."""
+    return P.sequential_search(*tables(spark, sf_dir, ANISO), K, STEPS).select("qid", "rank", "doc_id", "score")
+
+
+@query(None)
+def sequential_counters(spark, sf_dir):
+    """Cells and pruned documents and tokens of the sequential form, with the last checkpoint and without."""
+    found = P.sequential_search(*tables(spark, sf_dir, ANISO), K, STEPS)
+    return found.where("rank = 1").select("qid", "cells", "docs_all", "docs_early", "tokens_all", "tokens_early")
