@@ -85,20 +85,29 @@ def maxsim_blocks(packed: DataFrame, queries: DataFrame, limit=QUERY_BYTES, k: i
     return out if out is not None else spark.createDataFrame([], "qid long, doc_id long, score double")
 
 
+#: Products computed at once: documents' tokens x query tokens.
+CELLS = 1 << 23
+
+
 def _scorer(shared, k):
     def score(batches):
         matrix, qids, starts = shared.value
         for batch in batches:
-            doc_ids = batch.column(0).to_numpy()
-            toks = batch.column(1)
+            doc_ids, toks = batch.column(0).to_numpy(), batch.column(1)
             sizes = toks.value_lengths().fill_null(0).to_numpy()
             some = np.flatnonzero(sizes)  # a document without tokens is never ranked
             if not len(some):
                 continue
             flat = toks.flatten().flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
-            cuts = (np.cumsum(sizes) - sizes)[some]
-            best = np.maximum.reduceat(matrix @ flat.T, cuts, axis=1)
-            scores, own = np.add.reduceat(best, starts, axis=0), doc_ids[some]
+            ends, parts, at = np.cumsum(sizes[some]), [], 0
+            while at < len(some):
+                done = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, done + CELLS // len(matrix), "right")))
+                cuts = (ends - sizes[some])[at:stop] - done
+                best = np.maximum.reduceat(matrix @ flat[done : ends[stop - 1]].T, cuts, axis=1)
+                parts.append(np.add.reduceat(best, starts, axis=0))
+                at = stop
+            scores, own = np.concatenate(parts, axis=1), doc_ids[some]
             if k is not None and k < len(own):
                 # by score, then id: ties at the edge must go to the smaller id
                 keep = np.array([np.lexsort((own, -np.round(row, 6)))[:k] for row in scores])

@@ -89,13 +89,13 @@ def cache_round_trip(spark, sf_dir):
 REPORT = [
     ("a", "Brute-force", "32", "1.0", "10.0"),
     ("a", "Brute-force", "128", "1.0", "10.0"),
-    ("a", "FAISS IVF", "32", "0.91", "4.0"),
-    ("a", "FAISS IVF", "128", "0.97", "8.0"),
-    ("a", "PDX BOND", "32", "0.92", "2.5"),
-    ("a", "PDX BOND", "128", "0.98", "n/a"),
-    ("b", "FAISS IVF", "32", "0.85", "3.0"),
-    ("b", "PDX BOND", "32", "0.95", "1.5"),
-    (None, "PDX BOND", "32", "0.5", "1.0"),
+    ("a", "List scan", "32", "0.91", "4.0"),
+    ("a", "List scan", "128", "0.97", "8.0"),
+    ("a", "Dimension scan", "32", "0.92", "2.5"),
+    ("a", "Dimension scan", "128", "0.98", "n/a"),
+    ("b", "List scan", "32", "0.85", "3.0"),
+    ("b", "Dimension scan", "32", "0.95", "1.5"),
+    (None, "Dimension scan", "32", "0.5", "1.0"),
 ]
 _VALUES = ", ".join("(" + ", ".join("NULL" if x is None else f"'{x}'" for x in r) + ")" for r in REPORT)
 RAW = f"raw(dataset, label, ivf_nprobe, recall, avg) AS (VALUES {_VALUES})"
@@ -105,7 +105,7 @@ TYPED = f"WITH {RAW}, report AS (SELECT dataset, label, try_cast(ivf_nprobe AS I
 def report(spark):
     """The literal report, read as separate frames a label and united."""
     rows = spark.sql(f"SELECT * FROM (VALUES {_VALUES}) AS raw(dataset, label, ivf_nprobe, recall, avg)")
-    labels = ("Brute-force", "FAISS IVF", "PDX BOND")
+    labels = ("Brute-force", "List scan", "Dimension scan")
     return C.union_reports([rows.where(F.col("label") == x) for x in labels] + [None])
 
 
@@ -149,10 +149,10 @@ def bench_datasets(spark, sf_dir):
     return R.datasets(report(spark))
 
 
-@query(f"{TYPED}, o AS (SELECT * FROM (VALUES (1, 'Brute-force'), (2, 'PDX BOND'), (3, 'FAISS IVF')) AS t(place, label)) SELECT dataset, place::INT AS place, label, avg, recall FROM report JOIN o USING (label) WHERE ivf_nprobe = 32 QUALIFY row_number() OVER (PARTITION BY dataset, label ORDER BY avg) = 1")
+@query(f"{TYPED}, o AS (SELECT * FROM (VALUES (1, 'Brute-force'), (2, 'Dimension scan'), (3, 'List scan')) AS t(place, label)) SELECT dataset, place::INT AS place, label, avg, recall FROM report JOIN o USING (label) WHERE ivf_nprobe = 32 QUALIFY row_number() OVER (PARTITION BY dataset, label ORDER BY avg) = 1")
 def bench_at_probe(spark, sf_dir):
     """One row a label at one nprobe, labels in a fixed order."""
-    return R.at_probe(report(spark), 32, ["Brute-force", "PDX BOND", "FAISS IVF"])
+    return R.at_probe(report(spark), 32, ["Brute-force", "Dimension scan", "List scan"])
 
 
 @query(f"{TYPED} SELECT d AS dataset, EXISTS (SELECT 1 FROM report WHERE dataset = d) AS present FROM (SELECT unnest(['a', 'b', 'c']) AS d)")

@@ -155,8 +155,7 @@ def encoded_text_topk(spark, sf_dir):
     """Documents and benchmark items as token vectors of a hashed encoder; the five best documents an item."""
     from tessera.plans.base import read
 
-    short = read(spark, sf_dir, "documents").where("n_chars < 400").select("doc_id", "text")
     items = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
-    docs = tokens.hashed_encoder(short, "doc_id", "text", 32)
-    queries = tokens.hashed_encoder(items, "qid", "text", 32, tok="qtok").where("qtok < 16")
+    docs = tokens.hashed_encoder(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", 16)
+    queries = tokens.hashed_encoder(items, "qid", "text", 16, tok="qtok")
     return S.topk(S.rounded(S.maxsim_blocks(S.pack_documents(docs), queries, k=5)), 5)
