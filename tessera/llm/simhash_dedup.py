@@ -177,7 +177,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=4
     roots = connected_components(fingerprint_edges(classes.select("node", "fp"), radius, words, total))
     grouped = classes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
     grouped = materialize(grouped.select("node", "low", F.coalesce("root", "node").alias("root")))
-    lows = grouped.groupBy("root").agg(F.min("low").alias("component"))
+    lows = materialize(grouped.groupBy("root").agg(F.min("low").alias("component")))  # stored, so that a large group's join can be split
     by_node = grouped.join(lows, "root").select("node", "component")
     return marked.join(by_node, "node", "left").select(F.col("id").alias(id_col), "fp", "component")
 
