@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 from tessera.plans import catalog
@@ -21,13 +22,13 @@ def duck():
 
 
 def plain(value):
-    if value is None or value != value if not hasattr(value, "__len__") else False:
-        return "null"
     if isinstance(value, str):
         return value
     if hasattr(value, "__iter__"):
         return "[" + ",".join(plain(v) for v in value) + "]"
-    if isinstance(value, bool) or type(value).__name__ in ("bool_", "bool"):
+    if value is None or value != value:
+        return "null"
+    if isinstance(value, bool | np.bool_):
         return str(bool(value))
     return f"{float(value):.5f}".replace("-0.00000", "0.00000")
 
