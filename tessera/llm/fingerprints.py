@@ -137,10 +137,11 @@ def fingerprint_edits(docs: DataFrame, id_col="doc_id", text_col="text", every=2
     rows = rows.withColumn("edited_sha256", F.sha2("edited", 256)).withColumn("row", F.monotonically_increasing_id())
     keys = ["row", "id", "n_chars", "edited_sha256", "this", "that"]
     found = materialize(fingerprint_texts(rows, keys, ["text", "edited"]).drop("row"))
-    by_text = found.groupBy("this").agg(F.first("fp_text").alias("fp_next")).withColumnRenamed("this", "that")
+    # stored, so that joins on a text with many copies can be split
+    by_text = materialize(found.groupBy("this").agg(F.first("fp_text").alias("fp_next")).withColumnRenamed("this", "that"))
     asked = F.col("id") % every == 0
     near = near_fingerprints(found.select(F.col("fp_text").alias("fp")), found.where(asked).select(F.col("fp_text").alias("query")), radius)
-    near = near.groupBy("query").agg((F.count("*") - 1).alias("n_near")).withColumnRenamed("query", "fp_text")
+    near = materialize(near.groupBy("query").agg((F.count("*") - 1).alias("n_near")).withColumnRenamed("query", "fp_text"))
     out = found.join(by_text, "that").join(near, "fp_text", "left")
     return out.select(
         F.col("id").alias(id_col),
