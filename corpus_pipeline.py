@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.packing import pack
 from tessera.llm.pii import fit_detector, redact_pii
-from tessera.llm.simhash_dedup import near_duplicates, similarity_limit
-from tessera.llm.storage import shared_folder
+from tessera.llm.shingle_dedup import marks, similar_sets
+from tessera.llm.storage import materialize, shared_folder
 from tessera.llm.toxicity import corpus_chain, score_toxicity
 
 #: Least Jaccard similarity of five-word shingles at which documents count as near-duplicates.
@@ -29,12 +29,16 @@ def drop_toxic(spark, docs, sf_dir):
 def drop_near_duplicates(spark, docs, sf_dir):
     """The document with the smallest id of each group of near-duplicates.
 
-    Texts link if their 256-bit fingerprints over five-word shingles are as near as those of texts with
-    a similarity of 0.8, and one of the four words is within 6 bits. Of several rows with that id the one with the first text stays; rows without an id all stay.
+    Texts link if the Jaccard similarity of their five-word shingles is at least 0.8, which is decided by
+    the whole sets; groups are the components of the links. Of several rows with that id the one with the first text stays; rows without an id all stay.
     """
-    total = similarity_limit(SIMILARITY, 4)
-    groups = near_duplicates(docs.select("doc_id", "text"), shingle=5, radius=6, words=4, total=total)
-    keep = groups.where("doc_id = component").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    marked = materialize(marks(docs.select("doc_id", "text")))
+    some = [F.first(c).alias(c) for c in ("text", "n", "keys")]
+    classes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("low"), *some))
+    grouped = classes.select("node", "low").join(similar_sets(classes, SIMILARITY), "node", "left")
+    grouped = grouped.select("low", F.coalesce("root", "node").alias("root"))
+    groups = grouped.groupBy("root").agg(F.min("low").alias("doc_id")).where("doc_id is not null")
+    keep = groups.select("doc_id").distinct()
     order = Window.partitionBy("doc_id").orderBy("text")
     first = docs.join(keep, "doc_id").withColumn("copy", F.row_number().over(order)).where("copy = 1")
     return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
