@@ -43,3 +43,8 @@ def survivors(spark):
 def test_pairs_just_above_the_limit_link(survivors):
     texts = planted(True)
     assert survivors(list(texts.items())) == [(i, texts[i]) for i in sorted(texts) if i % 2 == 0]
+
+
+def test_pairs_below_the_limit_all_stay(survivors):
+    texts = planted(False)
+    assert survivors(list(texts.items())) == sorted(texts.items())
