@@ -7,7 +7,6 @@ and what is left is packed into training sequences.
 import uuid
 
 import public_tokenizers
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.llm.packing import pack
@@ -27,21 +26,19 @@ def drop_toxic(spark, docs, sf_dir):
 
 
 def drop_near_duplicates(spark, docs, sf_dir):
-    """The document with the smallest id of each group of near-duplicates.
+    """One row of each group of near-duplicates: the one with the smallest id, of several the first text.
 
     Texts link if the Jaccard similarity of their five-word shingles is at least 0.8, which is decided by
-    the whole sets; groups are the components of the links. Of several rows with that id the one with the first text stays; rows without an id all stay.
+    the whole sets; groups are the components of the links. Rows are told apart by a key of their own,
+    so ids may repeat; rows without an id all stay.
     """
-    marked = materialize(marks(docs.select("doc_id", "text")))
-    some = [F.first(c).alias(c) for c in ("text", "n", "keys")]
-    classes = materialize(marked.groupBy("node").agg(F.min("doc_id").alias("low"), *some))
-    grouped = classes.select("node", "low").join(similar_sets(classes, SIMILARITY), "node", "left")
-    grouped = grouped.select("low", F.coalesce("root", "node").alias("root"))
-    groups = grouped.groupBy("root").agg(F.min("low").alias("doc_id")).where("doc_id is not null")
-    keep = groups.select("doc_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("text")
-    first = docs.join(keep, "doc_id").withColumn("copy", F.row_number().over(order)).where("copy = 1")
-    return first.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    rows = materialize(marks(docs.withColumn("row", F.monotonically_increasing_id())))
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text", "row")).alias("first")
+    classes = rows.groupBy("node").agg(first, *(F.first(c).alias(c) for c in ("n", "keys")))
+    classes = materialize(classes.withColumn("text", F.col("first.text")))
+    grouped = classes.select("node", "first").join(similar_sets(classes, SIMILARITY), "node", "left")
+    kept = grouped.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.row")
+    return rows.join(kept, "row").where("doc_id is not null").unionByName(rows.where("doc_id is null")).select(docs.columns)
 
 
 def mask_personal_data(spark, docs, sf_dir):

@@ -48,3 +48,8 @@ def test_pairs_just_above_the_limit_link(survivors):
 def test_pairs_below_the_limit_all_stay(survivors):
     texts = planted(False)
     assert survivors(list(texts.items())) == sorted(texts.items())
+
+
+def test_rows_of_repeated_ids_are_judged_apart(survivors):
+    x, y, z = ("one two three four five six", "some other words that stay here", "and a third text of seven words")
+    assert survivors([(3, x), (5, x), (5, y), (6, z), (6, y)]) == [(3, x), (5, y), (6, z)]
