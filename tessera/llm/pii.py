@@ -86,7 +86,7 @@ def valid(kind: str, span: str) -> bool:
     if kind == "email":
         return True
     if kind == "ip":
-        return all(len(p) < 20 and int(p) <= 255 for p in span.split("."))
+        return all(len(p) <= 3 and int(p or 0) <= 255 for p in (p.lstrip("0") for p in span.split(".")))
     digits = NO_DIGITS.sub("", span)
     return 16 <= len(digits) <= 19 and luhn(digits) if kind == "card" else 8 <= len(digits) <= 15
 

@@ -214,3 +214,8 @@ def test_secret_edges(spark, forest, odd_docs, no_docs):
     assert len(rows) == odd_docs.count()
     assert {r.doc_id: r.n_secrets for r in rows}[10] == 1
     assert secrets.find_secrets(no_docs, forest).count() == 0
+
+
+def test_ip_parts_count_by_value_at_any_length():
+    assert all(pii.valid("ip", f"1.2.3.{'0' * n}{x}") for n in (0, 19, 5000) for x in (0, 4, 255))
+    assert not any(pii.valid("ip", f"1.2.3.{'0' * n}{x}") for n in (0, 19, 5000) for x in (256, 1000, 10**20))
