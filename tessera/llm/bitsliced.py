@@ -105,7 +105,7 @@ class Index:
 
     def top(self, q: np.ndarray, k: int, ids: np.ndarray, own: int):
         """(ids, scores) of the k best rows but ``own``, by score and then id, exact."""
-        rows = self.candidates(q, min(k + 1, self.n))
+        rows = self.candidates(q, min(k + int(np.count_nonzero(ids == own)), self.n))
         rows = rows[ids[rows] != own]
         scores = self.x[rows] @ q
         if len(rows) > k:

@@ -229,3 +229,13 @@ def test_topk_edges(spark):
     assert sorted((r["rank"], r.id, r.score) for r in got) == [(1, 0, 1), (2, 0, 1), (3, 4, 0)]
     assert bitsliced.topk_inner_product(df.where("false"), df, 5).count() == 0
     assert bitsliced.topk_inner_product(df, df.where("false"), 5).count() == 0
+
+
+def test_topk_of_an_id_repeated_more_often_than_k():
+    r = np.random.default_rng(2)
+    x = np.rint(r.standard_normal((400, 16)) * 9).astype(np.int64)
+    ids = np.arange(400)
+    x[:30], ids[:30] = x[0] * 3, 0
+    got, scores = bitsliced.Index(x).top(x[0], 20, ids, 0)
+    want = sorted((-int(x[i] @ x[0]), i) for i in range(30, 400))[:20]
+    assert list(zip((-scores).tolist(), got.tolist(), strict=True)) == want
