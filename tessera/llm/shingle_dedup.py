@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialize
+from .storage import drop_shuffles, materialize
 from .textscan import U, mix, slices, words
 
 BANDS, ROWS = 36, 5
@@ -93,8 +93,10 @@ def similar_sets(classes: DataFrame, least=0.8, shingle=5) -> DataFrame:
     p, q = least.numerator, least.denominator
     met = classes.select("node", "n", F.explode("keys").alias("key"))
     shared = materialize(met.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
+    drop_shuffles(classes.sparkSession)
     met = materialize(met.join(shared, "key"))
     sets = materialize(_sets(classes.join(met.select("node").distinct(), "node", "left_semi").select("node", "text"), shingle))
+    drop_shuffles(classes.sparkSession)
 
     def similar(pairs):
         sides = [sets.select(F.col("node").alias(x), F.col("shingles").alias(f"of_{x}")) for x in "ab"]
@@ -118,6 +120,7 @@ def similar_sets(classes: DataFrame, least=0.8, shingle=5) -> DataFrame:
         links = found if links is None else links.unionByName(found)
         tried = pairs if tried is None else tried.unionByName(pairs)
         roots = materialize(connected_components(links))
+        drop_shuffles(classes.sparkSession)
         if turn < LEADERS:
             named = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
             named = materialize(named.select("key", "node", "n", "root"))

@@ -1,5 +1,6 @@
 """Tables written to the shared checkpoint folder, to cut lineage and survive lost executors."""
 
+import gc
 import tempfile
 import uuid
 
@@ -28,6 +29,12 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files that only tables written since have read."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that this process materialized; DataFrames that read them end with it."""
     jvm = spark.sparkContext._jvm
