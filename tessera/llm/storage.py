@@ -29,6 +29,18 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of materialized tables that nothing reads any more."""
+    for table in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+            _delete(table.sparkSession, folder)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that only tables written since have read."""
     gc.collect()
@@ -37,7 +49,5 @@ def drop_shuffles(spark: SparkSession) -> None:
 
 def release(spark: SparkSession) -> None:
     """Delete the tables that this process materialized; DataFrames that read them end with it."""
-    jvm = spark.sparkContext._jvm
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())

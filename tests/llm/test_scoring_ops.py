@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import random
 import zlib
 from collections import Counter
 
@@ -122,11 +123,102 @@ def test_language_model_edges(spark, odd_docs, no_docs):
     assert hpy_lm.score_texts(no_docs, F.lit(True)).count() == 0
 
 
-def test_hot_words_are_split_without_changing_counts(spark):
+def plain_sampler(cells, base, d1, d0, burn, samples, seed):
+    """Customer by customer: contexts over one parent over a base; averaged predictive probabilities."""
+    r, tables, parent = random.Random(seed), {k: [] for k in cells}, {w: [] for w in base}
+    opened, customers = Counter(), Counter()
+    for (u, _), c in cells.items():
+        customers[u] += c
+
+    def p0(w):
+        seated, all_tables = (sum(f(x) for x in parent.values()) for f in (sum, len))
+        return (sum(parent[w]) - d0 * len(parent[w]) + (1 + d0 * all_tables) * base[w]) / (1 + seated)
+
+    def sit(own, discount, new):
+        k = r.choices(range(len(own) + 1), [*(n - discount for n in own), new])[0]
+        own[k:] = [*own[k : k + 1], *own[k + 1 :]] or [0]
+        own[k] += 1
+        return own[k] == 1
+
+    def leave(own):
+        k = r.choices(range(len(own)), own)[0]
+        own[k] -= 1
+        return not own[k] and own.pop(k) == 0
+
+    def add(u, w):
+        if sit(tables[u, w], d1, (1 + d1 * opened[u]) * p0(w)):
+            opened[u] += 1
+            sit(parent[w], d0, (1 + d0 * sum(map(len, parent.values()))) * base[w])
+
+    def remove(u, w):
+        if leave(tables[u, w]):
+            opened[u] -= 1
+            leave(parent[w])
+
+    each, out = [k for k, c in cells.items() for _ in range(c)], Counter()
+    for k in each:
+        add(*k)
+    for sweep in range(burn + samples):
+        for k in each:
+            remove(*k)
+            add(*k)
+        for u in customers if sweep >= burn else ():
+            for w in base:
+                own = tables.get((u, w), [])
+                out[u, w] += (sum(own) - d1 * len(own) + (1 + d1 * opened[u]) * p0(w)) / (1 + customers[u]) / samples
+    return out
+
+
+def test_averaged_probabilities_are_those_of_a_plain_sampler():
+    r, n_contexts, n_words = np.random.default_rng(1), 5, 10
+    cells = {(u, w): int(r.integers(1, 12)) for u in range(n_contexts) for w in range(n_words) if r.random() < 0.4}
+    keys = [(u, w) for u in range(n_contexts) for w in range(n_words)]
+    c, (context, word) = np.array([cells.get(k, 0) for k in keys]), np.array(keys).T
+    n = np.bincount(word, c, n_words)
+    base = (n + 1) / (n.sum() + n_words + 1)
+    d1, d0 = hpy_lm._discount(c), hpy_lm._discount(np.bincount(word, np.minimum(c, 1), n_words))
+    want = plain_sampler(cells, dict(enumerate(base)), d1, d0, 30, 600, 0)
+    ones = np.ones(n_contexts)
+    got = hpy_lm.predictive(c, context, word, base, ones < 0, (ones, ones), 30, 2000, np.random.default_rng(0))
+    off = np.abs(got / np.array([want[k] for k in keys]) - 1)
+    assert off.max() < 0.15 and off.mean() < 0.03
+
+
+def test_rooms_of_a_frequent_context_add_up_to_one():
+    r, rooms, n_words = np.random.default_rng(2), 3, 30
+    n = r.integers(1, 50, n_words)
+    total, of, own_c = n.sum() + n_words + 1, np.arange(n_words) % rooms, r.integers(0, 9, n_words)
+    base, added = np.append(n + 1, 1) / total, 0.0
+    for k in range(rooms):
+        mine = np.append(of == k, k == 0)  # the unknown word is in room 0
+        c, share = np.append(own_c, 0)[mine], base[mine].sum()
+        whole = (c.sum() + share) / (own_c.sum() + 1)
+        at = np.zeros(len(c), int)
+        added += hpy_lm.predictive(c, at, np.arange(len(c)), base[mine], np.array([True]), (np.array([whole]), np.array([share])), 2, 3, r).sum()
+    assert math.isclose(added, 1)
+
+
+def test_frequent_contexts_and_partitions_leave_scores_whole(spark, monkeypatch):
+    """Frequent contexts in rooms score every token and beat the base; how the rows are dealt changes nothing."""
     df, rows = corpus(spark, 80, 3)
-    source = df.select(F.col("doc_id").alias("id"), "text", F.lit(True).alias("train"))
-    hot, total = hpy_lm._frequent(source)
-    assert total == sum(len(t.split()) + 1 for _, t in rows) and 0 < len(hot) <= hpy_lm.SHARE
+    monkeypatch.setattr(hpy_lm, "ROOM", 20)
+    score = lambda d: sorted((r.doc_id, r.score, r.base_score, r.n_tokens) for r in hpy_lm.score_texts(d, F.col("doc_id") % 4 != 0, buckets=4).collect())
+    got = score(df)
+    assert [g[0] for g in got] == [i for i, _ in rows] and all(g[3] == len(t.split()) + 1 for g, (_, t) in zip(got, rows, strict=True))
+    assert sum(g[1] for g in got if g[0] % 4 == 0) > 0.85 * sum(g[2] for g in got if g[0] % 4 == 0)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    try:
+        again = score(df.repartition(5))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-12) for a, b in zip(got, again, strict=True))
+
+
+def test_long_text_is_scored_whole(spark):
+    text = "some words that come again " * 500_000  # 13.5 MB, over a slice
+    got = hpy_lm.score_texts(spark.createDataFrame([(1, text), (2, "some words")], "doc_id long, text string"), F.lit(True)).collect()
+    assert {r.doc_id: r.n_tokens for r in got} == {1: 2_500_001, 2: 3}
 
 
 def labelled(spark, n=600):
