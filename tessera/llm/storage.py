@@ -29,6 +29,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Write df's partitions as they are to the shared folder; joins on what it is dealt by need no new shuffle."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+        _made.append(spark.sparkContext.getCheckpointDir())
+    return df.checkpoint()
+
+
 def discard(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for table in tables:

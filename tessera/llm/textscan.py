@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK = 2 << 20
+BLOCK = 1 << 19
 U = np.uint64
 
 
@@ -91,13 +92,26 @@ class Keys:
         return mix(key ^ (found[1] * U(0x9FB21C651E98DF25))) if len(found) > 1 else key
 
 
+def word_keys(data, starts, ends, both=True):
+    """Keys of the spans of a byte buffer, A-Z lower-cased; spans don't overlap and are in order.
+
+    It works on blocks of about ``BLOCK`` bytes, cut between spans, so that memory doesn't follow the buffer.
+    """
+    keys, a = np.empty(len(starts), U), 0
+    while a < len(starts):
+        lo = starts[a]
+        b = max(a + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
+        low = LOWER[data[lo : ends[b - 1]]]
+        keys[a:b] = Keys([t[low] for t in BYTES[: 1 + both]], both)(starts[a:b] - lo, ends[a:b] - lo)
+        a = b
+    return keys
+
+
 def words(column, both=True):
     """(keys, document index, offsets) of the white-space separated words, A-Z lower-cased."""
     data, offsets = buffer(column)
     starts, ends = runs(~SPACE[data], offsets)
-    low = LOWER[data]
-    keys = Keys([t[low] for t in BYTES[: 1 + both]], both)(starts, ends)
-    return keys, np.searchsorted(offsets[1:], starts, "right"), offsets
+    return word_keys(data, starts, ends, both), np.searchsorted(offsets[1:], starts, "right"), offsets
 
 
 #: The code points with the Unicode property White_Space.

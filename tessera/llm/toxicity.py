@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .textscan import BYTES, LOWER, Keys, U, buffer, runs, slices
+from .textscan import U, buffer, runs, slices, word_keys
 
 PREFIXES = (4, 5, 6, 8)
 LETTER = np.zeros(256, bool)
@@ -25,11 +25,9 @@ def features(column):
     """(keys, document index): every word and every opening of a longer word, repeats included."""
     data, offsets = buffer(column)
     starts, ends = runs(LETTER[data], offsets)
-    low = LOWER[data]
-    keys = Keys([t[low] for t in BYTES])
     doc = np.searchsorted(offsets[1:], starts, "right")
     long = [ends - starts > p for p in PREFIXES]
-    found = [keys(starts, ends), *(keys(starts[m], starts[m] + p) for m, p in zip(long, PREFIXES, strict=True))]
+    found = [word_keys(data, starts, ends), *(word_keys(data, starts[m], starts[m] + p) for m, p in zip(long, PREFIXES, strict=True))]
     return np.concatenate(found), np.concatenate([doc, *(doc[m] for m in long)])
 
 
