@@ -154,7 +154,7 @@ def token_ids(texts, path):
     vocabulary, *_, memo = _loaded(path)
     joined, points, offsets = codepoints([t or "" for t in texts])
     starts, ends = pieces(points, offsets, spaced=True)
-    keys, first, at = np.unique(point_keys(points)(starts, ends), return_index=True, return_inverse=True)
+    keys, first, at = np.unique(point_keys(points, starts, ends), return_index=True, return_inverse=True)
     a, b = starts[first].tolist(), ends[first].tolist()
 
     def encode(missing):

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .storage import materialize
-from .textscan import codepoints, gather, pieces, point_keys, slices
+from .textscan import codepoints, gather, pieces, point_keys, slices, unassigned
 
 LENGTH = 2048
 STEP = 8
@@ -55,16 +55,15 @@ def _tokenizer(path):
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
-    model.encode_special_tokens = True  # their strings in a text are ordinary text
     last = np.zeros(model.get_vocab_size(), bool)
     for token, i in model.get_vocab().items():
         last[i] = token.endswith("</w>")
-    return model, last, Memo()
+    return model, last, Memo(), [t.content for t in model.get_added_tokens_decoder().values()]
 
 
 def encode_words(words, path):
     """Token ids of each word by itself, as uint32 bytes: many words a call, cut at word-ending tokens."""
-    model, last, _ = _tokenizer(path)
+    model, last, *_ = _tokenizer(path)
     out = []
     for at in range(0, len(words), 512):
         some = words[at : at + 512]
@@ -78,16 +77,17 @@ def encode_words(words, path):
 
 
 def normalise(text):
+    if text.isascii():
+        return text.lower()
     if not unicodedata.is_normalized("NFC", text):
         text = unicodedata.normalize("NFC", text)
     return text.replace("Σ", "σ").lower()  # character by character, so without a final sigma
 
 
-def token_ids(texts, path):
-    """(ids of all texts laid end to end, end of each text among them)."""
-    joined, points, offsets = codepoints([normalise(t or "") for t in texts])
+def _split_ids(joined, points, offsets, path):
+    """(ids of all normalised texts laid end to end, end of each), each distinct piece encoded once."""
     starts, ends = pieces(points, offsets, spaced=False)
-    keys, first, at = np.unique(point_keys(points)(starts, ends), return_index=True, return_inverse=True)
+    keys, first, at = np.unique(point_keys(points, starts, ends), return_index=True, return_inverse=True)
     a, b = starts[first].tolist(), ends[first].tolist()
     coded = _tokenizer(path)[2].get(keys.tolist(), lambda m: encode_words([joined[a[i] : b[i]] for i in m], path))
     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
@@ -96,6 +96,26 @@ def token_ids(texts, path):
     return flat[place], np.concatenate([[0], done])[np.searchsorted(starts, offsets[1:])]
 
 
+def token_ids(texts, path):
+    """(ids of all texts laid end to end, end of each text among them), as the library gives them.
+
+    Texts that hold the string of an added token, or a code point that this Python's Unicode tables
+    don't know, go to the library whole.
+    """
+    model, *_, added = _tokenizer(path)
+    known = [normalise(t or "") for t in texts]
+    joined, points, offsets = codepoints(known)
+    high = np.flatnonzero(points > 0x2FF)  # all below are assigned
+    strange = high[unassigned()[points[high]]]
+    apart = {*(np.searchsorted(offsets, strange, "right") - 1).tolist()}
+    apart |= {i for i, (n, t) in enumerate(zip(known, texts, strict=True)) if any(a in n or a in (t or "") for a in added)}
+    if not apart:
+        return _split_ids(joined, points, offsets, path)
+    ids, ends = _split_ids(*codepoints(["" if i in apart else k for i, k in enumerate(known)]), path)
+    each = [np.array(model.encode(texts[i], add_special_tokens=False).ids, np.uint32) if i in apart else p for i, p in enumerate(np.split(ids, ends[:-1]))]
+    return np.concatenate(each), np.cumsum([len(p) for p in each])
+
+
 def cut_documents(docs, path, length=LENGTH, id_col="doc_id", text_col="text") -> DataFrame:
     """One row per piece: id, start, length, ids_crc32 and doc_tokens, from whole texts (null: empty)."""
 

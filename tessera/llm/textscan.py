@@ -92,21 +92,25 @@ class Keys:
         return mix(key ^ (found[1] * U(0x9FB21C651E98DF25))) if len(found) > 1 else key
 
 
-def word_keys(data, starts, ends, both=True):
-    """Keys of the spans of a byte buffer, A-Z lower-cased; spans don't overlap and are in order.
+def span_keys(values, starts, ends, both=True):
+    """Keys of spans in order that don't overlap; values(lo, hi) gives the symbol values of a part of the buffer.
 
-    It works on blocks of about ``BLOCK`` bytes, cut between spans, so that memory doesn't follow the buffer.
+    It works on blocks of about ``BLOCK`` symbols, cut between spans, so that memory doesn't follow the buffer.
     """
     keys, a = np.empty(len(starts), U), 0
     while a < len(starts):
         lo = starts[a]
         b = max(a + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
-        low = LOWER[data[lo : ends[b - 1]]]
-        keys[a:b] = Keys([t[low] for t in BYTES[: 1 + both]], both)(starts[a:b] - lo, ends[a:b] - lo)
+        keys[a:b] = Keys(values(lo, ends[b - 1]), both)(starts[a:b] - lo, ends[a:b] - lo)
         a = b
     return keys
 
 
+def word_keys(data, starts, ends, both=True):
+    """Keys of spans of a byte buffer, A-Z lower-cased."""
+    return span_keys(lambda lo, hi: [t[LOWER[data[lo:hi]]] for t in BYTES[: 1 + both]], starts, ends, both)
+
+
 def words(column, both=True):
     """(keys, document index, offsets) of the white-space separated words, A-Z lower-cased."""
     data, offsets = buffer(column)
@@ -118,6 +122,12 @@ def words(column, both=True):
 WHITE = [*range(9, 14), 32, 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]
 
 
+@cache
+def unassigned():
+    """Code points that this Python's Unicode tables don't know, and later tables may."""
+    return np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+
 @cache
 def classes():
     """Class of every code point: 0 white space, 1 letter, 2 number, 3 anything else."""
@@ -189,9 +199,14 @@ def pieces(points, offsets, spaced):
     return starts[keep], ends[keep]
 
 
-def point_keys(points):
-    v = points.astype(U) + U(1)
-    return Keys([mix(v * U(k)) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)])
+def point_keys(points, starts, ends):
+    """Keys of spans of code points."""
+
+    def values(lo, hi):
+        v = points[lo:hi].astype(U) + U(1)
+        return [mix(v * U(k)) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+    return span_keys(values, starts, ends)
 
 
 def gather(lengths, starts, index):

@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -261,8 +262,7 @@ def test_token_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     own = Tokenizer.from_file(PATH)
-    own.encode_special_tokens = True
-    texts = ["", None, "it's 'street we'll'' 're x", "á É İ ΟΔΟΣ 12½ ٣ <|endoftext|> \x1c\x85 a b", "'s", "''t", "don't", "x'", "'", "é ẛ̣", "'", "s next", "…—“q”", "a​b", "中文 日本語", "-" * 400]
+    texts = ["hello <|endoftext|> world", "a<|startoftext|><|endoftext|>", "<|STARTOFTEXT|> <| endoftext |>", "", None, "it's 'street we'll'' 're x", "á É İ ΟΔΟΣ 12½ ٣ <|endoftext|> \x1c\x85 a b", "'s", "''t", "don't", "x'", "'", "é ẛ̣", "'", "s next", "…—“q”", "a​b", "中文 日本語", "-" * 400]
     ids, ends = packing.token_ids(texts, PATH)
     at = 0
     for text, end in zip(texts, ends.tolist(), strict=True):
@@ -270,14 +270,28 @@ def test_token_ids_equal_the_library():
         at = end
 
 
+def test_ids_of_every_code_point_equal_the_library():
+    """Assigned code points, some that this Python doesn't know, between letters, blanks and themselves."""
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(PATH)
+    kinds = [unicodedata.category(chr(c)) for c in range(0x110000)]
+    points = [c for c, k in enumerate(kinds) if k not in ("Cn", "Co", "Cs")] + [c for c, k in enumerate(kinds) if k == "Cn"][::97] + [0xE000, 0x10FFFD, 0x1C89, 0xA7CB, 0x105C0]
+    for a in range(0, len(points), 20_000):
+        some = [f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}'s" for c in points[a : a + 20_000]]
+        ids, ends = packing.token_ids(some, PATH)
+        found = np.split(ids, ends[:-1])
+        assert [hex(c) for c, f, e in zip(points[a:], found, own.encode_batch(some, add_special_tokens=False), strict=False) if f.tolist() != e.ids] == []
+
+
 def check_packing(rows, texts, length=2048):
+    from tokenizers import Tokenizer
+
     want = {}
-    ids, ends = packing.token_ids([t for _, t in texts], PATH)
-    at = 0
+    model = Tokenizer.from_file(PATH)
     copies = Counter()
-    for (i, _), end in zip(texts, ends.tolist(), strict=True):
-        own = np.append(ids[at:end], packing.END).astype("<u4")
-        at = end
+    for i, text in texts:
+        own = np.array([*model.encode(text or "", add_special_tokens=False).ids, packing.END], "<u4")
         for s in range(0, len(own), length):
             p = own[s : s + length]
             copies[i, s, len(p), zlib.crc32(p.tobytes()), len(own)] += 1
