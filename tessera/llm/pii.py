@@ -33,12 +33,12 @@ BASE = {
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
 WIDE = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?[\[(]at[\])] ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]{1,63}){1,8}", re.I),
-    "ip": re.compile(r"(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}"),
+    "email": re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++ ?[\[(]at[\])] ?[A-Za-z0-9-]++(?: ?(?:\.|[\[(]dot[\])]) ?[A-Za-z0-9-]++)+", re.I),
+    "ip": re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])"),
     "phone": re.compile(r"(?:\([2-9][0-9]{2}\) ?|[2-9][0-9]{2}[-.])[2-9][0-9]{2}[-.][0-9]{4}"),
 }
-#: Without this text a wide pattern has no match.
-NEEDS = {"email": ("[at", "(at"), "ip": (":",), "phone": ("-", ".")}
+#: Without a match of these a wide pattern has none.
+NEEDS = {"email": re.compile(r"[\[(]at[\])]", re.I), "ip": re.compile(":"), "phone": re.compile(r"[0-9][-.][0-9]{4}")}
 DIGIT = re.compile(r"[0-9]")
 NO_DIGITS = re.compile(r"[^0-9]")
 #: Gazetteers: endings of addresses, phone country codes, first digits of card issuers.
@@ -140,7 +140,7 @@ def candidates(text: str) -> list[Candidate]:
         own = [Candidate(kind, a, b, True) for a, b in spans if valid(kind, text[a:b])]
         if kind == "card":
             more = [s for s in spans if 13 <= len(NO_DIGITS.sub("", text[slice(*s)])) <= 15]
-        elif (digits or kind == "email") and any(x in text for x in NEEDS[kind]):
+        elif NEEDS[kind].search(text):
             more = [m.span() for m in WIDE[kind].finditer(text)]
         else:
             more = []

@@ -30,12 +30,20 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Write df's partitions as they are to the shared folder; joins on what it is dealt by need no new shuffle."""
+    """Write df's partitions as they are to the shared folder; joins on what it is dealt by need no new shuffle.
+
+    It is planned without adaptive execution, whose plans don't tell how their rows are dealt.
+    """
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
         _made.append(spark.sparkContext.getCheckpointDir())
-    return df.checkpoint()
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df.checkpoint()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
 
 
 def discard(*tables: DataFrame) -> None:
