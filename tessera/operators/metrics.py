@@ -48,14 +48,25 @@ def mrr_at(run, qrels, k) -> DataFrame:
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, cuts=(10, 100)) -> DataFrame:
-    """One row: ndcg and recall at each cut, map and mrr at the first."""
-    out = None
-    kinds = [(f"{n}_{k}", f, k) for k in cuts for n, f in (("ndcg", ndcg_at), ("recall", recall_at))]
-    kinds += [(f"{n}_{cuts[0]}", f, cuts[0]) for n, f in (("map", map_at), ("mrr", mrr_at))]
-    for name, f, k in kinds:
-        one = f(run, qrels, k).agg(F.round(F.avg(name.split("_")[0]), 4).alias(name))
-        out = one if out is None else out.crossJoin(one)  # one row each
-    return out
+    """One row: ndcg and recall at each cut, map and mrr at the first. Run and judgements meet once."""
+    first = cuts[0]
+    by_gain = Window.partitionBy("qid").orderBy(F.desc("rel"), "doc_id")
+    judged = qrels.withColumn("place", F.when(F.col("rel") > 0, F.row_number().over(by_gain)))
+    gain = lambda at, k: F.coalesce(F.sum(F.when(F.col(at) <= k, F.col("rel") / F.log2(F.col(at) + 1))), F.lit(0.0))
+    ideal = judged.groupBy("qid").agg(F.count("place").alias("n"), *(gain("place", k).alias(f"ideal_{k}") for k in cuts))
+    so_far = F.count("*").over(Window.partitionBy("qid").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
+    hits = _hits(run, qrels, max(cuts)).withColumn("precision", so_far / F.col("rank"))
+    found = hits.groupBy("qid").agg(
+        *(gain("rank", k).alias(f"dcg_{k}") for k in cuts),
+        *(F.count(F.when(F.col("rank") <= k, 1)).alias(f"hits_{k}") for k in cuts),
+        F.sum(F.when(F.col("rank") <= first, F.col("precision"))).alias("map"),
+        F.min(F.when(F.col("rank") <= first, F.col("rank"))).alias("best"),
+    )
+    both = ideal.join(found, "qid", "left")
+    mean = lambda c: F.round(F.avg(F.coalesce(c, F.lit(0.0))), 4)
+    over = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    each = [x for k in cuts for x in (mean(over(f"dcg_{k}", f"ideal_{k}")).alias(f"ndcg_{k}"), mean(over(f"hits_{k}", "n")).alias(f"recall_{k}"))]
+    return both.agg(*each, mean(over("map", "n")).alias(f"map_{first}"), mean(1 / F.col("best")).alias(f"mrr_{first}"))
 
 
 def ms_per_query(seconds: float, queries: int) -> float:

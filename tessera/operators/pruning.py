@@ -12,11 +12,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
-from tessera.operators.scoring import QUERY_BYTES, best_then_sum, rounded, small, token_pairs, topk
+from tessera.operators.scoring import QUERY_BYTES, _query_groups, best_then_sum, rounded, small, token_pairs, topk
 from tessera.sources.stages import cut_lineage
 
 SLACK = 1e-9
@@ -79,28 +80,36 @@ def live_tokens(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("best", best).withColumn("needed", needed).where("needed").drop("needed", "best")
 
 
-def _step(live: DataFrame, docs: DataFrame, queries: DataFrame, start: int, stop: int, factor: float) -> DataFrame:
-    """The live pairs with p extended over dimensions start..stop-1, and new bounds."""
-    d = docs.select("doc_id", "tok", V.dims("vec", start, stop).alias("dv"), V.tail_norm("vec", stop).alias("dr"))
-    q = queries.select("qid", "qtok", V.dims("vec", start, stop).alias("qv"), V.tail_norm("vec", stop).alias("qr"))
-    grown = live.join(d, ["doc_id", "tok"]).join(small(q), ["qid", "qtok"]).withColumn("p", F.col("p") + V.dot("qv", "dv"))
-    r = F.col("qr") * F.col("dr") * factor
-    return grown.select("qid", "qtok", "doc_id", "tok", "p", (F.col("p") + r).alias("u"), (F.col("p") - r).alias("l"))
+def _step(live: DataFrame, docs: DataFrame, queries: DataFrame, start: int, stop: int) -> DataFrame:
+    """The live pairs with p extended over dimensions start..stop-1 of the query's order, and new bounds."""
+    width = F.size("qvec")
+    q = queries.select("qid", "qtok", "qvec", "order", "shrink")
+    grown = live.join(docs.withColumnRenamed("vec", "dvec"), ["doc_id", "tok", "turned"]).join(small(q), ["qid", "qtok"])
+    ordered = F.when(F.col("order").isNull(), F.col("dvec")).otherwise(V.gather("dvec", "order"))
+    part = V.let(ordered, lambda d: F.struct(V.dot(V.dims("qvec", start, stop), V.dims(d, start, stop)).alias("p"), (V.tail_norm("qvec", stop) * V.tail_norm(d, stop)).alias("r")))
+    factor = F.col("shrink") + (1 - F.col("shrink")) * (width - stop) / width
+    grown = grown.withColumn("part", part).withColumn("p", F.col("p") + F.col("part.p")).withColumn("r", F.col("part.r") * factor)
+    return grown.select("qid", "qtok", "doc_id", "tok", "turned", "p", (F.col("p") + F.col("r")).alias("u"), (F.col("p") - F.col("r")).alias("l"))
 
 
-def pruned_search(docs: DataFrame, queries: DataFrame, k: int, steps: list[int], shrink=1.0, warm_up=0) -> tuple[DataFrame, DataFrame]:
-    """(top k: qid, rank, doc_id, score; work by qid and step: live pairs and cells) by rounds of pruning.
+def pruned_rounds(docs: DataFrame, queries: DataFrame, k: int, steps: list[int], warm_up=0) -> tuple[DataFrame, DataFrame]:
+    """(top k: qid, rank, doc_id, score; work by qid and step: live pairs and cells), each query by its own setting.
 
-    steps: numbers of scanned dimensions, rising to the full width; those under ``warm_up`` are
-    scanned without a bound. Exact at shrink = 1. Each round is a stored table.
+    docs: doc_id, tok, vec, turned. queries: qid, qtok, qvec, order, shrink, first, turned: vectors with
+    their dimensions in the query's order (null: as stored), the factor on residuals, how many documents by
+    id take part (null: all), and which variant of the documents it meets. Each round is a stored table
+    that narrows the (query, document, token) rows of the next; a query's threshold is its k-th best lower
+    bound of the round.
     """
     width = steps[-1]
     kept = [s for s in steps if s >= warm_up] or [width]
-    docs, queries = cut_lineage(docs.select("doc_id", "tok", "vec")), cut_lineage(queries.select("qid", "qtok", "vec"))
-    live = docs.select("doc_id", "tok").crossJoin(small(queries.select("qid", "qtok"))).withColumn("p", F.lit(0.0))
+    docs, queries = cut_lineage(docs.select("doc_id", "tok", "vec", "turned")), cut_lineage(queries)
+    asked = small(queries.select("qid", "qtok", "first", F.col("turned").alias("side")))
+    meets = (F.col("turned") == F.col("side")) & (F.col("first").isNull() | (F.col("doc_id") < F.col("first")))
+    live = docs.select("doc_id", "tok", "turned").join(asked, meets).select("qid", "qtok", "doc_id", "tok", "turned", F.lit(0.0).alias("p"))
     work, at = None, 0
     for step in kept:
-        pairs = cut_lineage(_step(live, docs, queries, at, step, V.confidence(step, width, shrink)))
+        pairs = cut_lineage(_step(live, docs, queries, at, step))
         done = pairs.groupBy("qid").agg(F.count("*").alias("pairs")).select("qid", F.lit(step).alias("step"), "pairs", (F.col("pairs") * (step - at)).alias("cells"))
         work = done if work is None else work.unionByName(done)
         if step == width:
@@ -112,10 +121,111 @@ def pruned_search(docs: DataFrame, queries: DataFrame, k: int, steps: list[int],
         order = Window.partitionBy("qid").orderBy(F.desc("lb"), "doc_id")
         tau = F.max(F.when(F.col("rn") == k, F.col("lb"))).over(Window.partitionBy("qid"))
         kept_docs = bounds.withColumn("rn", F.row_number().over(order)).withColumn("tau", tau).where("tau IS NULL OR ub >= tau - 1e-9").select("qid", "doc_id")
-        live, at = alive.join(kept_docs, ["qid", "doc_id"]).select("qid", "qtok", "doc_id", "tok", "p"), step
+        live, at = alive.join(kept_docs, ["qid", "doc_id"]).select("qid", "qtok", "doc_id", "tok", "turned", "p"), step
     return topk(rounded(best_then_sum(live, F.col("p"))), k), work
 
 
+def pruned_search(docs: DataFrame, queries: DataFrame, k: int, steps: list[int], shrink=1.0, warm_up=0) -> tuple[DataFrame, DataFrame]:
+    """(top k, work) by rounds of pruning with dimensions as stored; see pruned_rounds().
+
+    steps: numbers of scanned dimensions, rising to the full width; those under ``warm_up`` are
+    scanned without a bound. Exact at shrink = 1.
+    """
+    own = queries.select("qid", "qtok", V.doubles("vec").alias("qvec"), F.lit(None).cast("array<int>").alias("order"), F.lit(float(shrink)).alias("shrink"), F.lit(None).cast("long").alias("first"), F.lit(False).alias("turned"))
+    return pruned_rounds(docs.select("doc_id", "tok", V.doubles("vec").alias("vec"), F.lit(False).alias("turned")), own, k, steps, warm_up)
+
+
+def pruned_topk(packed: DataFrame, queries: DataFrame, k: int, steps: list[int], warm_up=0, dense_from=0.5, limit=QUERY_BYTES) -> DataFrame:
+    """qid, rank, doc_id, score of the exact k best, each query by its own order of dimensions, in one pass.
+
+    packed: pack_documents(). queries: qid, qtok, vec and, if they have one, order (array of dimensions,
+    one a query). A task keeps each query's k best so far; the k-th is the threshold for the documents
+    that follow, which are scanned step by step and dropped once their upper bound is below it, tokens
+    once no query token can need them. Where at least ``dense_from`` of a block is still wanted, the rest
+    is scanned without bounds. Steps under ``warm_up`` have no bound. Blocks return k rows a query.
+    """
+    marks = [s for s in steps if s >= warm_up] or [steps[-1]]
+    ordered = "order" in queries.columns
+    spark, out = packed.sparkSession, None
+    for group in _query_groups(queries, limit):
+        rows = group.select("qid", "qtok", V.doubles("vec").alias("vec"), *(["order"] if ordered else [])).orderBy("qid", "qtok").collect()
+        asked = {}
+        for r in rows:
+            asked.setdefault(r.qid, []).append(r)
+        asked = [(i, np.array([r.vec for r in own]), np.array(own[0].order) if ordered and own[0].order is not None else None) for i, own in asked.items()]
+        if not asked:
+            continue
+        shared = spark.sparkContext.broadcast(asked)  # at most ``limit`` bytes
+        one = packed.select("doc_id", "toks").mapInArrow(_pruning_scan(shared, k, marks, dense_from), "qid long, doc_id long, score double")
+        out = one if out is None else out.unionByName(one)
+    empty = spark.createDataFrame([], "qid long, doc_id long, score double")
+    return topk(out if out is not None else empty, k)
+
+
+#: Document tokens that are scanned at a time.
+SCAN_TOKENS = 1 << 15
+
+
+def _scan_block(flat, sizes, q, order, floor, marks, dense_from):
+    """(places of the documents that may score above floor, their scores) of a block of documents' tokens."""
+    if order is not None:
+        flat, q = flat[:, order], q[:, order]
+    docs, tokens, at = np.arange(len(sizes)), np.arange(len(flat)), 0
+    partial = np.zeros((len(q), len(flat)))
+    square = (flat * flat).sum(1)
+    for mark in marks:
+        seen = flat[tokens, at:mark] if len(tokens) < len(flat) else flat[:, at:mark]
+        partial += q[:, at:mark] @ seen.T
+        at = mark
+        if mark == marks[-1] or floor == -np.inf:
+            continue
+        square = square - (seen * seen).sum(1)
+        slack = np.linalg.norm(q[:, mark:], axis=1)[:, None] * np.sqrt(np.maximum(square, 0)) + SLACK
+        cuts = np.cumsum(sizes) - sizes
+        wanted = np.maximum.reduceat(partial + slack, cuts, axis=1).sum(0) >= floor - 1e-6  # scores are rounded
+        if wanted.mean() >= dense_from:
+            partial += q[:, at : marks[-1]] @ flat[tokens, at : marks[-1]].T
+            break
+        best = np.maximum.reduceat(partial - slack, cuts, axis=1)
+        needed = (partial + slack >= np.repeat(best, sizes, axis=1)).any(0) & np.repeat(wanted, sizes)
+        sizes = np.add.reduceat(needed.astype(np.int64), cuts)[wanted]
+        docs, tokens, square, partial = docs[wanted], tokens[needed], square[needed], partial[:, needed]
+        if not len(docs):
+            return docs, np.zeros(0)
+    return docs, np.maximum.reduceat(partial, np.cumsum(sizes) - sizes, axis=1).sum(0)
+
+
+def _pruning_scan(shared, k, marks, dense_from):
+    def scan(batches):
+        best = {}
+        for batch in batches:
+            ids, toks = batch.column(0).to_numpy(), batch.column(1)
+            sizes = toks.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            some = np.flatnonzero(sizes)
+            if not len(some):
+                continue
+            ids, sizes = ids[some], sizes[some]
+            flat = toks.flatten().flatten().to_numpy(zero_copy_only=False).reshape(int(sizes.sum()), -1)
+            ends, at = np.cumsum(sizes), 0
+            while at < len(ids):
+                done = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, done + SCAN_TOKENS, "right")))
+                for qid, q, order in shared.value:
+                    held = best.get(qid)
+                    floor = held[0][-1] if held is not None and len(held[0]) == k else -np.inf
+                    found, score = _scan_block(flat[done : ends[stop - 1]], sizes[at:stop], q, order, floor, marks, dense_from)
+                    score, own = np.round(score, 6), ids[at:stop][found]
+                    if held is not None:
+                        score, own = np.concatenate([held[0], score]), np.concatenate([held[1], own])
+                    first = np.lexsort((own, -score))[:k]
+                    best[qid] = score[first], own[first]
+                at = stop
+        for qid, (score, own) in best.items():
+            yield pa.record_batch({"qid": np.full(len(own), qid), "doc_id": own, "score": score})
+
+    return scan
+
+
 def work_share(work: DataFrame, full: DataFrame) -> DataFrame:
     """qid, cells scanned and their share of a full scan (full: qid, cells)."""
     total = work.groupBy("qid").agg(F.sum("cells").alias("scanned"))

@@ -6,18 +6,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from tessera.functions import vectors as V
+from tessera.sources.stages import cut_lineage
 
 #: Bytes of query vectors that go to every executor at once; more are dealt in groups.
 QUERY_BYTES = 64 << 20
-#: Rows of a side that may be broadcast in a nested-loop join.
-BROADCAST_ROWS = 50_000
 
 
-def small(side: DataFrame, rows=BROADCAST_ROWS) -> DataFrame:
-    """The side with a broadcast hint if it is known to be small, else as it is, for a distributed join."""
-    return F.broadcast(side) if side.limit(rows + 1).count() <= rows else side
+def small(side: DataFrame, limit=QUERY_BYTES) -> DataFrame:
+    """The side, stored once and measured: with a broadcast hint up to ``limit`` bytes, else for a distributed join."""
+    stored = cut_lineage(side)
+    arrays = [F.coalesce(F.size(f.name).cast("long"), F.lit(0)) * 8 for f in stored.schema if isinstance(f.dataType, ArrayType)]
+    size = stored.select(F.sum(sum(arrays, F.lit(16 * len(stored.columns))).cast("long"))).first()[0] or 0
+    return F.broadcast(stored) if size <= limit else stored
 
 
 def token_pairs(docs: DataFrame, queries: DataFrame) -> DataFrame:

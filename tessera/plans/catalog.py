@@ -1,6 +1,6 @@
 """Registry of the retrieval queries."""
 
-from tessera.plans import base, dimensions, neighbours, pruning, relational, scoring
+from tessera.plans import base, dimensions, neighbours, pruning, relational, scoring, sweeps
 
 
 def queries():
@@ -11,4 +11,4 @@ def oracle_sql():
     return dict(base.SQL)
 
 
-__all__ = ["dimensions", "neighbours", "oracle_sql", "pruning", "queries", "relational", "scoring"]
+__all__ = ["dimensions", "neighbours", "oracle_sql", "pruning", "queries", "relational", "scoring", "sweeps"]

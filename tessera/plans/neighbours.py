@@ -180,7 +180,7 @@ def ivf_probe_topk(spark, sf_dir):
 LISTS = f"""{PAIRS}, centres AS (SELECT label AS centroid, list(c ORDER BY dim) AS cv FROM (SELECT label, dim, round(avg(x[dim + 1]), 9) AS c FROM v, range(0, 64) t(dim) GROUP BY ALL) GROUP BY label),
     a AS (SELECT vec_id, x, centroid FROM v, centres QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY round(list_inner_product(x, cv), 6) DESC, centroid) = 1),
     p AS (SELECT qid, q, centroid FROM q, centres QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(list_inner_product(q, cv), 6) DESC, centroid) <= 2),
-    h AS (SELECT qid, vec_id, list_sum(list_transform(list_zip(q, x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS l2 FROM p JOIN a USING (centroid))
+    h AS (SELECT qid, vec_id, q, x, list_sum(list_transform(list_zip(q, x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS l2 FROM p JOIN a USING (centroid))
     {_top('l2', 'ASC', 'h')}"""
 
 
@@ -205,7 +205,7 @@ def ivf_bond_scan(spark, sf_dir):
     return I.early_scan(lists, centres, queries, 2, K, STEPS, order=order)[0]
 
 
-@query(None)
+@query(early_sql(2.0).replace(PAIRS.split(",\n    s AS")[0], LISTS.split(_top("l2", "ASC", "h"))[0].rstrip()).replace("FROM q, v)", "FROM h)") + " " + _top("part", "ASC", f"(SELECT * FROM {LAST} WHERE NOT dead)"))
 def ivf_adaptive_scan(spark, sf_dir):
     """M5: the same lists with adaptive sampling."""
     return I.early_scan(*_lists(spark, sf_dir), 2, K, STEPS, alpha=2.0)[0]
@@ -269,7 +269,20 @@ def mrr_at_k(spark, sf_dir):
     return S.rounded(metrics.mrr_at(*_run(spark, sf_dir), 10), "mrr")
 
 
-@query(None)
+def _evaluate_sql():
+    parts = [RUN]
+    for k in (10, 100):
+        parts.append(f"h{k} AS (SELECT run.qid, rank, rel FROM run JOIN qrels USING (qid, doc_id) WHERE rank <= {k} AND rel > 0)")
+        parts.append(f"i{k} AS (SELECT qid, sum(rel / log2(place + 1)) AS ideal FROM (SELECT qid, rel, row_number() OVER (PARTITION BY qid ORDER BY rel DESC, doc_id) AS place FROM qrels WHERE rel > 0) WHERE place <= {k} GROUP BY qid)")
+        parts.append(f"g{k} AS (SELECT qid, sum(rel / log2(rank + 1)) AS dcg, count(*) AS h FROM h{k} GROUP BY qid)")
+    parts.append("p AS (SELECT qid, sum(c / rank) AS p, 1 / min(rank) AS m FROM (SELECT qid, rank, count(*) OVER (PARTITION BY qid ORDER BY rank) AS c FROM h10) GROUP BY qid)")
+    mean = lambda x: f"round(avg(coalesce({x}, 0)), 4)"
+    picks = [f"{mean(f'g{k}.dcg / i{k}.ideal')} AS ndcg_{k}, {mean(f'g{k}.h / rel.n')} AS recall_{k}" for k in (10, 100)]
+    joins = " ".join(f"LEFT JOIN {t} ON {t}.qid = asked.qid" for t in ("rel", "p", "g10", "g100", "i10", "i100"))
+    return f"{', '.join(parts)} SELECT {', '.join(picks)}, {mean('p.p / rel.n')} AS map_10, {mean('p.m')} AS mrr_10 FROM asked {joins}"
+
+
+@query(_evaluate_sql())
 def evaluate_run(spark, sf_dir):
     """All metrics in one row."""
     return metrics.evaluate(*_run(spark, sf_dir))

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators import pruning as P
 from tessera.operators import scoring as S
-from tessera.operators import stats
+from tessera.operators import stats, sweeps
 from tessera.plans.base import exact_sql, qrels, query, scores_sql, tables, topk_sql, views
 from tessera.sources import tokens
 
@@ -13,6 +13,7 @@ K = 10
 ANISO = 0.9
 WIDTH = 64
 STEPS = tokens.checkpoints(WIDTH)
+ROUNDS = [16, 32, 64]
 
 
 def bounds_sql(k: int, factor: str = "1.0", name="pairs") -> str:
@@ -108,18 +109,17 @@ def token_prune_k48(spark, sf_dir):
 
 @query(exact_sql(K, True))
 def pruned_topk_natural(spark, sf_dir):
-    """Search in rounds, dimensions in natural order; equals brute force."""
-    return P.pruned_search(*tables(spark, sf_dir, ANISO), K, STEPS)[0]
+    """One pass with running thresholds, dimensions in natural order; equals brute force."""
+    docs, queries = tables(spark, sf_dir, ANISO)
+    return P.pruned_topk(S.pack_documents(docs), queries, K, STEPS)
 
 
 @query(exact_sql(K, True))
 def pruned_topk_bond(spark, sf_dir):
-    """Dimensions by the queries' distance to the corpus mean, the farthest quarter first."""
+    """Each query in its own order, the quarter of dimensions farthest from the corpus mean first."""
     docs, queries = tables(spark, sf_dir, ANISO)
-    order = stats.ranked(stats.centred_importance(queries, stats.means(docs)).groupBy("dim").agg(F.sum("importance").alias("importance")), "importance")
-    listed = stats.as_list(order)
-    listed = sorted(listed[:16]) + sorted(listed[16:])
-    return P.pruned_search(P.reorder(docs, listed), P.reorder(queries, listed), K, STEPS)[0]
+    own = queries.join(sweeps.query_orders(queries, docs, WIDTH // 4), "qid")
+    return P.pruned_topk(S.pack_documents(docs), own, K, STEPS)
 
 
 @query(exact_sql(K, True))
@@ -127,19 +127,27 @@ def pruned_topk_ada(spark, sf_dir):
     """Dimensions rotated at random."""
     docs, queries = tables(spark, sf_dir, ANISO)
     matrix = stats.random_rotation(WIDTH)
-    return P.pruned_search(stats.rotate_matrix(docs, matrix), stats.rotate_matrix(queries, matrix), K, STEPS)[0]
+    return P.pruned_topk(S.pack_documents(stats.rotate_matrix(docs, matrix)), stats.rotate_matrix(queries, matrix), K, STEPS)
 
 
 @query(exact_sql(K, True))
 def pruned_topk_warmup(spark, sf_dir):
-    """No bound before a quarter of the dimensions."""
-    return P.pruned_search(*tables(spark, sf_dir, ANISO), K, STEPS, warm_up=WIDTH // 4)[0]
+    """No bound before a quarter of the dimensions, single documents only once half of a block can go."""
+    docs, queries = tables(spark, sf_dir, ANISO)
+    return P.pruned_topk(S.pack_documents(docs), queries, K, STEPS, warm_up=WIDTH // 4, dense_from=0.5)
 
 
 @query(exact_sql(K))
 def pruned_topk_stock(spark, sf_dir):
     """I10 on vectors where hardly anything can be pruned."""
-    return P.pruned_search(*tables(spark, sf_dir), K, [32, 56, 64])[0]
+    docs, queries = tables(spark, sf_dir)
+    return P.pruned_topk(S.pack_documents(docs), queries, K, STEPS)
+
+
+@query(exact_sql(K, True))
+def pruned_topk_rounds(spark, sf_dir):
+    """The same search in rounds of stored tables, with built-in functions only."""
+    return P.pruned_search(*tables(spark, sf_dir, ANISO), K, ROUNDS)[0]
 
 
 def rounds_sql(steps: list[int], shrink: float, tag="") -> str:
@@ -162,7 +170,6 @@ def rounds_sql(steps: list[int], shrink: float, tag="") -> str:
     return ",\n".join(out)
 
 
-ROUNDS = [16, 32, 64]
 FULL = "full_cells AS (SELECT qid, (SELECT count(*) FROM doc_tokens) * count(*) * 64 AS cells FROM query_tokens GROUP BY qid)"
 WORK = " UNION ALL ".join(f"SELECT qid, {k} AS step, count(*) AS pairs, sum(width)::BIGINT AS cells FROM pairs{i} GROUP BY qid" for i, k in enumerate(ROUNDS))
 
@@ -278,7 +285,32 @@ def sequential_topk(spark, sf_dir):
     return P.sequential_search(*tables(spark, sf_dir, ANISO), K, STEPS).select("qid", "rank", "doc_id", "score")
 
 
-@query(None)
+def _sequential_sql():
+    """A document's own pruning of tokens doesn't hang on the threshold, and pruned documents never raise it.
+
+    So the threshold before a document is the k-th best of the rounded scores of those before it.
+    """
+    out, before, last = [], None, len(STEPS) - 1
+    for i, k in enumerate(STEPS):
+        at = STEPS[i - 1] if i else 0
+        out.append(bounds_sql(k, name=f"every{i}"))
+        live = f"SEMI JOIN {before} USING (qid, doc_id, tok)" if before else ""
+        out.append(f"pairs{i} AS (SELECT *, {k - at} AS width FROM every{i} {live})")
+        out.append(f"live{i} AS (SELECT * FROM (SELECT *, max(u >= best - 1e-9) OVER (PARTITION BY qid, doc_id, tok) AS needed FROM (SELECT *, max(l) OVER (PARTITION BY qid, doc_id, qtok) AS best FROM pairs{i})) WHERE needed)")
+        out.append(f"seen{i} AS (SELECT qid, doc_id, sum(width) AS cells, count(DISTINCT tok) AS tokens FROM pairs{i} GROUP BY qid, doc_id)")
+        out.append(f"left{i} AS (SELECT qid, doc_id, count(DISTINCT tok) AS tokens FROM live{i} GROUP BY qid, doc_id)")
+        out.append(f"ub{i} AS (SELECT qid, doc_id, sum(b) AS ub FROM (SELECT qid, doc_id, qtok, max(u) AS b FROM live{i} GROUP BY ALL) GROUP BY ALL)")
+        before = f"live{i}"
+    out.append(scores_sql())
+    out.append(f"floors AS (SELECT s.qid, s.doc_id, (SELECT list_sort(list(round(p.score, 6)), 'DESC')[{K}] FROM scores p WHERE p.qid = s.qid AND p.doc_id < s.doc_id) AS floor FROM scores s)")
+    steps = " UNION ALL ".join(f"SELECT {i} AS i, qid, doc_id, cells, s.tokens - l.tokens AS dropped, ub < floor - 1e-9 AS stops FROM seen{i} s JOIN left{i} l USING (qid, doc_id) JOIN ub{i} USING (qid, doc_id) JOIN floors USING (qid, doc_id)" for i in range(len(STEPS)))
+    out.append(f"steps AS ({steps})")
+    out.append("run AS (SELECT *, coalesce(max(stops::INT) OVER (PARTITION BY qid, doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 0 AS runs FROM steps)")
+    return f"""WITH {views(True)}, {', '.join(out)} SELECT qid, sum(cells)::BIGINT AS cells, sum(coalesce(stops, false)::INT)::BIGINT AS docs_all, sum((coalesce(stops, false) AND i < {last})::INT)::BIGINT AS docs_early,
+        sum(dropped)::BIGINT AS tokens_all, sum(CASE WHEN i < {last} THEN dropped ELSE 0 END)::BIGINT AS tokens_early FROM run WHERE runs GROUP BY qid"""
+
+
+@query(_sequential_sql())
 def sequential_counters(spark, sf_dir):
     """Cells and pruned documents and tokens of the sequential form, with the last checkpoint and without."""
     found = P.sequential_search(*tables(spark, sf_dir, ANISO), K, STEPS)

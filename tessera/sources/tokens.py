@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
 
-SCHEDULE = (4, 8, 8, 12, 16, 16, 32, 32, 32, 32, *[64] * 4, *[128] * 4, 256, 256, 512, 1024, 2048, 4096)
+#: How many dimensions each step scans.
+SCHEDULE = (4, 8, 8, 12, 16, 16, 32, 32, 32, 32, 64, 64, 64, 64, 128, 128, 128, 128, 256, 256, 512, 1024, 2048, 4096)
 
 
 def checkpoints(width: int, schedule=SCHEDULE) -> list[int]:
@@ -21,8 +22,9 @@ def checkpoints(width: int, schedule=SCHEDULE) -> list[int]:
 
 
 def width_of(tokens: DataFrame, vector="vec") -> int:
-    """The vectors' number of dimensions, from one row."""
-    row = tokens.select(F.size(vector).alias("n")).first()
+    """The vectors' commonest number of dimensions (the smaller of two as common); nulls and empty ones don't count."""
+    sizes = tokens.select(F.size(vector).alias("n")).where("n > 0").groupBy("n").count()
+    row = sizes.orderBy(F.desc("count"), "n").first()
     return row.n if row else 0
 
 
@@ -30,7 +32,7 @@ def validate(tokens: DataFrame, vector="vec") -> DataFrame:
     """Only rows whose vector has the common width and no null, NaN or infinite element."""
     width = width_of(tokens, vector)
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return tokens.where(F.col(vector).isNotNull() & (F.size(vector) == width) & ~bad)
+    return tokens.where(F.col(vector).isNotNull() & (F.size(vector) == (width or -1)) & ~bad)
 
 
 def norm_report(tokens: DataFrame, vector="vec") -> DataFrame:

@@ -99,6 +99,28 @@ def test_edges(spark):
     assert scoring.maxsim_blocks(packed, q.where("false")).count() == 0
 
 
+def test_one_pass_search_is_exact_in_every_order_and_with_ties(spark):
+    r = np.random.default_rng(8)
+    rows = [(d, t, (r.standard_normal(12) * 0.8 ** np.arange(12)).tolist()) for d in range(60) for t in range(1 + d % 5)]
+    rows += [(100 + d, t, v) for d, t, v in rows if d < 8]  # equal documents: the smaller id goes first
+    docs = spark.createDataFrame(rows, "doc_id long, tok int, vec array<double>")
+    asked = spark.createDataFrame([(q, t, (r.standard_normal(12) * 0.8 ** np.arange(12)).tolist(), r.permutation(12).tolist() if q % 2 else None) for q in range(6) for t in range(3)], "qid long, qtok int, vec array<double>, order array<int>")
+    first = asked.groupBy("qid").agg(F.min_by("order", "qtok").alias("order"))
+    asked = asked.drop("order").join(first, "qid")
+    want = sorted(scoring.topk(scoring.rounded(scoring.maxsim(docs, asked)), 9).collect())
+    packed = scoring.pack_documents(docs)
+    for dense, warm in ((0.5, 0), (1.1, 0), (0.0, 0), (0.5, 6)):
+        assert sorted(pruning.pruned_topk(packed, asked, 9, [3, 6, 9, 12], warm, dense).collect()) == want
+    assert pruning.pruned_topk(packed, asked.where("false"), 9, [12]).count() == 0
+
+
+def test_width_is_the_commonest(spark):
+    rows = [(0, None), (1, [1.0]), (2, [1.0, 2.0]), (3, [3.0, 4.0]), (4, []), (5, [1.0, None])]
+    df = spark.createDataFrame(rows, "id long, vec array<double>").coalesce(1)
+    assert sorted(r.id for r in tokens.validate(df).collect()) == [2, 3]
+    assert tokens.validate(df.where("id in (0, 4)")).count() == 0
+
+
 def test_validate_rejects_bad_vectors(spark):
     rows = [(0, [1.0, 2.0]), (1, [1.0, None]), (2, [float("nan"), 0.0]), (3, [float("inf"), 0.0]), (4, None), (5, [1.0])]
     df = spark.createDataFrame(rows, "id int, vec array<double>")

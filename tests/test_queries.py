@@ -10,7 +10,6 @@ from tessera.plans import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"shrink_frontier", "knn_alpha_sweep", "knn_alpha_pick", "pruned_topk_bond", "pruned_topk_ada", "pruned_topk_stock"}
 
 
 @pytest.fixture(scope="module")
@@ -39,7 +38,7 @@ def rows(frame):
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(set(catalog.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
     got = catalog.queries()[name](spark, SF).toPandas()
     want = duck.sql(catalog.oracle_sql()[name]).df()
