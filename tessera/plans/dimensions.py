@@ -181,12 +181,12 @@ def doc_lengths(spark, sf_dir):
 
 @query(
     f"""{WITH}, s AS (SELECT label % 2 AS half, dim::INT AS dim, var_pop(vec[dim + 1]) AS v FROM doc_tokens, range(0, 64) t(dim) GROUP BY ALL)
-    SELECT half, round(max(v) FILTER (dim = 0), 9) AS "0", round(max(v) FILTER (dim = 1), 9) AS "1", round(max(v) FILTER (dim = 2), 9) AS "2" FROM s WHERE dim < 3 GROUP BY half"""
+    SELECT half, {', '.join(f'round(max(v) FILTER (dim = {z}), 9) AS "{z}"' for z in range(64))} FROM s GROUP BY half"""
 )
 def pivot_variance(spark, sf_dir):
     """One row a group, one column a dimension."""
     from tessera.operators.report import pivot_shares
 
-    rows = tables(spark, sf_dir)[0].withColumn("half", F.col("label") % 2).select("half", F.posexplode("vec").alias("dim", "x")).where("dim < 3")
+    rows = tables(spark, sf_dir)[0].withColumn("half", F.col("label") % 2).select("half", F.posexplode("vec").alias("dim", "x"))
     variances = rows.groupBy("half", "dim").agg(F.round(F.var_pop("x"), 9).alias("v"))
-    return pivot_shares(variances, "half", "dim", [0, 1, 2], "v")
+    return pivot_shares(variances, "half", "dim", list(range(64)), "v")

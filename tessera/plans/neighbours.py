@@ -8,6 +8,7 @@ from tessera.operators import knn, metrics, stats
 from tessera.operators import scoring as S
 from tessera.plans.base import exact_sql, qrels, query, read, scores_sql, tables, topk_sql, views
 from tessera.sources import tokens
+from tessera.sources.stages import cut_lineage
 
 K = 10
 STEPS = [16, 32, 48, 64]
@@ -123,7 +124,7 @@ def knn_alpha_sweep(spark, sf_dir):
 )
 def knn_alpha_pick(spark, sf_dir):
     """The parameter with least work that reaches a target, else the one with most recall."""
-    points, out = _alpha_points(spark, sf_dir).persist(), None
+    points, out = cut_lineage(_alpha_points(spark, sf_dir)), None
     for target in (0.5, 0.9, 1.0):
         one = knn.knob_pick(points.withColumn("target", F.lit(target)), target, "target")
         out = one if out is None else out.unionByName(one)
@@ -213,11 +214,13 @@ def ivf_adaptive_scan(spark, sf_dir):
 
 @query(None)
 def ivf_kmeans_topk(spark, sf_dir):
-    """M1-M3: k-means centroids, four-bit residuals, approximate scores, exact rescoring."""
+    """M1-M3: k-means with as many lists as the size asks for, four-bit residuals by quantiles, exact rescoring."""
     docs, queries = tables(spark, sf_dir)
-    centres = I.kmeans_centroids(docs, 16)
-    coded = I.encode_residuals(I.assign(docs, centres), centres)
-    return I.probe(I.decode_residuals(coded, centres), docs, centres, queries, 4, CANDIDATES, K)
+    centres = I.kmeans_centroids(docs, I.partitions_for(docs.count()))
+    assigned = cut_lineage(I.assign(docs, centres))
+    edges = I.residual_cutoffs(assigned, centres)
+    coded = I.encode_residuals(assigned, centres, edges=edges)
+    return I.probe(I.decode_residuals(coded, centres, edges=edges), docs, centres, queries, 4, CANDIDATES, K)
 
 
 @query(exact_sql(K))
@@ -225,7 +228,8 @@ def ivf_all_probes(spark, sf_dir):
     """M2: probing every list gives the exact result."""
     docs, queries = tables(spark, sf_dir)
     centres = I.mean_centroids(docs, "label")
-    return I.probe(I.assign(docs, centres), docs, centres, queries, 10, 100_000, K)
+    sizes = docs.agg(F.countDistinct("label").alias("lists"), F.countDistinct("doc_id").alias("docs")).first()
+    return I.probe(I.assign(docs, centres), docs, centres, queries, sizes.lists, sizes.docs, K)
 
 
 RUN = f"WITH {views()}, {scores_sql()}, run AS ({topk_sql(100)}), rel AS (SELECT qid, count(*) AS n FROM qrels WHERE rel > 0 GROUP BY qid), asked AS (SELECT DISTINCT qid FROM qrels)"

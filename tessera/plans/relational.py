@@ -7,6 +7,7 @@ from tessera.operators import report as R
 from tessera.plans.base import qrels, query, read, tables, views
 from tessera.sources import corpora as C
 from tessera.sources import tokens
+from tessera.sources.stages import new_folder
 
 
 @query("SELECT doc_id, regexp_replace(regexp_replace(coalesce(source, '') || ' ' || coalesce(text, ''), '^\\s+', ''), '\\s+$', '') AS text FROM documents")
@@ -39,9 +40,10 @@ def typed_judgements(spark, sf_dir):
 def relevance_flag(spark, sf_dir):
     """Every pair, with whether it is judged relevant."""
     from tessera.operators.pruning import relevance
+    from tessera.operators.scoring import small
 
     docs, queries = tables(spark, sf_dir)
-    pairs = docs.select("doc_id").distinct().crossJoin(F.broadcast(queries.select("qid").distinct()))
+    pairs = docs.select("doc_id").distinct().crossJoin(small(queries.select("qid").distinct()))
     return relevance(pairs, qrels(spark, sf_dir)).select("doc_id", "qid", "relevant")
 
 
@@ -86,6 +88,18 @@ def cache_round_trip(spark, sf_dir):
     return cut_lineage(docs).select("doc_id", "tok", F.round(F.get("vec", F.lit(0)), 6).alias("x0"))
 
 
+@query(f"WITH {views()} SELECT doc_id, count(*) AS n FROM doc_tokens GROUP BY doc_id")
+def cache_reencoded(spark, sf_dir):
+    """A cache that holds other ids than asked for is encoded anew, and then serves as it is."""
+    docs, _ = tables(spark, sf_dir)
+    path = new_folder(spark, "cache")
+    tokens.write_cache(docs.where("doc_id % 2 = 0"), path)
+    ids = docs.select("doc_id").distinct()
+    for encode in (lambda ids: docs.join(ids, "doc_id", "left_semi"), None):
+        found = tokens.read_or_encode(spark, path, ids, encode)
+    return found.groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
 REPORT = [
     ("a", "Brute-force", "32", "1.0", "10.0"),
     ("a", "Brute-force", "128", "1.0", "10.0"),
@@ -222,6 +236,28 @@ def index_metadata_check(spark, sf_dir):
     return found.select("docs", "tokens", F.round("mean_length", 6).alias("mean_length"), "consistent")
 
 
+INDEXED = f"""WITH {views()}, n AS (SELECT doc_id, count(*) AS n FROM doc_tokens GROUP BY doc_id), t AS (SELECT count(*) AS docs, sum(n)::BIGINT AS tokens, round(avg(n), 6) AS mean_length FROM n),
+    p AS (SELECT count(DISTINCT label) AS partitions FROM doc_tokens), h AS (SELECT sum(n)::BIGINT AS held FROM n WHERE doc_id > 0)"""
+
+
+@query(
+    f"""{INDEXED} SELECT 'whole' AS lists, docs, tokens AS num_embeddings, mean_length, tokens AS held, partitions, true AS consistent FROM t, p
+    UNION ALL SELECT 'short', docs, tokens, mean_length, held, partitions, held = tokens FROM t, p, h"""
+)
+def index_metadata_json(spark, sf_dir):
+    """An index's JSON documents against its posting lists, whole and with a document missing."""
+    docs, _ = tables(spark, sf_dir)
+    assigned = docs.select("doc_id", "tok", "vec", F.col("label").alias("centroid"))
+    path, out = new_folder(spark, "index"), None
+    C.write_metadata(assigned, path)
+    for name, rows in (("whole", assigned), ("short", assigned.where("doc_id > 0"))):
+        C.write_index(rows, f"{path}/{name}")
+        found = C.check_index(spark, path, f"{path}/{name}")
+        one = found.select(F.lit(name).alias("lists"), "docs", "num_embeddings", F.round("mean_length", 6).alias("mean_length"), "held", "partitions", "consistent")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 @query("SELECT source, '{\"counts\":{\"docs\":' || count(*) || '},\"sizes\":{\"longest\":' || max(n_chars) || '}}' AS document FROM documents GROUP BY source")
 def result_json(spark, sf_dir):
     """B1, DM23, E14: nested JSON documents."""

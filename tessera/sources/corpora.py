@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.stages import cut_lineage
 from tessera.sources.tokens import exists
 
 
@@ -60,7 +61,7 @@ def positions(rows: DataFrame, key: str) -> DataFrame:
 
     The only rows that meet in one task are the ranges' sizes.
     """
-    parts = rows.select(key).repartitionByRange(F.col(key)).select(key, F.spark_partition_id().alias("part")).persist()
+    parts = cut_lineage(rows.select(key).repartitionByRange(F.col(key)).select(key, F.spark_partition_id().alias("part")))
     ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(ahead), F.lit(0)).alias("start"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(key)) - 1
@@ -132,3 +133,20 @@ def write_json(rows: DataFrame, path: str) -> None:
 def write_index(assigned: DataFrame, path: str) -> None:
     """Write an index, one folder a centroid, replacing an older one."""
     assigned.write.mode("overwrite").partitionBy("centroid").parquet(path)
+
+
+def write_metadata(assigned: DataFrame, path: str, bits=4) -> None:
+    """The metadata document and the list of document lengths (by id) of an index, as JSON beside it."""
+    lengths = assigned.groupBy("doc_id").agg(F.count("*").alias("n_tok"))
+    total = assigned.agg(F.count("*").alias("num_embeddings"), F.countDistinct("centroid").alias("num_partitions"), (F.count("*") / F.countDistinct("doc_id")).alias("avg_doclen"))
+    total.select(F.lit(bits).alias("nbits"), F.lit(1).alias("num_chunks"), "*").coalesce(1).write.mode("overwrite").json(f"{path}/metadata")
+    lengths.write.mode("overwrite").json(f"{path}/doclens")
+
+
+def check_index(spark: SparkSession, path: str, lists: str) -> DataFrame:
+    """One row: counts by metadata, by document lengths and by the posting lists themselves, and whether all agree."""
+    meta = spark.read.json(f"{path}/metadata")
+    held = spark.read.parquet(lists).agg(F.count("*").alias("held"), F.countDistinct("centroid").alias("partitions"))
+    found = check_metadata(meta.select("num_embeddings", "avg_doclen", "num_partitions"), spark.read.json(f"{path}/doclens"))
+    whole = found.crossJoin(held).crossJoin(meta.select("num_partitions"))  # one row each
+    return whole.withColumn("consistent", F.col("consistent") & (F.col("held") == F.col("num_embeddings")) & (F.col("partitions") == F.col("num_partitions")))

@@ -10,22 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 _made: list[str] = []
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written to the folder in ``spark.checkpoint.dir`` and read back, so later rounds start from files.
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path of its own in the folder in ``spark.checkpoint.dir``, deleted by release().
 
     Only where that setting is missing and the master is local, a temporary folder is used.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local["):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="tessera-rounds-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/round-{uuid.uuid4().hex}"
+    _made.append(f"{folder}/{kind}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written to a new folder and read back, so later rounds start from files."""
+    path = new_folder(df.sparkSession, "round")
     df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def release(spark: SparkSession) -> None:

@@ -108,6 +108,15 @@ def read_cache(spark: SparkSession, path: str, ids: DataFrame | None = None, id_
     return cached
 
 
+def read_or_encode(spark: SparkSession, path: str, ids: DataFrame, encode, id_col="doc_id") -> DataFrame:
+    """The cached token table if it holds exactly these ids; else it is replaced by what encode(ids) gives."""
+    cached = read_cache(spark, path, ids, id_col)
+    if cached is None:
+        write_cache(encode(ids), path)
+        cached = spark.read.parquet(path)
+    return cached
+
+
 def list_caches(spark: SparkSession, folder: str, suffix="_doc_embs.parquet") -> list[str]:
     """Sorted names of the data sets with a cache in a folder."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/*{suffix}")
