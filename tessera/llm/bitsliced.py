@@ -115,61 +115,71 @@ class Index:
         return ids[rows[order]], scores[order]
 
 
+def _matrix(column):
+    """Ragged integer vectors as a matrix, short ones padded with zeros."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = column.value_lengths().to_numpy()
+    wide, flat = int(sizes.max(initial=0)), column.flatten().to_numpy()
+    if (sizes == wide).all():
+        return flat.reshape(len(sizes), wide)
+    x = np.zeros((len(sizes), wide), np.int64)
+    x[np.arange(wide) < sizes[:, None]] = flat
+    return x
+
+
+def _search_block(index, ids, batch, k):
+    """A batch of queries (id, v) against a block's index."""
+    asked, q = batch.column(0).to_numpy(), _matrix(batch.column(1))
+    wide = index.x.shape[1]
+    q = np.pad(q, ((0, 0), (0, max(0, wide - q.shape[1]))))[:, :wide].astype(np.int64)  # what the rows lack counts nothing
+    if wide and np.abs(q).max(initial=0) * float(np.abs(index.x).max(initial=0)) * wide < 2**31:
+        q = q.astype(index.x.dtype)
+    found = [index.top(v, k, ids, own) for v, own in zip(q, asked, strict=True)]
+    n = [len(f[0]) for f in found]
+    return pa.record_batch({"query_id": np.repeat(asked, n), "id": np.concatenate([f[0] for f in found]), "score": np.concatenate([f[1] for f in found]).astype(np.int64)})
+
+
 def topk_inner_product(rows: DataFrame, queries: DataFrame, k=20, id_col="id", vector_col="vector", block_rows=8192, query_group=256) -> DataFrame:
     """query_id, rank, id and score of each query's k best rows (all, if fewer), its own id left out.
 
     Vectors are arrays of integers; shorter ones count as padded with zeros, null ones and ones with
     null elements are left out. Ties go to the smaller id; rows that repeat an id count as one row each.
-    Blocks of rows meet groups of queries in the cells of a grid; each cell returns k rows a query.
-    An empty side gives an empty result.
+    Rows are dealt into even blocks, whatever their ids; a block's rows come first and are indexed once,
+    then the queries pass by, ``query_group`` at a time. Each block returns k rows a query. An empty side gives an empty result.
     """
     spark = rows.sparkSession
     usable = lambda d: d.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<long>").alias("v")).where("id is not null and v is not null and not exists(v, e -> e is null)")
     rows, queries = usable(rows), usable(queries)
     blocks = max(1, -(-rows.count() // block_rows))
-    groups = max(1, -(-queries.count() // query_group))
-    cells = blocks * groups
-    parts = min(cells, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
-    block = F.pmod(F.xxhash64("id", F.lit("row")), F.lit(blocks))
-    group = F.pmod(F.xxhash64("id", F.lit("query")), F.lit(groups))
-    each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    left = rows.select("id", "v", F.lit(False).alias("query"), block.alias("block"), each(groups).alias("group"))
-    right = queries.select("id", "v", F.lit(True).alias("query"), each(blocks).alias("block"), group.alias("group"))
-    dealt = left.unionByName(right).withColumn("cell", F.col("block") * groups + F.col("group")).drop("block", "group")
-    dealt = dealt.repartitionById(parts, (F.col("cell") % parts).cast("int"))
+    parts = min(blocks, max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1))
+    left = rows.select(F.pmod(F.monotonically_increasing_id(), F.lit(blocks)).alias("block"), F.lit(False).alias("query"), "id", "v")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))
+    dealt = left.unionByName(queries.select(every.alias("block"), F.lit(True).alias("query"), "id", "v"))
+    dealt = dealt.repartitionById(parts, (F.col("block") % parts).cast("int")).sortWithinPartitions("block", "query", "id")
 
     def search(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        cell, ids, query = (table[c].to_numpy() for c in ("cell", "id", "query"))
-        v = table["v"].combine_chunks()
-        sizes = v.value_lengths().to_numpy()
-        wide = int(sizes.max(initial=0))
-        flat = v.flatten().to_numpy()
-        if (sizes == wide).all():
-            x = flat.reshape(len(ids), wide)
-        else:
-            x = np.zeros((len(ids), wide), np.int64)
-            x[np.arange(wide) < sizes[:, None]] = flat
-        small = np.int32 if wide and float(np.abs(x).max()) ** 2 * wide < 2**31 else np.int64
-        x = x.astype(small)
-        for c in np.unique(cell).tolist():
-            mine, asked = np.flatnonzero((cell == c) & ~query), np.flatnonzero((cell == c) & query)
-            if not len(mine) or not len(asked) or not wide:
-                continue
-            mine = mine[np.argsort(ids[mine], kind="stable")]
-            index = Index(x[mine])
-            found = [(ids[q], *index.top(x[q], k, ids[mine], ids[q])) for q in asked]
-            yield pa.record_batch(
-                {
-                    "query_id": np.repeat([f[0] for f in found], [len(f[1]) for f in found]),
-                    "id": np.concatenate([f[1] for f in found]),
-                    "score": np.concatenate([f[2] for f in found]).astype(np.int64),
-                }
-            )
-
-    some = dealt.select("cell", "id", "query", "v").mapInArrow(search, "query_id long, id long, score long")
+        block, held, index, ids = None, [], None, None
+        for batch in batches:
+            cell, query = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(query.astype(np.int8)) != 0)) + 1).tolist(), len(cell)]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if a == b:
+                    continue
+                part = batch.slice(a, b - a).select(["id", "v"])
+                if cell[a] != block:
+                    block, held, index = cell[a], [], None
+                if not query[a]:
+                    held.append(part)
+                    continue
+                if index is None and held:
+                    table = pa.Table.from_batches(held)
+                    ids, x = table["id"].to_numpy(), _matrix(table["v"])
+                    top = float(np.abs(x).max(initial=0))
+                    index = Index(x.astype(np.int32) if top * top * max(1, x.shape[1]) < 2**31 else x)
+                if index is not None and index.x.shape[1]:
+                    for at in range(0, part.num_rows, query_group):
+                        yield _search_block(index, ids, part.slice(at, query_group), k)
+
+    some = dealt.mapInArrow(search, "query_id long, id long, score long")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return some.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

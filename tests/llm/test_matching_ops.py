@@ -1,6 +1,11 @@
 """Near-duplicates, components, fingerprints and top-k search against brute force."""
 
 import hashlib
+import itertools
+import math
+import random
+import re
+import struct
 
 import numpy as np
 import pytest
@@ -239,3 +244,49 @@ def test_topk_of_an_id_repeated_more_often_than_k():
     got, scores = bitsliced.Index(x).top(x[0], 20, ids, 0)
     want = sorted((-int(x[i] @ x[0]), i) for i in range(30, 400))[:20]
     assert list(zip((-scores).tolist(), got.tolist(), strict=True)) == want
+
+
+def spark_hash(*values):
+    """XXH64 as Spark chains it over values, each hash the seed of the next."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64_intdigest(struct.pack("<q", v) if isinstance(v, int) else v.encode(), seed)
+    return seed
+
+
+def plain_fingerprint(text):
+    words = re.split("[ \t-\r]+", text.strip(" \t\n\x0b\f\r").lower())
+    hashes = [spark_hash(a, b) for a, b in itertools.pairwise(words)] + [spark_hash(words[-1])]
+    return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+
+def test_fingerprints_equal_plain_code(spark):
+    r = random.Random(6)
+    texts = [" ".join(r.choice(["river", "house", "old", "new", "bank", "x"]) for _ in range(r.randrange(0, 60))) for _ in range(40)] + ["", " \t ", "one", "A a  A"]
+    rows = fingerprints.fingerprint_edits(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for row in rows:
+        text, after = texts[row.doc_id], texts[row.doc_id - 1]  # of the row with the next lower id, after the first the last
+        third = len(text) // 3
+        edited = text[: len(text) - third] + after[:third]
+        own, other, following = (plain_fingerprint(t) for t in (text, edited, after))
+        assert (int(row.fingerprint, 16), int(row.edited_fingerprint, 16)) == (own, other), text
+        assert row.near_edited == 1 - (own ^ other).bit_count() / 64 and row.near_next == 1 - (own ^ following).bit_count() / 64
+
+
+def test_shards_equal_plain_descent(spark):
+    """Every row's way down the tree recomputed from its draws, with unlike weights too."""
+    from tessera.llm import sharding
+
+    def descend(key, node):
+        while node.shard is None:
+            draws = [(-math.log(((spark_hash(key, c.name) >> 12) + 0.5) / (1 << 52)) / c.weight, i) for i, c in enumerate(node.children) if c.weight > 0]
+            node = node.children[min(draws)[1]]
+        return node.shard
+
+    even = sharding.tree(16)
+    rows = sharding.shard_documents(spark.range(300).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))).collect()
+    assert all(r.shard == descend(r.doc_id, even) and r.grown_shard == descend(r.doc_id, sharding.grow(even, 16)) for r in rows)
+    leaf = lambda s, w: sharding.Node(f"s{s}", shard=s, own_weight=w)
+    uneven = sharding.Node("root", (sharding.Node("a", (sharding.Node("a0", (leaf(0, 1.0), leaf(1, 3.0))),)), sharding.Node("b", (sharding.Node("b0", (leaf(2, 0.5),)), sharding.Node("b1", (leaf(3, 0.0), leaf(4, 2.0)))))))
+    found = spark.range(500).select("id", sharding.place(F.col("id"), uneven).alias("shard")).collect()
+    assert all(r.shard == descend(r.id, uneven) for r in found) and {r.shard for r in found} == {0, 1, 2, 4}
