@@ -302,5 +302,6 @@ def redact_pii(docs: DataFrame, detector: Detector, text_col="text", size_col=No
                 columns[at] = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
-    out = docs.mapInArrow(scan, StructType(list(docs.schema.fields)))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots can't be given to a function
+    out = plain.mapInArrow(scan, StructType(list(plain.schema.fields))).toDF(*docs.columns)
     return out if size_col is None else out.withColumn(size_col, F.length(text_col).cast(docs.schema[size_col].dataType))

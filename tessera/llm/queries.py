@@ -54,9 +54,11 @@ def op6_byte_bpe(spark, sf_dir):
 
 
 def op7_secrets(spark, sf_dir):
-    from .secrets import find_secrets, labelled_findings, train_forest
+    from .secrets import corpus_dictionary, find_secrets, labelled_findings, train_forest
 
-    return find_secrets(table(spark, sf_dir, "documents"), train_forest(labelled_findings(spark)), path_col="source")
+    docs = table(spark, sf_dir, "documents")
+    words = corpus_dictionary(docs)
+    return find_secrets(docs, train_forest(labelled_findings(spark), dictionary=words), path_col="source", dictionary=words)
 
 
 def op8_pii(spark, sf_dir):

@@ -1,10 +1,13 @@
 """Secrets in texts: candidate tokens, and a random forest that removes false positives.
 
-DataFrame operations only. Candidates are runs of at least 16 token characters with a digit. The
-forest reads a candidate's length, character transitions, dictionary coverage, path and neighbouring
-words, and is trained from labelled findings: any table of them, or the synthetic one built here.
+DataFrame operations only. Candidates are what follows a credential's name and a sign (any text of four
+characters or more), tokens of known forms, headers of private keys, and runs of at least 16 token
+characters with a digit. The forest reads a candidate's length, character transitions, dictionary
+coverage, path and neighbouring words, and is trained from labelled findings: any table of them, or the
+synthetic one built here. The dictionary is the corpus' own: its common words, as a bitmap of fixed size.
 """
 
+import numpy as np
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -12,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKEN = "A-Za-z0-9_+/-"
-CANDIDATE = f"(?<![{TOKEN}])(?=[A-Za-z_+/-]*[0-9])[{TOKEN}]{{16,}}={{0,2}}"
 OPEN, CLOSE = "\ue000", "\ue001"
 BEFORE, AFTER = 48, 16
 
@@ -20,7 +22,11 @@ BEFORE, AFTER = 48, 16
 FRAGMENTS = "tion|ment|able|ence|ance|ough|ight|ould|the|and|ing|ent|ion|ter|con|pro|com|per|ver|age|est|ess|all|one|our|out|man|der|ich|sch|ung|que|los|des|les|test|user|name|data|file|page|item|list|part|version|example|sample|index|image|class|value|number|order|table"
 CUE = "(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?|signature)"
 INNOCENT = "(?i)(?:commit|sha-?(?:1|256|512)?|md5|checksum|digest|hash|uuid|guid|version|build|revision|card|phone|order|invoice|isbn|doi|serial)"
-KNOWN = "^(?:A(?:KIA|SIA)[A-Z0-9]{16}$|gh[pousr]_|xox[abprs]-|sk_(?:live|test)_|AIza|eyJ|glpat-|npm_|SG)"
+KNOWN = "(?:A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{8,}|AIza[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}(?:[.][A-Za-z0-9_-]+)*|glpat-[A-Za-z0-9_-]{10,}|npm_[A-Za-z0-9]{16,}|SG[.][A-Za-z0-9_.-]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----)"
+#: A credential's name, a sign and a quote; then its value, which ends before a closing mark.
+LEAD = f"(?:{CUE}[\"'`]?\\s{{0,3}}(?:=>|:=|[:=])\\s{{0,3}}[\"'`]?)"
+VALUE = "(?:[^\\s\"'`<>,;]{3,}[^\\s\"'`<>,;.:)\\]}])"
+CANDIDATE = f"({LEAD})({VALUE})|((?<![{TOKEN}]){KNOWN}|(?<![{TOKEN}])(?=[A-Za-z_+/-]*[0-9])[{TOKEN}]{{16,}}={{0,2}})"
 DOUBTFUL_PATH = "(?i)(?:test|example|sample|mock|fixture|doc|readme|demo)"
 
 
@@ -34,7 +40,35 @@ def _share(c: Column, pattern: str) -> Column:
     return 1 - F.length(F.regexp_replace(c, pattern, "")) / F.length(c)
 
 
-def features() -> dict[str, Column]:
+#: Bits of the dictionary.
+BITS = 1 << 20
+
+
+def corpus_dictionary(docs: DataFrame, text_col="text", least=3, share=1e-4) -> bytes:
+    """Bitmap of the hashes of all words of three letters or more in at least ``least`` documents and ``share`` of them."""
+    word = F.explode(F.array_distinct(F.split(F.lower(F.col(text_col)), "[^a-z]+"))).alias("word")
+    counts = docs.select(word).where("length(word) >= 3").groupBy("word").count()
+    common = counts.where(F.col("count") >= max(least, share * docs.count()))
+    spot = F.pmod(F.xxhash64("word"), F.lit(BITS))
+    held = common.select(F.floor(spot / 64).cast("int").alias("at"), F.call_function("shiftleft", F.lit(1).cast("long"), (spot % 64).cast("int")).alias("bit"))
+    out = np.zeros(BITS // 64, np.int64)
+    for r in held.groupBy("at").agg(F.bit_or("bit").alias("bits")).collect():  # at most BITS / 64 rows
+        out[r["at"]] = r["bits"]
+    return out.astype("<i8").tobytes()
+
+
+def _covered(c: Column, dictionary: bytes | None) -> Column:
+    """Letters of a token's words (cut at other characters and inner capitals) that the dictionary holds."""
+    if dictionary is None:
+        return F.lit(0)
+    words = F.filter(F.split(F.lower(F.regexp_replace(c, "([a-z])([A-Z])", "$1 $2")), "[^a-z]+"), lambda w: F.length(w) >= 3)
+    spot = lambda w: F.pmod(F.xxhash64(w), F.lit(BITS))
+    byte = lambda w: F.conv(F.hex(F.substring(F.lit(dictionary), (F.floor(spot(w) / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    held = lambda w: F.call_function("shiftright", byte(w), (spot(w) % 8).cast("int")).bitwiseAND(F.lit(1))
+    return F.aggregate(words, F.lit(0), lambda a, w: a + held(w) * F.length(w))
+
+
+def features(dictionary: bytes | None = None) -> dict[str, Column]:
     """Feature columns over token, before, after and path; zero where there is no token."""
     t, n = F.col("token"), F.length("token")
     near = F.regexp_extract("before", r"([\p{L}0-9_-]+)\W{0,4}$", 1)  # the word that leads to the token
@@ -50,9 +84,11 @@ def features() -> dict[str, Column]:
         "hexadecimal": flag(t.rlike("^[0-9a-f]+$") | t.rlike("^[0-9A-F]+$")),
         "numeric": flag(t.rlike("^[0-9+/_-]+$")),
         "uuid": flag(t.rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$")),
-        "dictionary": _share(F.lower(t), FRAGMENTS),
+        "dictionary": _covered(t, dictionary) / n,
+        "fragments": _share(F.lower(t), FRAGMENTS),
+        "placeholder": flag(t.rlike("(?i)^(?:[*x.#-]+|[$%{\\[(].*|your.*|none|null|true|false)$")),
         "longest_word": F.array_max(F.transform(F.split(t, "[^A-Za-z]+"), F.length)) / n,
-        "known_form": flag(t.rlike(KNOWN)),
+        "known_form": flag(t.rlike(f"^{KNOWN}")),
         "cue": flag(near.rlike(CUE)),
         "cue_nearby": flag(F.col("before").rlike(CUE)),
         "innocent": flag(near.rlike(INNOCENT)),
@@ -79,7 +115,16 @@ def labelled_findings(spark: SparkSession, rows=6000) -> DataFrame:
     uuid = F.concat_ws("-", F.substring(u, 1, 8), F.substring(u, 9, 4), F.substring(u, 13, 4), F.substring(u, 17, 4), F.substring(u, 21, 12))
     some_length = (16 + F.pmod(r("len"), F.lit(32))).cast("int")
     hexed = F.substring(text("h"), F.lit(1), some_length)
+    common = lambda k: pick(k, ["correct", "horse", "battery", "staple", "required", "string", "house", "river", "garden", "window", "people", "always", "number", "simple", "letter", "summer"])
+    leet = F.concat(F.initcap(F.translate(common("l1"), "aeo", "430")), pick("sym", ["!", "@", "#", "&", "_", "$", "-"]), F.pmod(r("l2"), F.lit(10000)).cast("string"))
+    letters = F.substring(F.translate(F.upper(text("L")), "0123456789", "GHJKMNPQRS"), 1, 16)
     kinds = [
+        (1, leet, cued),
+        (1, F.concat(common("c1"), common("c2"), common("c3"), common("c4")), cued),
+        (1, F.concat(F.lit("AKIA"), letters), F.when(F.pmod(r("c"), F.lit(2)) == 0, cued).otherwise(plain)),
+        (1, F.concat(F.lit("-----BEGIN "), pick("pk", ["RSA ", "EC ", "", "OPENSSH "]), F.lit("PRIVATE KEY-----")), plain),
+        (0, common("c1"), cued),
+        (0, pick("ph", ["None", "null", "YOUR_API_KEY", "your-token-here", "********", "xxxxxxxx", "${PASSWORD}", "{{secret}}", "$TOKEN", "true", "false", "(optional)"]), cued),
         (1, hexed, cued),
         (1, F.substring(text("h"), 1, 40), cued),
         (1, F.substring(base64("b"), F.lit(1), some_length), cued),
@@ -97,9 +142,9 @@ def labelled_findings(spark: SparkSession, rows=6000) -> DataFrame:
     return spark.range(rows).withColumn("f", chosen).select("f.label", "f.token", "f.before", after.alias("after"), pick("path", ["src1", "src2", "tests/a.py", "docs/readme.md", "app/main.py"]).alias("path"))
 
 
-def train_forest(findings: DataFrame, trees=24, depth=7, seed=17) -> RandomForestClassificationModel:
+def train_forest(findings: DataFrame, trees=24, depth=7, seed=17, dictionary: bytes | None = None) -> RandomForestClassificationModel:
     """Forest of labelled findings (token, before, after, path, label)."""
-    made = features()
+    made = features(dictionary)
     data = VectorAssembler(inputCols=list(made), outputCol="features").transform(findings.select(F.col("label").cast("double").alias("label"), *(c.alias(k) for k, c in made.items())))
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8).fit(data)
 
@@ -107,7 +152,7 @@ def train_forest(findings: DataFrame, trees=24, depth=7, seed=17) -> RandomFores
 def scan_candidates(docs: DataFrame, id_col="doc_id", text_col="text", path_col: str | None = None) -> DataFrame:
     """row, id, path, and for each candidate token, start (code points), before and after; one row without a token a document."""
     text = F.translate(F.coalesce(F.col(text_col), F.lit("")), OPEN + CLOSE, "  ")
-    parts = F.split(F.regexp_replace(text, CANDIDATE, f"{OPEN}$0{CLOSE}"), OPEN)
+    parts = F.split(F.regexp_replace(text, CANDIDATE, f"$1{OPEN}$2$3{CLOSE}"), OPEN)
     item = lambda p, i: F.struct(
         F.when(i > 0, F.substring_index(p, CLOSE, 1)).alias("token"),
         (F.length(p) - F.when(i > 0, 1).otherwise(0)).alias("size"),
@@ -122,14 +167,14 @@ def scan_candidates(docs: DataFrame, id_col="doc_id", text_col="text", path_col:
     return rows.select("row", "id", "path", "i", "item.token", "item.after", start.alias("start"), F.lag("item.tail").over(order).alias("before"))
 
 
-def find_secrets(docs: DataFrame, forest: RandomForestClassificationModel, id_col="doc_id", text_col="text", path_col: str | None = None, threshold=0.5) -> DataFrame:
+def find_secrets(docs: DataFrame, forest: RandomForestClassificationModel, id_col="doc_id", text_col="text", path_col: str | None = None, threshold=0.5, dictionary: bytes | None = None) -> DataFrame:
     """One row per row: id, n_candidates, n_secrets and spans ("start:end", comma-joined, code points).
 
     Whole texts are scanned; null and empty ones have no candidates. Repeated rows are kept, a null
     path has no path features, an empty table gives an empty result, other columns are ignored. The
-    private-use characters U+E000 and U+E001 read as spaces.
+    private-use characters U+E000 and U+E001 read as spaces. dictionary: that of the forest's training.
     """
-    made = features()
+    made = features(dictionary)
     found = scan_candidates(docs, id_col, text_col, path_col)
     found = VectorAssembler(inputCols=list(made), outputCol="features").transform(found.withColumns(made))
     scored = forest.transform(found).withColumn("secret", F.col("token").isNotNull() & (vector_to_array("probability")[1] >= threshold))
