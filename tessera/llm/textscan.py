@@ -92,23 +92,26 @@ class Keys:
         return mix(key ^ (found[1] * U(0x9FB21C651E98DF25))) if len(found) > 1 else key
 
 
-def span_keys(values, starts, ends, both=True):
+def span_keys(values, starts, ends, both=True, openings=()):
     """Keys of spans in order that don't overlap; values(lo, hi) gives the symbol values of a part of the buffer.
 
-    It works on blocks of about ``BLOCK`` symbols, cut between spans, so that memory doesn't follow the buffer.
+    With openings, also a list of the keys of every span's first symbols, for each number of them. It
+    works on blocks of about ``BLOCK`` symbols, cut between spans, so that memory doesn't follow the buffer.
     """
-    keys, a = np.empty(len(starts), U), 0
+    found, a = [np.empty(len(starts), U) for _ in range(1 + len(openings))], 0
     while a < len(starts):
         lo = starts[a]
         b = max(a + 1, int(np.searchsorted(ends, lo + BLOCK, "right")))
-        keys[a:b] = Keys(values(lo, ends[b - 1]), both)(starts[a:b] - lo, ends[a:b] - lo)
+        keys, first, last = Keys(values(lo, ends[b - 1]), both), starts[a:b] - lo, ends[a:b] - lo
+        for out, n in zip(found, (None, *openings), strict=True):
+            out[a:b] = keys(first, last if n is None else np.minimum(first + n, last))
         a = b
-    return keys
+    return (found[0], found[1:]) if openings else found[0]
 
 
-def word_keys(data, starts, ends, both=True):
-    """Keys of spans of a byte buffer, A-Z lower-cased."""
-    return span_keys(lambda lo, hi: [t[LOWER[data[lo:hi]]] for t in BYTES[: 1 + both]], starts, ends, both)
+def word_keys(data, starts, ends, both=True, openings=()):
+    """Keys of spans of a byte buffer, A-Z lower-cased; see span_keys()."""
+    return span_keys(lambda lo, hi: [t[LOWER[data[lo:hi]]] for t in BYTES[: 1 + both]], starts, ends, both, openings)
 
 
 def words(column, both=True):

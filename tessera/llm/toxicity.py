@@ -3,7 +3,8 @@
 The chain predicts one category after another; the model of each also reads the probabilities of
 the categories before it, which in training are out-of-fold predictions. Features are the presence
 of words (letters, A-Z lower-cased) and of their first bytes; a feature is known by its 64-bit key.
-Models are fitted on a bounded sample of labelled rows, every document is scored in full.
+Models are fitted on a bounded sample of labelled rows and all features that several of them share;
+every document is scored in full.
 """
 
 from dataclasses import dataclass, field
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from .storage import materialize
 from .textscan import U, buffer, runs, slices, word_keys
 
 PREFIXES = (4, 5, 6, 8)
@@ -27,7 +29,8 @@ def features(column):
     starts, ends = runs(LETTER[data], offsets)
     doc = np.searchsorted(offsets[1:], starts, "right")
     long = [ends - starts > p for p in PREFIXES]
-    found = [word_keys(data, starts, ends), *(word_keys(data, starts[m], starts[m] + p) for m, p in zip(long, PREFIXES, strict=True))]
+    whole, opened = word_keys(data, starts, ends, openings=PREFIXES)
+    found = [whole, *(keys[m] for m, keys in zip(long, opened, strict=True))]
     return np.concatenate(found), np.concatenate([doc, *(doc[m] for m in long)])
 
 
@@ -42,51 +45,79 @@ def _unique(keys, doc):
 
 @dataclass
 class Lexicon:
-    """The features a model reads, found among all keys by a bitmap and then a binary search."""
+    """The features a model reads, in order of their keys, found by a table of the keys' first bits."""
 
     keys: np.ndarray
-    seen: np.ndarray = field(init=False)
+    slots: np.ndarray = field(init=False)
+    shift: int = field(init=False)
 
     def __post_init__(self):
-        self.seen = np.zeros(1 << 20, bool)
-        self.seen[self.keys >> U(44)] = True
+        bits = max(10, int(4 * len(self.keys)).bit_length())
+        self.shift = 64 - bits
+        slot = (self.keys >> U(self.shift)).astype(np.int64)
+        self.slots = np.searchsorted(slot, np.arange((1 << bits) + 1)).astype(np.int32)  # where each slot's keys start
 
     def __call__(self, keys, doc):
         """(document, number of the feature) of each feature that occurs, once a document."""
-        maybe = np.flatnonzero(self.seen[keys >> U(44)])
-        keys, doc = keys[maybe], doc[maybe]
-        if not len(self.keys):
-            return doc[:0], doc[:0]
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        hit = self.keys[at] == keys
-        both = np.unique(doc[hit] * len(self.keys) + at[hit])
-        return both // len(self.keys), both % len(self.keys)
+        slot = (keys >> U(self.shift)).astype(np.int64)
+        at, end = self.slots[slot], self.slots[slot + 1]
+        live, hits = np.flatnonzero(at < end), []
+        while len(live):
+            hit = self.keys[at[live]] == keys[live]
+            hits.append(live[hit])
+            live = live[~hit]
+            at[live] += 1
+            live = live[at[live] < end[live]]
+        hit = np.concatenate(hits) if hits else live
+        both = np.unique(doc[hit] * max(1, len(self.keys)) + at[hit])
+        return both // max(1, len(self.keys)), both % max(1, len(self.keys))
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def logistic(rows, cols, width, dense, y, penalty=1.0, steps=80):
-    """Weights (sparse features, dense columns, intercept) of a logistic regression, by accelerated descent."""
-    n, k = len(y), dense.shape[1]
-    x = np.zeros(width + k + 1)
-    scale = np.bincount(cols, minlength=width)
+class Sparse:
+    """A 0/1 matrix by rows and by columns; rows: the row of each entry, in order."""
+
+    def __init__(self, rows, cols, n, width):
+        self.n, self.width, self.cols = n, width, cols
+        order = np.argsort(cols, kind="stable")
+        self.rows = rows[order].astype(np.int32)
+        sizes = np.bincount(rows, minlength=n), np.bincount(cols, minlength=width)
+        self.full = [np.flatnonzero(k) for k in sizes]
+        self.starts = [(np.cumsum(k) - k)[f] for k, f in zip(sizes, self.full, strict=True)]
+        self.sizes = sizes[0]
+
+    def _sum(self, values, side, n):
+        out = np.zeros(n)
+        if len(values):
+            out[self.full[side]] = np.add.reduceat(values, self.starts[side])
+        return out
+
+    def times(self, weights):
+        return self._sum(weights[self.cols], 0, self.n)
+
+    def back(self, values):
+        return self._sum(values[self.rows], 1, self.width)
+
+
+def logistic(x: Sparse, dense, y, use, penalty=1.0, steps=80):
+    """Weights (sparse features, dense columns, intercept) of a logistic regression on the rows in use, by accelerated descent."""
+    width = x.width
     # diagonal bound on curvature: features of a row share its gradient
-    row = np.bincount(rows, minlength=n) + (dense**2).sum(1) + 1
-    step = 1 / (0.25 * np.concatenate([np.bincount(cols, row[rows], width), dense.T**2 @ row, [row.sum()]]).clip(1) / 1.0 + penalty)
-    step = np.maximum(step, 0)
-    z, t = x.copy(), 1.0
+    row = (x.sizes + (dense**2).sum(1) + 1) * use
+    step = 1 / (0.25 * np.concatenate([x.back(row), dense.T**2 @ row, [row.sum()]]).clip(1) + penalty)
+    w = np.zeros(width + dense.shape[1] + 1)
+    z, t = w.copy(), 1.0
     for _ in range(steps):
-        score = np.bincount(rows, z[cols], n) + dense @ z[width:-1] + z[-1]
-        error = sigmoid(score) - y
-        slope = np.concatenate([np.bincount(cols, error[rows], width), dense.T @ error, [error.sum()]])
+        error = (sigmoid(x.times(z[:width]) + dense @ z[width:-1] + z[-1]) - y) * use
+        slope = np.concatenate([x.back(error), dense.T @ error, [error.sum()]])
         slope[:-1] += penalty * z[:-1]
-        nxt = z - step * slope * 1.0
+        nxt = z - step * slope
         up = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        z, x, t = nxt + (t - 1) / up * (nxt - x), nxt, up
-    del scale
-    return x
+        z, w, t = nxt + (t - 1) / up * (nxt - w), nxt, up
+    return w
 
 
 @dataclass
@@ -118,38 +149,30 @@ def best_threshold(p, y):
     return float((p[order][k] + (p[order][k + 1] if k + 1 < len(y) else 0)) / 2)
 
 
-def fit_chain(docs, labels, categories, id_col="doc_id", text_col="text", sample=10_000, width=4096, folds=5, seed=5) -> Chain:
-    """Fit on at most ``sample`` labelled documents (the lowest hashes of the id) and ``width`` features.
+def fit_chain(docs, labels, categories, id_col="doc_id", text_col="text", sample=10_000, folds=5, seed=5) -> Chain:
+    """Fit on at most ``sample`` labelled ids (the lowest hashes), one text each, and all features of several of them.
 
     labels has the id and one 0/1 column a category; several rows of an id count as their maximum, a
-    null as 0. Without labels, or without a category's positives, nothing is that category.
+    null as 0. Of the texts of a repeated id the first in order is read. A feature of one text alone
+    says nothing of others. Without labels, or without a category's positives, nothing is that category.
     """
     votes = [F.max(F.coalesce(F.col(c), F.lit(0)).cast("int")).alias(c) for c in categories]
     chosen = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*votes).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(sample)
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
-    rows = rows.select(F.col(id_col).cast("long").alias("id"), "text", *categories)
+    rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("text").alias("text"), *(F.max(c).alias(c) for c in categories))
+    rows = materialize(rows)  # at most ``sample`` texts
     n = len(categories)
 
     def count(batches):
         for batch in batches:
             for part in slices(batch, 1):
-                keys, doc = _unique(*features(part.column(1)))
-                y = np.column_stack([part.column(2 + k).to_numpy() for k in range(n)])
-                found, at = np.unique(keys, return_inverse=True)
-                sums = [np.bincount(at, y[doc, k]).astype(np.int64) for k in range(n)]
-                yield pa.record_batch({"key": found.view(np.int64), "n": np.bincount(at), **{f"y{k}": s for k, s in enumerate(sums)}})
-
-    per = ", ".join(f"y{k} long" for k in range(n))
-    counts = rows.mapInArrow(count, f"key long, n long, {per}").groupBy("key").agg(F.sum("n").alias("n"), *(F.sum(f"y{k}").alias(f"y{k}") for k in range(n)))
-    total = rows.agg(F.count("*"), *(F.sum(c) for c in categories)).first()
-    if not total[0]:
+                found, times = np.unique(_unique(*features(part.column(1)))[0], return_counts=True)
+                yield pa.record_batch({"key": found.view(np.int64), "n": times.astype(np.int64)})
+
+    if rows.isEmpty():
         return Chain(list(categories), Lexicon(np.zeros(0, U)), [np.array([*[0.0] * k, -9.0]) for k in range(n)], [1.1] * n)
-    gain = F.lit(0.0)
-    for k in range(n):
-        rate = (total[1 + k] or 0) / total[0]
-        gain = F.greatest(gain, F.abs(F.col(f"y{k}") - F.col("n") * rate) / F.sqrt(F.col("n") * max(rate * (1 - rate), 1e-9)))
-    top = counts.where("n >= 4").orderBy(gain.desc(), "key").limit(width).select("key").collect()
-    lexicon = Lexicon(np.sort(np.array([r.key for r in top], np.int64).view(U)))
+    counts = rows.select("id", "text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    lexicon = Lexicon(np.sort(counts.where("n > 1").select("key").toArrow()["key"].to_numpy().view(U)))
 
     def encode(batches):
         for batch in batches:
@@ -167,15 +190,15 @@ def fit_chain(docs, labels, categories, id_col="doc_id", text_col="text", sample
     y = np.column_stack([data[f"y{k}"].to_numpy() for k in range(n)])[order].astype(float)
     at = np.repeat(np.arange(len(y)), sizes)
     fold = np.random.default_rng(seed).permutation(len(y)) % folds
+    x, width = Sparse(at, cols, len(y), len(lexicon.keys)), len(lexicon.keys)
     weights, thresholds, before = [], [], np.zeros((len(y), 0))
     for k in range(n):
         out = np.zeros(len(y))
         for f in range(folds):
-            fit, held = fold != f, fold == f
-            w = logistic(np.cumsum(fit)[at[fit[at]]] - 1, cols[fit[at]], len(lexicon.keys), before[fit], y[fit, k])
-            out[held] = (np.bincount(at, w[cols], len(y)) + before @ w[len(lexicon.keys) : -1] + w[-1])[held]
+            w = logistic(x, before, y[:, k], fold != f)
+            out = np.where(fold == f, x.times(w[:width]) + before @ w[width:-1] + w[-1], out)
         out = sigmoid(out)
-        weights.append(logistic(at, cols, len(lexicon.keys), before, y[:, k]))
+        weights.append(logistic(x, before, y[:, k], np.ones(len(y))))
         thresholds.append(best_threshold(out, y[:, k]))
         before = np.column_stack([before, out])
     return Chain(list(categories), lexicon, weights, thresholds)
@@ -191,7 +214,7 @@ def score_toxicity(docs: DataFrame, chain: Chain, text_col="text") -> DataFrame:
     names = [f"{a}_{c}" for c in chain.categories for a in ("p", "is")]
     docs = docs.drop(*names)
     spark, at = docs.sparkSession, docs.columns.index(text_col)
-    model = spark.sparkContext.broadcast(chain)  # at most ``width`` weights a category
+    model = spark.sparkContext.broadcast(chain)  # features of at most ``sample`` texts
 
     def score(batches):
         fitted = model.value
@@ -203,10 +226,11 @@ def score_toxicity(docs: DataFrame, chain: Chain, text_col="text") -> DataFrame:
                     new += [pa.array(p[:, k]), pa.array(p[:, k] >= t)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[*part.schema.names, *names])
 
-    schema = StructType(list(docs.schema.fields))
+    plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))  # names with dots can't be given to a function
+    schema = StructType(list(plain.schema.fields))
     for name in names:
         schema = schema.add(name, "boolean" if name.startswith("is_") else "double")
-    return docs.mapInArrow(score, schema)
+    return plain.mapInArrow(score, schema).toDF(*docs.columns, *names)
 
 
 CATEGORIES = ("low_quality", "toxic")

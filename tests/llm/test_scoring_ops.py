@@ -3,6 +3,7 @@
 import itertools
 import math
 import random
+import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -243,6 +244,45 @@ def test_toxicity_chain_on_held_out_rows(spark):
     assert np.mean([r.is_low_quality == (r.doc_id % 7 == 0) for r in held]) > 0.98
 
 
+def newton(x, y, penalty=1.0):
+    """Ridge logistic regression with a free intercept, solved by Newton steps."""
+    x = np.column_stack([x, np.ones(len(x))])
+    ridge, w = np.diag([penalty] * (x.shape[1] - 1) + [0]), np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(x @ w)))
+        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
+    return lambda z: 1 / (1 + np.exp(-(np.column_stack([z, np.ones(len(z))]) @ w)))
+
+
+def test_chain_equals_a_plain_solver(spark):
+    """Features, folds and both models of the chain recomputed with sets, dense matrices and Newton's method."""
+    docs, labels = labelled(spark, 240)
+    texts, known = dict(docs.collect()), {r.doc_id: r for r in labels.collect()}
+    ids = sorted(known)
+    feats = {i: {o for w in re.findall("[a-z]+", t.lower()) for o in (w, *(w[:n] for n in (4, 5, 6, 8) if len(w) > n))} for i, t in texts.items()}
+    seen = Counter(f for i in ids for f in feats[i])
+    columns = sorted(f for f, n in seen.items() if n > 1)
+    x = {i: np.array([f in feats[i] for f in columns], float) for i in texts}
+    fold = np.random.default_rng(5).permutation(len(ids)) % 5
+    train, every = np.array([x[i] for i in ids]), np.array([x[i] for i in sorted(texts)])
+    for name, value in (("low_quality", lambda r: 1 - r.quality), ("toxic", lambda r: r.toxic)):
+        y = np.array([value(known[i]) for i in ids], float)
+        out = np.zeros(len(ids))
+        for f in range(5):
+            out[fold == f] = newton(train[fold != f], y[fold != f])(train[fold == f])
+        p = newton(train, y)(every)
+        train, every = np.column_stack([train, out]), np.column_stack([every, p])
+        got = {r.doc_id: r[f"p_{name}"] for r in toxicity.score_toxicity(docs, toxicity.corpus_chain(docs, labels)).collect()}
+        assert max(abs(got[i] - q) for i, q in zip(sorted(texts), p, strict=True)) < 0.02
+
+
+def test_chain_reads_one_text_of_a_repeated_id(spark):
+    docs, labels = labelled(spark, 120)
+    again = docs.union(docs.where("doc_id < 4").withColumn("text", F.concat("text", F.lit(" zz more words"))).crossJoin(spark.range(50)).drop("id"))
+    a, b = (toxicity.corpus_chain(d, labels) for d in (docs, again.repartition(3)))
+    assert a.lexicon.keys.tolist() == b.lexicon.keys.tolist() and a.thresholds == b.thresholds
+
+
 def test_toxicity_edges(spark, odd_docs, no_docs):
     docs, labels = labelled(spark, 100)
     chain = toxicity.corpus_chain(docs, labels)
