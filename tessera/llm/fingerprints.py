@@ -55,31 +55,44 @@ def fingerprint_texts(rows: DataFrame, keys: list[str], texts: list[str]) -> Dat
     return whole.select(*keys, *(own(i).alias(f"fp_{t}") for i, t in enumerate(texts)))
 
 
+#: Sub-ranges that one id, or all rows without one, can be dealt into.
+FINE = 1 << 20
+
+
 def followers(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     """id, text and next_text: the text of the row with the next lower id; after the lowest comes the highest.
 
-    Null texts are empty ones; rows of equal id follow each other by text, null ids come last. Rows are
-    ordered inside ranges of ids; to the end of each range is added the head of the range below it.
+    Null texts are empty ones; rows of equal id follow each other by a hash of the text and then the text,
+    null ids come last. Rows are ordered inside ranges of ids, and of hashes where one id fills more than
+    a range; to the end of each range is added the head of the range below it.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    points = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n)).first()[0]
+    points, total, without = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], 20 * n), F.count("*"), F.count_if(F.col("id").isNull())).first()
     cuts = sorted({*(points or [])}) or [0]  # fewer than n numbers
     step = isqrt(len(cuts)) + 1
     listed = lambda v: F.array(*map(F.lit, v)).cast("array<long>")
     coarse = F.size(F.filter(listed(cuts[::step]), lambda c: c < F.col("id")))
     near = F.slice(listed(cuts), F.greatest((coarse - 1) * step, F.lit(0)) + 1, F.lit(step))
     spot = F.greatest((coarse - 1) * step, F.lit(0)) + F.size(F.filter(near, lambda c: c < F.col("id")))
-    rows = rows.withColumn("range", F.when(F.col("id").isNull(), -1).otherwise(spot))
-    tops = rows.groupBy("range").agg(F.max("id").alias("top"))  # a row a range
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    # a frequent id is the highest of its range: its rows come first, by hash; fewer than n ids
+    often = {r.id: r["count"] for r in rows.where("id is not null").groupBy("id").count().where(F.col("count") > 2 * total / n).collect()}
+    often |= {None: without} if without > 2 * total / n else {}
+    share = lambda k: F.floor(F.shiftrightunsigned("h", 44) * min(FINE - 1, -(-k * n // max(1, total))) / FINE)
+    fine = F.lit(FINE - 1).cast("long")
+    for key, k in often.items():
+        fine = F.when(F.col("id").eqNullSafe(F.lit(key)), share(k)).otherwise(fine)
+    rows = rows.withColumn("range", F.when(F.col("id").isNull(), -1).otherwise(spot).cast("long") * FINE + (FINE - 1 - fine))
+    tops = rows.groupBy("range").agg(F.min(F.struct(-F.col("id"), "h")).alias("top"))  # a row a range
     order = Window.orderBy(F.desc("range"))
-    tops = tops.select(F.lag("range").over(order).alias("before"), F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lowest"), "range", "top")
-    tops = tops.select(F.coalesce("before", "lowest").alias("into"), "range", "top")
-    heads = rows.join(F.broadcast(tops), (rows.range == tops.range) & rows.id.eqNullSafe(tops.top)).groupBy("into").agg(F.min("text").alias("text"))
-    ends = heads.select(F.lit(None).cast("long").alias("id"), "text", F.col("into").alias("range"), F.lit(True).alias("end"))
+    tops = tops.select(F.lag("range").over(order).alias("before"), F.last("range").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("lowest"), F.col("range").alias("of"), "top")
+    tops = tops.select(F.coalesce("before", "lowest").alias("into"), "of", F.col("top.col1").alias("low_id"), F.col("top.h").alias("low_h"))
+    heads = rows.join(F.broadcast(tops), (rows.range == tops.of) & (-rows.id).eqNullSafe(tops.low_id) & (rows.h == tops.low_h)).groupBy("into").agg(F.min("text").alias("text"))
+    ends = heads.select(F.lit(None).cast("long").alias("id"), "text", F.lit(0).cast("long").alias("h"), F.col("into").alias("range"), F.lit(True).alias("end"))
     whole = rows.withColumn("end", F.lit(False)).unionByName(ends)
-    inside = Window.partitionBy("range").orderBy("end", F.desc_nulls_last("id"), "text")
+    inside = Window.partitionBy("range").orderBy("end", F.desc_nulls_last("id"), "h", "text")
     return whole.withColumn("next_text", F.lead("text").over(inside)).where("not end").select("id", "text", "next_text")
 
 
@@ -108,7 +121,7 @@ def near_fingerprints(fps: DataFrame, queries: DataFrame, radius=3, blocks=6) ->
     for i, m in reversed(list(enumerate(masks))):
         first = F.when(differ.bitwiseAND(F.lit(m)) == 0, i).otherwise(first)
     meet = (left.table == right.table) & (left.front == right.front) & (F.bit_count(differ) <= radius) & (left.table == first)
-    return left.join(right, meet).select("query", "fp", F.bit_count(differ).alias("distance"))
+    return left.hint("merge").join(right, meet).select("query", "fp", F.bit_count(differ).alias("distance"))
 
 
 def likeness(a, b) -> Column:
