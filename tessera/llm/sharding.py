@@ -78,7 +78,7 @@ def shard_documents(docs: DataFrame, shards=16, id_col="doc_id", text_col="text"
 
     The law is ``key``: id and number of shards decide. size is the text's UTF-8 bytes (null: none)
     plus one; a null text has the empty text's checksum. Slots run gapless from 0 in each shard, by
-    ``parts`` hash parts and then id, size and checksum, so no shard is ordered in one task. Rows with
+    ``parts`` hash parts (of id, size and checksum) and then these, so no shard is ordered in one task. Rows with
     equal ids, null ids too, go to one shard and get slots of their own. An empty table gives an
     empty result; other columns are ignored.
     """
@@ -92,7 +92,7 @@ def shard_documents(docs: DataFrame, shards=16, id_col="doc_id", text_col="text"
         F.lit("key").alias("law"),
         place(key, root).alias("shard"),
         place(key, grow(root, shards)).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit("slot")), F.lit(parts)).cast("int").alias("part"),
+        F.pmod(F.xxhash64(key, F.crc32(text), F.octet_length(text), F.lit("slot")), F.lit(parts)).cast("int").alias("part"),
     )
     counts = rows.groupBy("shard", "part").count()
     before = F.sum("count").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
@@ -103,5 +103,10 @@ def shard_documents(docs: DataFrame, shards=16, id_col="doc_id", text_col="text"
 
 
 def write_shards(docs: DataFrame, path: str, shards=16, id_col="doc_id") -> None:
-    """Write docs to one folder a shard; a row's shard is that of shard_documents()."""
+    """Write docs to one folder ``shard=<n>`` a shard; a row's shard is that of shard_documents().
+
+    Rows without an id or a text, and repeated ones, are written like any other, whole; a column of docs
+    that is itself called shard is written as ``shard_of_row``. An empty table writes no folder.
+    """
+    docs = docs.withColumnRenamed("shard", "shard_of_row")
     docs.withColumn("shard", place(F.col(id_col), tree(shards))).write.partitionBy("shard").parquet(path)
