@@ -18,6 +18,8 @@ from .storage import materialize
 from .textscan import mix, slices
 
 SEED = 42
+#: Rows of a key above which it is split; rows that a task compares at a time.
+OFTEN, HELD = 4096, 1 << 18
 
 
 def text_fingerprint(text: str | None, shingle: int = 4, words: int = 1) -> tuple[int, ...]:
@@ -101,13 +103,34 @@ def _find(parent, x):
     return x
 
 
+def split_keys(rows: DataFrame, keys: list[tuple[int, int]], often: int) -> DataFrame:
+    """rows with ``sub``: null, or where over ``often`` rows share a key, one row for each part of the key's other bits.
+
+    Linked rows of a key differ in at most ``radius`` of these bits, so they agree on one of radius + 1 parts.
+    """
+    radius = len(keys) // 2 - 1
+    counts = materialize(rows.groupBy("k", "bits").count().where(F.col("count") > often).select("k", "bits", F.lit(True).alias("often")))
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
+    parts = []
+    for k in range(len(keys)):
+        rest = [b for b in range(64) if not keys[k][1] >> b & 1]
+        cut = [rest[len(rest) * i // (radius + 1) : len(rest) * (i + 1) // (radius + 1)] for i in range(radius + 1)]
+        parts.append([signed(sum(1 << b for b in c)) for c in cut])
+    own = F.get(F.array(*(F.array(*map(F.lit, p)) for p in parts)), F.col("k") % len(keys))
+    word = F.get(F.array(*(c for c in rows.columns if c.startswith("w"))), F.floor(F.col("k") / len(keys)).cast("int"))
+    subs = F.transform(own, lambda m, i: F.struct(i.alias("part"), m.bitwiseAND(word).alias("bits")))
+    none = F.array(F.lit(None).cast("struct<part:int,bits:bigint>"))
+    joined = rows.join(counts, ["k", "bits"], "left")
+    return joined.select(*rows.columns, F.explode(F.when(F.col("often"), subs).otherwise(none)).alias("sub"))
+
+
 def linked_pairs(keys, first, word, node, radius, whole=None, total=None):
     """Pairs of nodes that connect what links within equal keys; a spanning set, not all pairs.
 
     word: the 64 bits that the key is of; whole: all words of each row, with ``total`` as their limit.
     Exact: every pair of rows with equal keys is compared, in vectors, but a pair inside a component
     that is already connected isn't returned. Time is quadratic in the distinct fingerprints under
-    one key, memory and output are linear.
+    one key, which split_keys() keeps few; memory and output are linear.
     """
     order = np.lexsort((node, keys))
     keys, first, word, node = keys[order], first[order], word[order], node[order]
@@ -147,20 +170,40 @@ def fingerprint_edges(fps: DataFrame, radius=4, words=1, total=None) -> DataFram
     every = [f"w{w}" for w in range(words)]
     rows = fps.select("node", *(word(w).alias(every[w]) for w in range(words)), F.explode(F.array(*made)).alias("key")).select("node", *every, "key.k", "key.bits")
 
-    def link(batches):
-        batches = [b for b in batches if b.num_rows]
-        if not batches:
-            return
-        table = pa.Table.from_batches(batches)
-        node, k, bits = (table.column(c).to_numpy() for c in ("node", "k", "bits"))
+    def link_rows(held):
+        table = pa.Table.from_batches(held)
+        node, k, bits, part, rest = (table.column(c).to_numpy() for c in ("node", "k", "bits", "part", "rest"))
         whole = np.stack([table.column(c).to_numpy() for c in every], 1).view(np.uint64)
-        code = np.unique(bits, return_inverse=True)[1] * (len(keys) * words) + k
+        change = np.zeros(len(k), bool)
+        for c in (k, bits, part, rest):
+            change[1:] |= c[1:] != c[:-1]
         first = np.array([i for i, _ in keys])[k % len(keys)]
         own = whole[np.arange(len(k)), k // len(keys)]
-        a, b = linked_pairs(code, first, own, node, radius, whole if words > 1 else None, total)
-        yield pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
+        a, b = linked_pairs(np.cumsum(change), first, own, node, radius, whole if words > 1 else None, total)
+        return pa.record_batch({"a": pa.array(a), "b": pa.array(b)})
 
-    return rows.repartition("k", "bits").mapInArrow(link, "a long, b long")
+    def link(batches):
+        held, n, last = [], 0, None  # whole groups, at least HELD rows of them at a time
+        for batch in batches:
+            code = np.column_stack([batch.column(c).to_numpy() for c in ("k", "bits", "part", "rest")])
+            if not len(code):
+                continue
+            if n >= HELD:
+                new = np.flatnonzero((code != last).any(1))
+                cut = int(new[0]) if len(new) else len(code)
+                held.append(batch.slice(0, cut))
+                if not len(new):
+                    continue
+                yield link_rows(held)
+                held, n, batch = [], 0, batch.slice(cut)
+            held.append(batch)
+            n, last = n + batch.num_rows, code[-1]
+        if n:
+            yield link_rows(held)
+
+    dealt = split_keys(rows, keys, OFTEN).select("node", "k", "bits", F.coalesce("sub.part", F.lit(-1)).alias("part"), F.coalesce("sub.bits", F.lit(0)).alias("rest"), *every)
+    order = ["k", "bits", "part", "rest"]
+    return dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(link, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col="doc_id", text_col="text", shingle=4, radius=4, words=1, total=None) -> DataFrame:
