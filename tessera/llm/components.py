@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import materialize
+from .storage import discard, materialize
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -31,7 +31,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     # Each edge set is the same graph; it is a forest of stars once a round changes nothing.
     mark = None
     for _ in range(rounds):
-        edges = materialize(_star(_star(edges, True), False))
+        before, edges = edges, materialize(_star(_star(edges, True), False))
+        discard(before)
         seen = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.col("b").cast("decimal(38,0)"))).first()
         if seen == mark or not seen[0]:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
