@@ -121,6 +121,11 @@ def _scorer(shared, k):
     return score
 
 
+def scores(docs: DataFrame, queries: DataFrame, k: int | None = None) -> DataFrame:
+    """qid, doc_id, score by blocks: the form to use unless a query must stay with built-in functions."""
+    return maxsim_blocks(pack_documents(docs), queries, k=k)
+
+
 def maxsim_by_token(docs: DataFrame, queries: DataFrame, tokens: int) -> DataFrame:
     """The same scores, one query token after another: each token's best products, united and summed."""
     parts = None

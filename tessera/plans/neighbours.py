@@ -240,7 +240,7 @@ def _hit_sql(k):
 
 
 def _run(spark, sf_dir):
-    return S.topk(S.rounded(S.maxsim(*tables(spark, sf_dir))), 100), qrels(spark, sf_dir)
+    return S.topk(S.rounded(S.scores(*tables(spark, sf_dir), 100)), 100), qrels(spark, sf_dir)
 
 
 @query(f"{RUN}, {_hit_sql(10)} SELECT qid, round(coalesce(h / n, 0), 6) AS recall FROM asked LEFT JOIN (SELECT qid, count(*) AS h FROM hits GROUP BY qid) USING (qid) LEFT JOIN rel USING (qid)")

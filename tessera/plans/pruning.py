@@ -203,7 +203,7 @@ def _frontier_sql():
 
 def frontier(docs, queries, grid, steps, k):
     """shrink, mean recall of the true top k and mean share of a full scan's cells."""
-    truth = S.topk(S.rounded(S.maxsim(docs, queries)), k)
+    truth = S.topk(S.rounded(S.scores(docs, queries, k)), k)
     full, out = S.scanned_cells(docs, queries, steps[-1]), None
     for shrink in grid:
         found, work = P.pruned_search(docs, queries, k, steps, shrink=shrink)
@@ -237,7 +237,7 @@ def _keep_sql():
 def recall_fixed_prune(spark, sf_dir):
     """Recall of the top ten among the best fraction by a partial score."""
     docs, queries = tables(spark, sf_dir)
-    truth, out = S.topk(S.rounded(S.maxsim(docs, queries)), K), None
+    truth, out = S.topk(S.rounded(S.scores(docs, queries, K)), K), None
     for k, fraction in KEEP:
         one = P.keep_fraction(S.rounded(S.maxsim(docs, queries, dims=k)), truth, fraction, K)
         one = one.select(F.lit(k).alias("k"), F.lit(fraction).alias("fraction"), "qid", "recall")
