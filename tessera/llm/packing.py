@@ -125,15 +125,17 @@ def cut_documents(docs, path, length=LENGTH, id_col="doc_id", text_col="text") -
             for part in slices(batch, 1):
                 ids, ends = token_ids(part.column(1).to_pylist(), path)
                 rows, at = [], 0
-                for doc, stop in zip(part.column(0).to_pylist(), ends.tolist(), strict=True):
+                for doc, stop in enumerate(ends.tolist()):
                     own = np.concatenate([ids[at:stop].astype("<u4"), end])
                     at = stop
                     for s in range(0, len(own), length):
                         piece = own[s : s + length]
                         rows.append((doc, s, len(piece), zlib.crc32(piece), len(own)))
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], ["id", "start", "length", "ids_crc32", "doc_tokens"])
+                doc, *numbers = (pa.array(c, pa.int64()) for c in zip(*rows, strict=True))
+                yield pa.record_batch([part.column(0).take(doc), *numbers], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(cut, "id long, start long, length long, ids_crc32 long, doc_tokens long")
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(cut, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 def best_pattern(prices, capacity):
@@ -158,12 +160,12 @@ def best_pattern(prices, capacity):
     return best[capacity], counts
 
 
-def cutting_stock(demand, capacity, rounds=4000):
+def cutting_stock(demand, capacity):
     """Integer patterns that cover a histogram: [(uses, counts by size)], near the fewest sequences.
 
     demand[s]: how many items of size s (1..capacity). The linear program is solved by the revised
-    simplex method from one homogeneous pattern per size; after ``rounds`` columns its solution so
-    far is taken, which covers the demand too.
+    simplex method from one homogeneous pattern per size, until no pattern's price is above one or,
+    where pivots change nothing any more, until twice as many of these as there are sizes.
     """
     sizes = np.flatnonzero(demand)
     if not len(sizes):
@@ -173,7 +175,8 @@ def cutting_stock(demand, capacity, rounds=4000):
     inverse, uses = np.diag([1 / c[i] for i, c in enumerate(columns)]), need.copy()
     for i, c in enumerate(columns):
         uses[i] /= c[i]
-    for _ in range(rounds):
+    least, still = uses.sum(), 0
+    while still <= 2 * len(sizes):
         prices = np.zeros(capacity + 1)
         prices[sizes] = np.maximum(inverse.sum(0), 0)
         value, counts = best_pattern(prices, capacity)
@@ -192,6 +195,8 @@ def cutting_stock(demand, capacity, rounds=4000):
         inverse[out] /= step[out]
         rest = np.arange(len(sizes)) != out
         inverse[rest] -= np.outer(step[rest], inverse[out])
+        still = 0 if uses.sum() < least - 1e-9 * max(1.0, least) else still + 1
+        least = min(least, uses.sum())
     found, left = [], demand[sizes].astype(np.int64)
     for n, c in zip(uses, columns, strict=True):
         c = c.astype(np.int64)
@@ -252,7 +257,8 @@ def pack(docs: DataFrame, path: str, length=LENGTH, step=STEP, id_col="doc_id",
     spark = docs.sparkSession
     capacity = length // step
     kind = F.ceil(F.col("length") / step).cast("int")
-    cut = materialize(cut_documents(docs, path, length, id_col, text_col).withColumn("size", kind))
+    cut = cut_documents(docs, path, length, id_col, text_col).withColumn("size", kind)
+    cut = materialize(cut.withColumn("row", F.monotonically_increasing_id()))  # tells equal rows apart
     demand = np.zeros(capacity + 1, np.int64)
     for r in cut.groupBy("size").count().collect():  # at most ``capacity`` rows
         demand[r["size"]] = r["count"]
@@ -277,7 +283,8 @@ def pack(docs: DataFrame, path: str, length=LENGTH, step=STEP, id_col="doc_id",
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.full(len(size), part)), pa.array(local)], [*b.schema.names, "part", "local"])
 
     columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in cut.schema)
-    ordered = cut.repartitionByRange(parts, "size", "id", "start", "ids_crc32").sortWithinPartitions("size", "id", "start", "ids_crc32")
+    order = ["size", "id", "start", "ids_crc32", "row"]
+    ordered = cut.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranked = materialize(ordered.mapInArrow(number, f"{columns}, part long, local long"))
     # a size's pieces lie in consecutive partitions: at most ``capacity`` rows more than partitions
     counts = ranked.groupBy("size", "part").count().collect()

@@ -16,9 +16,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .storage import materialize
-from .textscan import U, buffer, runs, slices, word_keys
+from .textscan import U, buffer, mix, runs, slices, word_keys
 
 PREFIXES = (4, 5, 6, 8)
+#: Squared z-score at which a feature counts half.
+DOUBT = 12.0
 LETTER = np.zeros(256, bool)
 LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
@@ -78,16 +80,26 @@ def sigmoid(x):
 
 
 class Sparse:
-    """A 0/1 matrix by rows and by columns; rows: the row of each entry, in order."""
+    """A 0/1 matrix by rows and by columns, equal columns merged; rows: the row of each entry, in order.
+
+    ``group`` is the merged column of each column, ``many`` how many are merged in each.
+    """
 
     def __init__(self, rows, cols, n, width):
-        self.n, self.width, self.cols = n, width, cols
+        marks = mix(np.arange(1, n + 1, dtype=U))
+        sums = [np.zeros(width, U) for _ in range(2)]
+        for k, out in enumerate(sums):
+            np.add.at(out, cols, mix(marks + U(k))[rows])
+        _, first, self.group, self.many = np.unique(np.column_stack(sums).view(np.dtype((np.void, 16))).ravel(), return_index=True, return_inverse=True, return_counts=True)
+        keep = np.zeros(width, bool)
+        keep[first] = True
+        rows, cols = rows[keep[cols]], self.group[cols[keep[cols]]]
+        self.n, self.width = n, len(first)
         order = np.argsort(cols, kind="stable")
-        self.rows = rows[order].astype(np.int32)
-        sizes = np.bincount(rows, minlength=n), np.bincount(cols, minlength=width)
+        self.cols, self.rows = cols.astype(np.int32), rows[order].astype(np.int32)
+        sizes = np.bincount(rows, minlength=n), np.bincount(cols, minlength=self.width)
         self.full = [np.flatnonzero(k) for k in sizes]
         self.starts = [(np.cumsum(k) - k)[f] for k, f in zip(sizes, self.full, strict=True)]
-        self.sizes = sizes[0]
 
     def _sum(self, values, side, n):
         out = np.zeros(n)
@@ -102,22 +114,33 @@ class Sparse:
         return self._sum(values[self.rows], 1, self.width)
 
 
-def logistic(x: Sparse, dense, y, use, penalty=1.0, steps=80):
-    """Weights (sparse features, dense columns, intercept) of a logistic regression on the rows in use, by accelerated descent."""
-    width = x.width
+def evidence(x: Sparse, y, use, doubt=DOUBT):
+    """Scale of each column: its squared z-score for y among the rows in use, over that plus ``doubt``."""
+    n, rate = x.back(use), (y * use).sum() / use.sum()
+    square = (x.back(y * use) - n * rate) ** 2 / np.maximum(n * max(rate * (1 - rate), 1e-9), 1e-9)
+    return square / (square + doubt)
+
+
+def logistic(x: Sparse, dense, y, use, penalty=1.0, steps=40):
+    """Weights (sparse features, dense columns, intercept) of a logistic regression on the rows in use, by accelerated descent.
+
+    A ridge penalty whose strength on a feature falls with its evidence: none is left out, few count much.
+    """
+    use = use.astype(float)
+    width, scale = x.width, evidence(x, y, use) * np.sqrt(x.many)
     # diagonal bound on curvature: features of a row share its gradient
-    row = (x.sizes + (dense**2).sum(1) + 1) * use
-    step = 1 / (0.25 * np.concatenate([x.back(row), dense.T**2 @ row, [row.sum()]]).clip(1) + penalty)
+    row = (x.times(scale**2) + (dense**2).sum(1) + 1) * use
+    step = 1 / (0.25 * np.concatenate([scale**2 * x.back(row), dense.T**2 @ row, [row.sum()]]) + penalty)
     w = np.zeros(width + dense.shape[1] + 1)
     z, t = w.copy(), 1.0
     for _ in range(steps):
-        error = (sigmoid(x.times(z[:width]) + dense @ z[width:-1] + z[-1]) - y) * use
-        slope = np.concatenate([x.back(error), dense.T @ error, [error.sum()]])
+        error = (sigmoid(x.times(scale * z[:width]) + dense @ z[width:-1] + z[-1]) - y) * use
+        slope = np.concatenate([scale * x.back(error), dense.T @ error, [error.sum()]])
         slope[:-1] += penalty * z[:-1]
         nxt = z - step * slope
         up = (1 + (1 + 4 * t * t) ** 0.5) / 2
         z, w, t = nxt + (t - 1) / up * (nxt - w), nxt, up
-    return w
+    return np.concatenate([(scale * w[:width] / x.many)[x.group], w[width:]])
 
 
 @dataclass
@@ -196,7 +219,7 @@ def fit_chain(docs, labels, categories, id_col="doc_id", text_col="text", sample
         out = np.zeros(len(y))
         for f in range(folds):
             w = logistic(x, before, y[:, k], fold != f)
-            out = np.where(fold == f, x.times(w[:width]) + before @ w[width:-1] + w[-1], out)
+            out = np.where(fold == f, np.bincount(at, w[cols], len(y)) + before @ w[width:-1] + w[-1], out)
         out = sigmoid(out)
         weights.append(logistic(x, before, y[:, k], np.ones(len(y))))
         thresholds.append(best_threshold(out, y[:, k]))

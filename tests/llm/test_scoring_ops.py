@@ -244,14 +244,18 @@ def test_toxicity_chain_on_held_out_rows(spark):
     assert np.mean([r.is_low_quality == (r.doc_id % 7 == 0) for r in held]) > 0.98
 
 
-def newton(x, y, penalty=1.0):
-    """Ridge logistic regression with a free intercept, solved by Newton steps."""
-    x = np.column_stack([x, np.ones(len(x))])
+def newton(x, y, dense, penalty=1.0):
+    """Ridge logistic regression with a free intercept, solved by Newton steps; all but ``dense`` columns scaled by evidence."""
+    n, rate = x.sum(0), y.mean()
+    square = (x.T @ y - n * rate) ** 2 / np.maximum(n * rate * (1 - rate), 1e-9)
+    scale = np.append(square / (square + 12), 1)
+    scale[len(scale) - 1 - dense : -1] = 1
+    x = np.column_stack([x, np.ones(len(x))]) * scale
     ridge, w = np.diag([penalty] * (x.shape[1] - 1) + [0]), np.zeros(x.shape[1])
     for _ in range(60):
         p = 1 / (1 + np.exp(-(x @ w)))
         w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (p - y) + ridge @ w)
-    return lambda z: 1 / (1 + np.exp(-(np.column_stack([z, np.ones(len(z))]) @ w)))
+    return lambda z: 1 / (1 + np.exp(-((np.column_stack([z, np.ones(len(z))]) * scale) @ w)))
 
 
 def test_chain_equals_a_plain_solver(spark):
@@ -265,12 +269,12 @@ def test_chain_equals_a_plain_solver(spark):
     x = {i: np.array([f in feats[i] for f in columns], float) for i in texts}
     fold = np.random.default_rng(5).permutation(len(ids)) % 5
     train, every = np.array([x[i] for i in ids]), np.array([x[i] for i in sorted(texts)])
-    for name, value in (("low_quality", lambda r: 1 - r.quality), ("toxic", lambda r: r.toxic)):
+    for dense, (name, value) in enumerate((("low_quality", lambda r: 1 - r.quality), ("toxic", lambda r: r.toxic))):
         y = np.array([value(known[i]) for i in ids], float)
         out = np.zeros(len(ids))
         for f in range(5):
-            out[fold == f] = newton(train[fold != f], y[fold != f])(train[fold == f])
-        p = newton(train, y)(every)
+            out[fold == f] = newton(train[fold != f], y[fold != f], dense)(train[fold == f])
+        p = newton(train, y, dense)(every)
         train, every = np.column_stack([train, out]), np.column_stack([every, p])
         got = {r.doc_id: r[f"p_{name}"] for r in toxicity.score_toxicity(docs, toxicity.corpus_chain(docs, labels)).collect()}
         assert max(abs(got[i] - q) for i, q in zip(sorted(texts), p, strict=True)) < 0.02
