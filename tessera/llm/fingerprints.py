@@ -45,7 +45,9 @@ def majority(chunks: Column) -> Column:
 def fingerprint_texts(rows: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
     """rows' key columns (together unique) and, for each text column, its fingerprint as ``fp_<name>``."""
     each = F.explode(F.array(*(F.struct(F.lit(i).alias("which"), F.col(t).alias("text")) for i, t in enumerate(texts))))
-    terms = rows.select(*keys, each.alias("t")).select(*keys, F.col("t.which").alias("which"), F.posexplode(term_hashes(F.col("t.text"))).alias("at", "h"))
+    # hashes become a column before they are exploded: else every term's row carries a copy of the text
+    hashed = rows.select(*keys, each.alias("t")).select(*keys, F.col("t.which").alias("which"), term_hashes(F.col("t.text")).alias("hashes"))
+    terms = hashed.select(*keys, "which", F.posexplode("hashes").alias("at", "h"))
     chunk = F.expr(f"at div {CHUNK}").alias("chunk")
     votes = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(LANES))).alias(f"s{j}") for j in range(16)]
     sums = terms.groupBy(*keys, "which", chunk).agg(F.count("*").alias("n"), *votes)
