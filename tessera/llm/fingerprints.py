@@ -82,7 +82,8 @@ def followers(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     # a frequent id is the highest of its range: its rows come first, by hash; fewer than n ids
     often = {r.id: r["count"] for r in rows.where("id is not null").groupBy("id").count().where(F.col("count") > 2 * total / n).collect()}
     often |= {None: without} if without > 2 * total / n else {}
-    share = lambda k: F.floor(F.shiftrightunsigned("h", 44) * min(FINE - 1, -(-k * n // max(1, total))) / FINE)
+    place = F.shiftrightunsigned(F.col("h").bitwiseXOR(F.lit(-(1 << 63))), 44)  # rises with h
+    share = lambda k: F.floor(place * min(FINE - 1, -(-k * n // max(1, total))) / FINE)
     fine = F.lit(FINE - 1).cast("long")
     for key, k in often.items():
         fine = F.when(F.col("id").eqNullSafe(F.lit(key)), share(k)).otherwise(fine)

@@ -128,6 +128,20 @@ def test_a_large_group_gives_few_links(spark):
     assert slow_components_of_edges([r[0] for r in rows], [(e.a, e.b) for e in edges.collect()]) == {r[0]: min(rows)[0] for r in rows}
 
 
+@pytest.mark.parametrize("radius", [0, 1, 4])
+def test_split_keys_lose_no_link(spark, monkeypatch, radius):
+    """With every key that five rows share split, and few rows held at a time, the components stay the same."""
+    monkeypatch.setattr(simhash_dedup, "OFTEN", 5)
+    monkeypatch.setattr(simhash_dedup, "HELD", 20)
+    r = np.random.default_rng(radius)
+    base = int(r.integers(0, 2**63))
+    fps = {base ^ sum(1 << int(b) for b in r.choice(64, r.integers(0, 9), replace=False)) for _ in range(250)}
+    signed = [x - 2**64 if x >> 63 else x for x in fps]
+    edges = simhash_dedup.fingerprint_edges(nodes(spark, signed), radius).collect()
+    assert slow_components_of_edges(signed, [(e.a, e.b) for e in edges]) == slow_components({s: s % 2**64 for s in signed}, radius)
+    assert all(((e.a ^ e.b) % 2**64).bit_count() <= radius for e in edges)
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101 + i) for i in range(30)] + [(7, 7), (-5, -9)]
     got = {r.node: r.root for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -246,6 +260,16 @@ def test_topk_of_an_id_repeated_more_often_than_k():
     assert list(zip((-scores).tolist(), got.tolist(), strict=True)) == want
 
 
+def test_followers_of_rows_that_share_an_id(spark):
+    """A frequent id and many rows without one fill several ranges; the chain is that of one sort."""
+    rows = [(7, f"seven {i}") for i in range(300)] + [(None, f"none {i}") for i in range(150)] + [(i, f"id {i}") for i in range(100)] + [(7, "seven 1")] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    signed = lambda t: (h := spark_hash(t)) - (h >> 63 << 64)
+    chain = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), signed(r[1]), r[1]))
+    want = sorted((str(i), t, chain[(k + 1) % len(chain)][1]) for k, (i, t) in enumerate(chain))
+    assert sorted((str(r.id), r.text, r.next_text) for r in fingerprints.followers(df).collect()) == want
+
+
 def spark_hash(*values):
     """XXH64 as Spark chains it over values, each hash the seed of the next."""
     seed = 42
