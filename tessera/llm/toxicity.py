@@ -116,7 +116,7 @@ class Sparse:
 
 def evidence(x: Sparse, y, use, doubt=DOUBT):
     """Scale of each column: its squared z-score for y among the rows in use, over that plus ``doubt``."""
-    n, rate = x.back(use), (y * use).sum() / use.sum()
+    n, rate = x.back(use), (y * use).sum() / max(1, use.sum())
     square = (x.back(y * use) - n * rate) ** 2 / np.maximum(n * max(rate * (1 - rate), 1e-9), 1e-9)
     return square / (square + doubt)
 

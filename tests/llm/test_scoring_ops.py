@@ -280,6 +280,12 @@ def test_chain_equals_a_plain_solver(spark):
         assert max(abs(got[i] - q) for i, q in zip(sorted(texts), p, strict=True)) < 0.02
 
 
+def test_chain_of_a_single_label_has_numbers(spark):
+    docs, labels = labelled(spark, 40)
+    one = toxicity.corpus_chain(docs, labels.limit(1))
+    assert all(0 <= r.p_toxic <= 1 and 0 <= r.p_low_quality <= 1 for r in toxicity.score_toxicity(docs, one).collect())
+
+
 def test_chain_reads_one_text_of_a_repeated_id(spark):
     docs, labels = labelled(spark, 120)
     again = docs.union(docs.where("doc_id < 4").withColumn("text", F.concat("text", F.lit(" zz more words"))).crossJoin(spark.range(50)).drop("id"))
