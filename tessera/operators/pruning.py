@@ -162,8 +162,8 @@ def pruned_topk(packed: DataFrame, queries: DataFrame, k: int, steps: list[int],
     return topk(out if out is not None else empty, k)
 
 
-#: Document tokens that are scanned at a time.
-SCAN_TOKENS = 1 << 15
+#: Document tokens that a query with an order of its own scans at a time; products at a time of all others.
+SCAN_TOKENS, SCAN_CELLS = 1 << 15, 1 << 23
 
 
 def _scan_block(flat, sizes, q, order, floor, marks, dense_from):
@@ -195,9 +195,65 @@ def _scan_block(flat, sizes, q, order, floor, marks, dense_from):
     return docs, np.maximum.reduceat(partial, np.cumsum(sizes) - sizes, axis=1).sum(0)
 
 
+class _Best:
+    """Each query's k best so far; the k-th is its floor."""
+
+    def __init__(self, n, k):
+        self.k, self.floor, self.held = k, np.full(n, -np.inf), [(np.zeros(0), np.zeros(0, np.int64))] * n
+        self.wait, self.pause = 0, 1
+
+    def add(self, i, ids, scores):
+        score, own = np.round(scores, 6), ids
+        if len(own):
+            score, own = np.concatenate([self.held[i][0], score]), np.concatenate([self.held[i][1], own])
+            first = np.lexsort((own, -score))[: self.k]
+            self.held[i] = score[first], own[first]
+            if len(first) == self.k:
+                self.floor[i] = score[first][-1]
+
+
+def _scan_stored(flat, ids, sizes, matrix, starts, best, queries, marks, dense_from):
+    """A block of documents for all queries that scan dimensions as stored: one product for the first step.
+
+    After a block of which too much is wanted for the bound to pay, the bound is left out for one block, then
+    two, four and so on; that changes the work, never the result.
+    """
+    cuts, mark, width = np.cumsum(sizes) - sizes, marks[0], marks[-1]
+    floor, wanted = best.floor[queries], None
+    best.wait -= 1
+    if mark < width and best.wait < 0 and np.isfinite(floor).all():
+        partial = matrix[:, :mark] @ flat[:, :mark].T
+        upper = np.linalg.norm(matrix[:, mark:], axis=1)[:, None] * (np.linalg.norm(flat[:, mark:], axis=1) + SLACK)
+        upper += partial
+        wanted = np.add.reduceat(np.maximum.reduceat(upper, cuts, axis=1), starts, axis=0) >= floor[:, None] - 1e-6
+        if wanted.mean() >= dense_from:
+            best.wait, best.pause, wanted = best.pause, 2 * best.pause, None
+            partial += matrix[:, mark:] @ flat[:, mark:].T
+        else:
+            best.pause = 1
+    else:
+        partial = matrix @ flat.T
+    if wanted is None:
+        scores = np.add.reduceat(np.maximum.reduceat(partial, cuts, axis=1), starts, axis=0)
+        may = scores >= floor[:, None] - 1e-6
+        for j in np.flatnonzero(may.any(1)):
+            best.add(queries[j], ids[may[j]], scores[j][may[j]])
+        return
+    ends = np.append(starts[1:], len(matrix))
+    for j in np.flatnonzero(wanted.any(1)):
+        some = np.repeat(wanted[j], sizes)
+        found, scores = _scan_block(flat[some], sizes[wanted[j]], matrix[starts[j] : ends[j]], None, floor[j], marks, dense_from)
+        best.add(queries[j], ids[wanted[j]][found], scores)
+
+
 def _pruning_scan(shared, k, marks, dense_from):
     def scan(batches):
-        best = {}
+        asked = shared.value
+        best = _Best(len(asked), k)
+        stored = [i for i, (_, _, order) in enumerate(asked) if order is None]
+        matrix = np.concatenate([asked[i][1] for i in stored]) if stored else np.zeros((0, marks[-1]))
+        lengths = np.array([len(asked[i][1]) for i in stored], np.int64)
+        starts = np.cumsum(lengths) - lengths
         for batch in batches:
             ids, toks = batch.column(0).to_numpy(), batch.column(1)
             sizes = toks.value_lengths().fill_null(0).to_numpy().astype(np.int64)
@@ -206,22 +262,26 @@ def _pruning_scan(shared, k, marks, dense_from):
                 continue
             ids, sizes = ids[some], sizes[some]
             flat = toks.flatten().flatten().to_numpy(zero_copy_only=False).reshape(int(sizes.sum()), -1)
-            ends, at = np.cumsum(sizes), 0
-            while at < len(ids):
-                done = ends[at - 1] if at else 0
-                stop = max(at + 1, int(np.searchsorted(ends, done + SCAN_TOKENS, "right")))
-                for qid, q, order in shared.value:
-                    held = best.get(qid)
-                    floor = held[0][-1] if held is not None and len(held[0]) == k else -np.inf
-                    found, score = _scan_block(flat[done : ends[stop - 1]], sizes[at:stop], q, order, floor, marks, dense_from)
-                    score, own = np.round(score, 6), ids[at:stop][found]
-                    if held is not None:
-                        score, own = np.concatenate([held[0], score]), np.concatenate([held[1], own])
-                    first = np.lexsort((own, -score))[:k]
-                    best[qid] = score[first], own[first]
-                at = stop
-        for qid, (score, own) in best.items():
-            yield pa.record_batch({"qid": np.full(len(own), qid), "doc_id": own, "score": score})
+            ends = np.cumsum(sizes)
+
+            def blocks(most, ends=ends, n=len(ids)):
+                at = 0
+                while at < n:
+                    done = ends[at - 1] if at else 0
+                    stop = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+                    yield slice(at, stop), slice(done, ends[stop - 1])
+                    at = stop
+
+            for docs, tokens in blocks(max(1, SCAN_CELLS // len(matrix))) if stored else ():
+                _scan_stored(flat[tokens], ids[docs], sizes[docs], matrix, starts, best, stored, marks, dense_from)
+            for docs, tokens in blocks(SCAN_TOKENS) if len(stored) < len(asked) else ():
+                for i, (_, q, order) in enumerate(asked):
+                    if order is not None:
+                        found, scores = _scan_block(flat[tokens], sizes[docs], q, order, best.floor[i], marks, dense_from)
+                        best.add(i, ids[docs][found], scores)
+        for (qid, _, _), (score, own) in zip(asked, best.held, strict=True):
+            if len(own):
+                yield pa.record_batch({"qid": np.full(len(own), qid), "doc_id": own, "score": score})
 
     return scan
 

@@ -99,7 +99,10 @@ def test_edges(spark):
     assert scoring.maxsim_blocks(packed, q.where("false")).count() == 0
 
 
-def test_one_pass_search_is_exact_in_every_order_and_with_ties(spark):
+@pytest.mark.parametrize(("tokens", "cells"), [(20, 300), (1 << 15, 1 << 23)])
+def test_one_pass_search_is_exact_in_every_order_and_with_ties(spark, monkeypatch, tokens, cells):
+    monkeypatch.setattr(pruning, "SCAN_TOKENS", tokens)  # small blocks: thresholds and bounds come into play
+    monkeypatch.setattr(pruning, "SCAN_CELLS", cells)
     r = np.random.default_rng(8)
     rows = [(d, t, (r.standard_normal(12) * 0.8 ** np.arange(12)).tolist()) for d in range(60) for t in range(1 + d % 5)]
     rows += [(100 + d, t, v) for d, t, v in rows if d < 8]  # equal documents: the smaller id goes first
@@ -108,7 +111,7 @@ def test_one_pass_search_is_exact_in_every_order_and_with_ties(spark):
     first = asked.groupBy("qid").agg(F.min_by("order", "qtok").alias("order"))
     asked = asked.drop("order").join(first, "qid")
     want = sorted(scoring.topk(scoring.rounded(scoring.maxsim(docs, asked)), 9).collect())
-    packed = scoring.pack_documents(docs)
+    packed = scoring.pack_documents(docs).coalesce(1)
     for dense, warm in ((0.5, 0), (1.1, 0), (0.0, 0), (0.5, 6)):
         assert sorted(pruning.pruned_topk(packed, asked, 9, [3, 6, 9, 12], warm, dense).collect()) == want
     assert pruning.pruned_topk(packed, asked.where("false"), 9, [12]).count() == 0
