@@ -89,14 +89,16 @@ class Sparse:
         marks = mix(np.arange(1, n + 1, dtype=U))
         sums = [np.zeros(width, U) for _ in range(2)]
         for k, out in enumerate(sums):
-            np.add.at(out, cols, mix(marks + U(k))[rows])
-        _, first, self.group, self.many = np.unique(np.column_stack(sums).view(np.dtype((np.void, 16))).ravel(), return_index=True, return_inverse=True, return_counts=True)
+            own = mix(marks + U(k))
+            for a in range(0, len(rows), 1 << 20):  # by parts, as the driver has little room
+                np.add.at(out, cols[a : a + (1 << 20)], own[rows[a : a + (1 << 20)]])
+        _, self.first, self.group, self.many = np.unique(np.column_stack(sums).view(np.dtype((np.void, 16))).ravel(), return_index=True, return_inverse=True, return_counts=True)
         keep = np.zeros(width, bool)
-        keep[first] = True
-        rows, cols = rows[keep[cols]], self.group[cols[keep[cols]]]
-        self.n, self.width = n, len(first)
-        order = np.argsort(cols, kind="stable")
-        self.cols, self.rows = cols.astype(np.int32), rows[order].astype(np.int32)
+        keep[self.first] = True
+        keep = keep[cols]
+        rows, cols = rows[keep], self.group.astype(np.int32)[cols[keep]]
+        self.n, self.width = n, len(self.first)
+        self.cols, self.rows = cols, rows[np.argsort(cols, kind="stable")]
         sizes = np.bincount(rows, minlength=n), np.bincount(cols, minlength=self.width)
         self.full = [np.flatnonzero(k) for k in sizes]
         self.starts = [(np.cumsum(k) - k)[f] for k, f in zip(sizes, self.full, strict=True)]
@@ -110,6 +112,10 @@ class Sparse:
     def times(self, weights):
         return self._sum(weights[self.cols], 0, self.n)
 
+    def score(self, weights):
+        """Of the weights of all columns, merged ones too."""
+        return self.times(weights[self.first] * self.many)
+
     def back(self, values):
         return self._sum(values[self.rows], 1, self.width)
 
@@ -206,20 +212,19 @@ def fit_chain(docs, labels, categories, id_col="doc_id", text_col="text", sample
                 yield pa.record_batch({"id": part.column(0), "features": lists, **{f"y{k}": part.column(2 + k) for k in range(n)}})
 
     data = rows.mapInArrow(encode, "id long, features array<int>, " + ", ".join(f"y{k} int" for k in range(n))).toArrow()
-    order = np.lexsort((data["id"].to_numpy(),))
+    data = data.sort_by("id")
     lists = data["features"].combine_chunks()
-    sizes = lists.value_lengths().to_numpy()[order]
-    cols = lists.take(pa.array(order)).flatten().to_numpy()
-    y = np.column_stack([data[f"y{k}"].to_numpy() for k in range(n)])[order].astype(float)
-    at = np.repeat(np.arange(len(y)), sizes)
+    y = np.column_stack([data[f"y{k}"].to_numpy() for k in range(n)]).astype(float)
+    rows = np.repeat(np.arange(len(y), dtype=np.int32), lists.value_lengths().to_numpy())
+    x, width = Sparse(rows, lists.flatten().to_numpy(), len(y), len(lexicon.keys)), len(lexicon.keys)
+    del data, lists, rows
     fold = np.random.default_rng(seed).permutation(len(y)) % folds
-    x, width = Sparse(at, cols, len(y), len(lexicon.keys)), len(lexicon.keys)
     weights, thresholds, before = [], [], np.zeros((len(y), 0))
     for k in range(n):
         out = np.zeros(len(y))
         for f in range(folds):
             w = logistic(x, before, y[:, k], fold != f)
-            out = np.where(fold == f, np.bincount(at, w[cols], len(y)) + before @ w[width:-1] + w[-1], out)
+            out = np.where(fold == f, x.score(w[:width]) + before @ w[width:-1] + w[-1], out)
         out = sigmoid(out)
         weights.append(logistic(x, before, y[:, k], np.ones(len(y))))
         thresholds.append(best_threshold(out, y[:, k]))
