@@ -82,6 +82,19 @@ def op10_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_filter_audit(spark, sf_dir):
+    from .filter_audit import audit_filters
+
+    return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_line_dedup(spark, sf_dir):
+    from .line_dedup import drop_repeated_lines
+
+    found = drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
@@ -100,6 +113,72 @@ ORACLES: dict[str, str] = {
         )
         SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
     """,
+    "op11_filter_audit": r"""
+        WITH t AS (
+            SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text FROM documents
+        ), w AS (
+            SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
+                min(doc_id) OVER (PARTITION BY text) AS first
+            FROM t
+        ), known AS (
+            SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+        ), masks AS (
+            SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+                (len(words) < 50)::INT
+                + 2 * (100 * len(list_distinct(words)) < 65 * len(words))::INT
+                + 4 * (100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text))::INT
+                + 8 * regexp_matches(text, '[#$%&*|]')::INT
+                + 16 * coalesce(doc_id > first, false)::INT AS mask
+            FROM w LEFT JOIN known USING (doc_id)
+        ), cells AS (
+            SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM masks GROUP BY part, mask
+        ), letters AS (
+            SELECT * FROM (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) AS v(letter, bit)
+        ), orders AS (
+            SELECT a.letter || b.letter || c.letter || d.letter || e.letter AS filter_order
+            FROM letters a, letters b, letters c, letters d, letters e
+            WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND (a.bit | b.bit | c.bit | d.bit | e.bit) = 31
+        ), steps AS (
+            SELECT filter_order, step, letter, bit,
+                (SELECT coalesce(sum(l.bit), 0) FROM letters l WHERE position(l.letter IN filter_order) < step)::INT AS earlier
+            FROM orders, range(1, 6) r(step), letters
+            WHERE substr(filter_order, step, 1) = letter
+        ), counts AS (
+            SELECT part, filter_order, step, letter,
+                sum(CASE WHEN mask & (bit | earlier) = 0 THEN n ELSE 0 END) AS kept,
+                sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN mask & bit <> 0 AND mask & earlier <> 0 THEN n ELSE 0 END) AS redundant,
+                sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN good ELSE 0 END) AS good_lost,
+                sum(CASE WHEN mask & bit <> 0 AND mask & earlier = 0 THEN toxic ELSE 0 END) AS toxic_lost
+            FROM cells, steps
+            GROUP BY part, filter_order, step, letter
+        )
+        SELECT part, filter_order, step::INT AS step, kept::BIGINT AS kept, removed::BIGINT AS removed,
+            redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost,
+            toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
+        FROM counts
+    """,
+    "op13_line_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
+        ), p AS (
+            SELECT *, unnest(range(1, len(lines) + 1)) AS place FROM d
+        ), l AS (
+            SELECT *, lines[place] AS line,
+                translate(trim(lines[place], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+            FROM p
+        ), k AS (
+            SELECT key, max(doc_id) AS last FROM l WHERE length(key) >= 40
+            GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+        ), r AS (
+            SELECT row, doc_id, place, line, last IS NOT NULL AND doc_id <> last AS lost FROM l LEFT JOIN k USING (key)
+        )
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE lost) AS n_dropped,
+            sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE NOT lost), '')) AS kept_sha256
+        FROM r GROUP BY row, doc_id
+    """,
 }
 
 

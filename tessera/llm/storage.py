@@ -50,10 +50,10 @@ def discard(*tables: DataFrame) -> None:
     """Delete the files of materialized tables that nothing reads any more."""
     for table in tables:
         for folder in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
-            _delete(table.sparkSession, folder)
+            delete(table.sparkSession, folder)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -67,4 +67,4 @@ def drop_shuffles(spark: SparkSession) -> None:
 def release(spark: SparkSession) -> None:
     """Delete the tables that this process materialized; DataFrames that read them end with it."""
     while _made:
-        _delete(spark, _made.pop())
+        delete(spark, _made.pop())
