@@ -88,6 +88,12 @@ def op11_filter_audit(spark, sf_dir):
     return audit_filters(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_conversation_trie(spark, sf_dir):
+    from .conversation_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark, sf_dir):
     from .line_dedup import drop_repeated_lines
 
@@ -159,6 +165,51 @@ ORACLES: dict[str, str] = {
             toxic_lost::BIGINT AS toxic_lost, sum(removed) OVER (PARTITION BY part, letter)::BIGINT AS shapley
         FROM counts
     """,
+    "op12_conversation_trie": """
+        WITH o AS (
+            SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+                row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+            FROM conversations WHERE conv_id IS NOT NULL
+        ), c AS (
+            SELECT conv_id, conv_id - conv_id % 100 AS base, count(*) AS n,
+                list_reduce(
+                    flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1])),
+                    lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END,
+                    4294967295
+                ) AS inverted
+            FROM o GROUP BY conv_id
+        ), h AS (
+            SELECT *, xor(inverted, 4294967295) % 6 AS head FROM c
+        ), s AS (
+            SELECT h.conv_id, h.base, h.head, least(h.head, coalesce(b.n, 0)) AS lent
+            FROM h LEFT JOIN h b ON b.conv_id = h.base
+        ), r AS (
+            SELECT s.conv_id, i AS pos, role, text FROM s JOIN o ON o.conv_id = s.base AND i <= lent
+            UNION ALL
+            SELECT s.conv_id, i - head + lent, role, text FROM s JOIN o USING (conv_id) WHERE i > head
+        ), p AS (
+            SELECT conv_id, pos, list({'role': role, 'text': text}) OVER (PARTITION BY conv_id ORDER BY pos) AS path, length(text) AS size FROM r
+            UNION ALL
+            SELECT conv_id, 0, [], 0 FROM s
+        ), l AS (
+            SELECT *, max(pos) OVER (PARTITION BY conv_id) AS turns FROM p
+        ), n AS (
+            SELECT path, pos, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(size) AS saves,
+                sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE pos = turns), '')) AS ends_sha256
+            FROM l GROUP BY path, pos
+        ), k AS (
+            SELECT path[1:pos - 1] AS path, count(*) AS n_children FROM n WHERE pos > 0 GROUP BY ALL
+        ), m AS (
+            SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)
+        ), a AS (
+            SELECT path, pos, n_children, saves, unnest(range(0, pos + 1)) AS upto FROM m
+        ), b AS (
+            SELECT path[1:upto] AS path, count(*) FILTER (WHERE n_children = 0) AS n_leaves, sum(saves) AS saved_tokens FROM a GROUP BY ALL
+        )
+        SELECT m.conv_id, m.pos::BIGINT AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children::BIGINT AS n_children,
+            n_leaves, saved_tokens::BIGINT AS saved_tokens, m.ends_sha256
+        FROM m JOIN b USING (path) LEFT JOIN m u ON m.pos > 0 AND u.path = m.path[1:m.pos - 1]
+    """,
     "op13_line_dedup": """
         WITH d AS (
             SELECT row_number() OVER () AS row, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents
