@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .packing import Memo
-from .textscan import codepoints, gather, pieces, point_keys, slices
+from .textscan import codepoints, gather, library_classes, pieces, point_keys, slices
 
 
 class Vocabulary:
@@ -153,7 +153,7 @@ def token_ids(texts, path):
     """(ids of all texts laid end to end as uint32, end of each text among them)."""
     vocabulary, *_, memo = _loaded(path)
     joined, points, offsets = codepoints([t or "" for t in texts])
-    starts, ends = pieces(points, offsets, spaced=True)
+    starts, ends = pieces(points, offsets, True, library_classes)
     keys, first, at = np.unique(point_keys(points, starts, ends), return_index=True, return_inverse=True)
     a, b = starts[first].tolist(), ends[first].tolist()
 

@@ -7,6 +7,7 @@ on the dual prices. The solution is rounded down, what is left goes first-fit-de
 patterns, and pieces take the patterns' places by their rank among the pieces of their size class.
 """
 
+import json
 import unicodedata
 import zlib
 from functools import cache
@@ -52,18 +53,20 @@ class Memo:
 
 @cache
 def _tokenizer(path):
+    """(tokenizer, the same without its normalizer, which ids end a word, memo, strings of added tokens)."""
     from tokenizers import Tokenizer
 
     model = Tokenizer.from_file(path)
+    plain = Tokenizer.from_str(json.dumps(json.loads(model.to_str()) | {"normalizer": None}))
     last = np.zeros(model.get_vocab_size(), bool)
     for token, i in model.get_vocab().items():
         last[i] = token.endswith("</w>")
-    return model, last, Memo(), [t.content for t in model.get_added_tokens_decoder().values()]
+    return model, plain, last, Memo(), [t.content for t in model.get_added_tokens_decoder().values()]
 
 
 def encode_words(words, path):
-    """Token ids of each word by itself, as uint32 bytes: many words a call, cut at word-ending tokens."""
-    model, last, *_ = _tokenizer(path)
+    """Token ids of each normalised word by itself, as uint32 bytes: many words a call, cut at word-ending tokens."""
+    _, model, last, *_ = _tokenizer(path)
     out = []
     for at in range(0, len(words), 512):
         some = words[at : at + 512]
@@ -89,7 +92,7 @@ def _split_ids(joined, points, offsets, path):
     starts, ends = pieces(points, offsets, spaced=False)
     keys, first, at = np.unique(point_keys(points, starts, ends), return_index=True, return_inverse=True)
     a, b = starts[first].tolist(), ends[first].tolist()
-    coded = _tokenizer(path)[2].get(keys.tolist(), lambda m: encode_words([joined[a[i] : b[i]] for i in m], path))
+    coded = _tokenizer(path)[3].get(keys.tolist(), lambda m: encode_words([joined[a[i] : b[i]] for i in m], path))
     sizes = np.fromiter(map(len, coded), np.int64, len(coded)) // 4
     flat = np.frombuffer(b"".join(coded), np.uint32)
     place, done = gather(sizes, np.cumsum(sizes) - sizes, at)

@@ -145,6 +145,24 @@ def classes():
     return kinds
 
 
+@cache
+def library_classes():
+    """The same classes as the tiktoken library has them, whose Unicode tables may be later ones.
+
+    What a pattern doesn't match is left out of an encoding, so encoding all code points under a class as
+    pattern gives those that the class holds.
+    """
+    from tiktoken import Encoding
+
+    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    kinds = np.full(0x110000, 3, np.uint8)
+    for kind, pattern in enumerate((r"\s", r"\p{L}", r"\p{N}")):
+        one = Encoding("class", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+        held = bytes(one.encode_ordinary(every)).decode()
+        kinds[np.frombuffer(held.encode("utf-32-le"), np.uint32)] = kind
+    return kinds
+
+
 def codepoints(texts):
     """(joined text, code points, offsets) of a list of strings."""
     joined = "".join(texts)
@@ -168,8 +186,8 @@ def contractions(points, first, opens):
     return at[one | two], np.where(one, 1, 2)[one | two]
 
 
-def pieces(points, offsets, spaced):
-    """Starts and ends of the pieces that tokenizers split a text into before merging.
+def pieces(points, offsets, spaced, known=classes):
+    """Starts and ends of the pieces that tokenizers split a text into before merging; known() gives the classes.
 
     spaced=True: runs of letters, of numbers and of other characters, each with one leading space,
     white space otherwise apart, so that pieces cover the text. spaced=False: white space dropped and
@@ -178,7 +196,7 @@ def pieces(points, offsets, spaced):
     n = len(points)
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    kinds = classes()[points]
+    kinds = known()[points]
     opens = np.zeros(n, bool)
     opens[offsets[:-1][offsets[:-1] < n]] = True
     first = opens.copy()
