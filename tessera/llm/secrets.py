@@ -20,12 +20,13 @@ BEFORE, AFTER = 48, 16
 
 #: Fragments of ordinary words and identifiers, for dictionary coverage.
 FRAGMENTS = "tion|ment|able|ence|ance|ough|ight|ould|the|and|ing|ent|ion|ter|con|pro|com|per|ver|age|est|ess|all|one|our|out|man|der|ich|sch|ung|que|los|des|les|test|user|name|data|file|page|item|list|part|version|example|sample|index|image|class|value|number|order|table"
-CUE = "(?i)(?:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?|signature)"
+CUE = "(?i:passw(?:or)?d|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth(?:orization)?|bearer|credentials?|signature)"
 INNOCENT = "(?i)(?:commit|sha-?(?:1|256|512)?|md5|checksum|digest|hash|uuid|guid|version|build|revision|card|phone|order|invoice|isbn|doi|serial)"
-KNOWN = "(?:A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{8,}|AIza[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}(?:[.][A-Za-z0-9_-]+)*|glpat-[A-Za-z0-9_-]{10,}|npm_[A-Za-z0-9]{16,}|SG[.][A-Za-z0-9_.-]{16,}|-----BEGIN [A-Z ]*PRIVATE KEY-----)"
+KNOWN = "(?:A(?:KIA|SIA)[A-Z0-9]{16}(?![A-Za-z0-9])|gh[pousr]_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_(?:live|test)_[A-Za-z0-9]{8,}|AIza[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{8,}+(?:[.][A-Za-z0-9_-]++)*+|glpat-[A-Za-z0-9_-]{10,}|npm_[A-Za-z0-9]{16,}|SG[.][A-Za-z0-9_.-]{16,}|-----BEGIN [A-Z ]{0,32}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\\s]*+-----END [A-Z ]{0,32}PRIVATE KEY-----)?+)"
 #: A credential's name, a sign and a quote; then its value, which ends before a closing mark.
 LEAD = f"(?:{CUE}[\"'`]?\\s{{0,3}}(?:=>|:=|[:=])\\s{{0,3}}[\"'`]?)"
-VALUE = "(?:[^\\s\"'`<>,;]{3,}[^\\s\"'`<>,;.:)\\]}])"
+#: One character after another: a counted repeat, and a repeated group that may give back, take stack by length.
+VALUE = "(?:" + 3 * "[^\\s\"'`<>,;]" + "[^\\s\"'`<>,;]*[^\\s\"'`<>,;.:)\\]}])"
 CANDIDATE = f"({LEAD})({VALUE})|((?<![{TOKEN}]){KNOWN}|(?<![{TOKEN}])(?=[A-Za-z_+/-]*[0-9])[{TOKEN}]{{16,}}={{0,2}})"
 DOUBTFUL_PATH = "(?i)(?:test|example|sample|mock|fixture|doc|readme|demo)"
 
