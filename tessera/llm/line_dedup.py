@@ -116,18 +116,18 @@ def drop_repeated_lines(docs: DataFrame, least=5, least_length=40, batches=4, id
     two 64-bit hashes.
 
     Lines travel as hashes; texts move once, to meet the places that they lose. Joins by hash and by
-    document are plain ones, whose hot keys adaptive execution splits.
+    document sort both sides at any size; adaptive execution splits their hot keys.
     """
     lines = materialize(text_lines(docs, batches, least_length, id_col, text_col))
     runs = SortedRuns(docs.sparkSession)
     for batch in range(batches):
         runs.add(lines.where(F.col("batch") == batch))
-    lost = lines.join(runs.frequent(least), HASH).where(~F.col("id").eqNullSafe(F.col("last")))
+    lost = lines.join(runs.frequent(least).hint("merge"), HASH).where(~F.col("id").eqNullSafe(F.col("last")))
     lost = materialize(lost.groupBy(F.col("id").alias("lost_id"), F.col("text_hash").alias("lost_hash")).agg(F.collect_set("place").alias("lost")))
     discard(lines)
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     same = F.col("id").eqNullSafe(F.col("lost_id")) & (F.xxhash64("text") == F.col("lost_hash"))
-    rows = rows.join(lost, same, "left").withColumn("lines", F.split("text", "\n"))
+    rows = rows.join(lost.hint("merge"), same, "left").withColumn("lines", F.split("text", "\n"))
     places = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("lost"))
     kept = F.array_join(F.transform(places, lambda i: F.get("lines", i)), "\n")
     dropped = F.when(F.col("lost").isNull(), 0).otherwise(F.size("lost"))
