@@ -1,13 +1,16 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a span classifier decides.
 
-Candidates are the spans of the base patterns and of wider ones (spelled-out addresses, national
-phone numbers, short card numbers, IPv6). Five labelers vote for, against or abstain on each:
-pattern, validity, gazetteer, context and boundary. Expectation-maximisation over the counts of all
+Candidates are the spans of the base patterns, of wider ones (spelled-out addresses, national phone
+numbers, short card numbers, IPv6), and what gazetteers and contexts propose by themselves: account
+numbers by country, streets by their endings, names by titles; national ids, names and dates of birth by
+the words that lead to them. Five labelers vote for, against or abstain on each: pattern, validity,
+gazetteer, context and boundary. Expectation-maximisation over the counts of all
 documents' vote patterns estimates each labeler's reliability by kind; its posteriors train a
 logistic span classifier on a bounded sample of candidates. Base spans always stay; the classifier
 decides about the others.
 """
 
+import datetime
 import hashlib
 import re
 import zlib
@@ -20,10 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .storage import materialize
+from .storage import discard, materialize
 from .textscan import slices
 
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds without a base pattern, which come after these.
+PROPOSED = ("iban", "id", "name", "address", "birth")
+ALL = KINDS + PROPOSED
 #: Linear-time forms of the base patterns: a digit run has one possible start and end.
 BASE = {
     "ip": re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"),
@@ -51,6 +57,50 @@ CUES = {
     "card": frozenset("card credit visa mastercard amex payment pay debit karte carte tarjeta".split()),
     "phone": frozenset("call phone tel telephone mobile fax cell contact dial telefon teléfono".split()),
 }
+CUES |= {
+    "iban": frozenset("iban account bank transfer konto bankverbindung cuenta compte".split()),
+    "id": frozenset("ssn social security passport national identity id nss dni pasaporte passeport ausweis steuer".split()),
+    "name": frozenset("mr mrs ms dr prof herr frau monsieur madame señor señora name named called heiße llamo appelle".split()),
+    "address": frozenset("address live lives living at home adresse wohnt wohne habite vive dirección domicilio".split()),
+    "birth": frozenset("born birth birthday dob geboren geburtsdatum né née nacido nacida nacimiento".split()),
+}
+#: Lengths of account numbers by country.
+IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "CZ": 24, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "GR": 27, "HU": 28, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SK": 24}
+GIVEN = frozenset("alice amy andrea andrew anna antonio bob carlos carmen charles claire daniel david elena emily emma eva frank george hans helen isabel jack james jane javier jean john jorge josé juan julia karl kate laura louis lucas lucía maria marie mark martin mary michael miguel nina oliver olivia pablo paul peter pierre robert sarah sofia sophie susan thomas tom ursula victor walter william".split())
+WORD_NAME = r"[A-ZÀ-ÖØ-Þ][^\W\d_]{1,24}(?:['’-][^\W\d_]{1,24})?"
+NAMES = rf"({WORD_NAME}(?: {WORD_NAME}){{0,2}})"
+DATE = r"([0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4})(?![0-9])"
+#: By kind: strings of which a text must hold one, and patterns whose first group is the span.
+PROPOSALS = {
+    "iban": ((), [r"(?<![A-Za-z0-9])([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"]),
+    "id": (
+        ("-",),
+        [r"(?<![0-9A-Za-z-])([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9A-Za-z-])"],
+    ),
+    "name": (
+        ("Mr", "Ms", "Dr", "Prof", "Herr ", "Frau ", "Monsieur ", "Madame ", "Señor", "name", "Name", "heiße", "llamo", "appelle"),
+        [
+            rf"(?<!\w)(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señora?)\.? {NAMES}",
+            rf"(?<!\w)(?:[Mm]y name is|[Nn]ame:|[Ii]ch heiße|[Mm]e llamo|[Jj]e m'appelle) {NAMES}",
+        ],
+    ),
+    "address": (
+        ("Street", "Road", "Avenue", "Lane", "Drive", "Boulevard", "straße", "strasse", "platz", "gasse", "rue ", "Calle ", "Avenida ", "Plaza "),
+        [
+            rf"(?<![\w.-])([0-9]{{1,5}} (?:{WORD_NAME} ){{1,3}}(?:Street|Road|Avenue|Lane|Drive|Boulevard))(?!\w)",
+            r"(?<!\w)([A-ZÄÖÜ][^\W\d_]{1,30}(?:straße|strasse|platz|gasse) [0-9]{1,4}[a-z]?)(?!\w)",
+            rf"(?<![\w.-])([0-9]{{1,4}},? rue (?:de la |de |du |des )?{WORD_NAME})",
+            rf"(?<!\w)((?:Calle|Avenida|Plaza) (?:de la |del |de )?{WORD_NAME},? [0-9]{{1,4}})(?!\w)",
+        ],
+    ),
+    "birth": (
+        ("born", "Born", "birth", "Birth", "DOB", "eboren", "eburtsdatum", "né le", "née le", "nacid", "nacimiento"),
+        [rf"(?:[Bb]orn|[Bb]irth(?:day|date)?|DOB|[Gg]eboren|[Gg]eburtsdatum|née? le|nacid[oa]|nacimiento)[^\n0-9]{{0,20}}{DATE}"],
+    ),
+}
+PROPOSALS = {k: (needs, [re.compile(p) for p in patterns]) for k, (needs, patterns) in PROPOSALS.items()}
+CUED_ID = re.compile(r"(?i:ssn|social security|passport|passeport|pasaporte|national id|identity card|dni|nss|ausweis)[^\n0-9]{0,24}?((?<![A-Za-z0-9])[A-Z]{0,2}[0-9][0-9A-Z-]{5,13})(?![0-9A-Za-z-])")
+ID_NEEDS = ("ssn", "SSN", "ocial", "assp", "asap", "ational", "dentity", "dni", "DNI", "nss", "NSS", "usweis")
 AGAINST = frozenset("version v isbn issn doi sha md5 token id serial order invoice section chapter table build uuid".split())
 LABELERS = 5
 WORD = re.compile(r"[^\W\d_]+", re.UNICODE)
@@ -101,13 +151,46 @@ class Candidate:
     words: tuple[str, ...] = ()
 
 
+def real_date(span: str) -> tuple[bool, int]:
+    """Whether the date exists, day first unless the year is; and its year."""
+    parts = [int(x) for x in re.split("[./-]", span)]
+    year, month, day = parts if "-" in span else parts[::-1]
+    try:
+        datetime.date(year, month, day)
+    except ValueError:
+        return False, year
+    return True, year
+
+
+def _opinions(kind: str, span: str) -> tuple[bool, bool, bool]:
+    """What pattern, validity and gazetteer say of a span of a proposed kind."""
+    if kind == "iban":
+        plain = span.replace(" ", "")
+        number = "".join(str(int(x, 36)) for x in plain[4:] + plain[:4])
+        return len(plain) == IBAN_LENGTHS.get(plain[:2], 0), int(number) % 97 == 1, plain[:2] in IBAN_LENGTHS
+    if kind == "id":
+        plain = re.fullmatch(r"([0-9]{3})-([0-9]{2})-([0-9]{4})", span)
+        sound = plain is None or (plain[1] not in ("000", "666") and plain[1] < "900" and plain[2] != "00" and plain[3] != "0000")
+        return plain is not None, sound, sum(x.isdigit() for x in span) >= 7
+    if kind == "name":
+        words = re.split("[ '’-]", span)
+        return " " in span, all(w[1:].islower() for w in words if len(w) > 1), any(w.lower() in GIVEN for w in words)
+    if kind == "address":
+        number = NO_DIGITS.sub("", span)
+        return True, not number.startswith("0"), len(span.split()) >= 3 or "str" in span
+    exists, year = real_date(span)
+    return True, exists, 1900 <= year <= 2025
+
+
 def _judge(text, c: Candidate) -> Candidate:
     """Fill in the labelers' votes and the neighbouring words."""
     span, kind = text[c.start : c.end], c.kind
     digits = NO_DIGITS.sub("", span)
     before, after = WORD.findall(text[max(0, c.start - 32) : c.start].lower())[-3:], WORD.findall(text[c.end : c.end + 24].lower())[:2]
-    words = (*before, *after)
-    if kind == "email":
+    words, pattern = (*before, *after), c.base
+    if kind in PROPOSALS:
+        pattern, sound, known = _opinions(kind, span)
+    elif kind == "email":
         sound = ".." not in span and len(span) <= 254
         known = re.split(r"[^A-Za-z]+", span)[-1].lower() in ENDINGS
     elif kind == "ip":
@@ -123,7 +206,7 @@ def _judge(text, c: Candidate) -> Candidate:
     left, right = text[c.start - 1 : c.start], text[c.end : c.end + 1]
     apart = not (left.isalnum() or left in ("_", "=", "/", "#", "+", "-", "@")) or not left
     apart = apart and not (right.isalnum() or right in ("_", "=", "/", "@"))
-    c.votes = (1 if c.base else -1, 1 if sound else -1, 1 if known else -1, near, 1 if apart else -1)
+    c.votes = (1 if pattern else -1, 1 if sound else -1, 1 if known else -1, near, 1 if apart else -1)
     c.words = words
     return c
 
@@ -150,9 +233,32 @@ def candidates(text: str) -> list[Candidate]:
             if k == len(ends) or own[k].start >= b:
                 own.append(Candidate(kind, a, b, False))
         found += [_judge(text, c) for c in own]
+    taken = sorted((c.start, c.end) for c in found if c.base)
+    for kind, a, b in proposals(text, digits):
+        k = bisect_right(taken, (a, a))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or taken[k][0] >= b):
+            found.append(_judge(text, Candidate(kind, a, b, False)))
     return found
 
 
+def proposals(text: str, digits: bool) -> list[tuple[str, int, int]]:
+    """Spans that gazetteers and contexts propose, by kind and start, none overlapping another of its kind."""
+    out = []
+    for kind, (needs, patterns) in PROPOSALS.items():
+        if not digits and kind != "name" or needs and not any(n in text for n in needs):
+            spans = set()
+        else:
+            spans = {m.span(1) for p in patterns for m in p.finditer(text)}
+        if kind == "id" and digits and any(n in text for n in ID_NEEDS):
+            spans |= {m.span(1) for m in CUED_ID.finditer(text)}
+        done = 0
+        for a, b in sorted(spans):
+            if a >= done:
+                out.append((kind, a, b))
+                done = b
+    return out
+
+
 def estimate(counts: dict[tuple[str, tuple[int, ...]], int], rounds=100) -> dict[tuple[str, tuple[int, ...]], float]:
     """Posterior of each (kind, votes) pattern being personal data, by EM with independent labelers.
 
@@ -160,7 +266,7 @@ def estimate(counts: dict[tuple[str, tuple[int, ...]], int], rounds=100) -> dict
     by one). It starts from the share of votes in favour, which fixes which class is which.
     """
     out = {}
-    for kind in KINDS:
+    for kind in ALL:
         own = sorted((v, n) for (k, v), n in counts.items() if k == kind)
         if not own:
             continue
@@ -182,14 +288,15 @@ def estimate(counts: dict[tuple[str, tuple[int, ...]], int], rounds=100) -> dict
 
 
 def features(kind, votes, length, words) -> np.ndarray:
-    x = np.zeros(1 + 4 + 3 * LABELERS + 1 + BINS)
+    first = 1 + len(ALL)
+    x = np.zeros(first + 3 * LABELERS + 1 + BINS)
     x[0] = 1
-    x[1 + KINDS.index(kind)] = 1
+    x[1 + ALL.index(kind)] = 1
     for j, v in enumerate(votes):
-        x[5 + 3 * j + v + 1] = 1
-    x[5 + 3 * LABELERS] = min(length, 64) / 32
+        x[first + 3 * j + v + 1] = 1
+    x[first + 3 * LABELERS] = min(length, 64) / 32
     for w in words:
-        x[6 + 3 * LABELERS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % BINS] = 0.5
+        x[first + 1 + 3 * LABELERS + zlib.crc32(w.encode("utf-8", "surrogatepass")) % BINS] = 0.5
     return x
 
 
@@ -224,7 +331,7 @@ class Detector:
         else:
             more = []
         whole = base + [(c.kind, c.start, c.end) for c in more]
-        return base, sorted(whole, key=lambda s: (KINDS.index(s[0]), s[1]))
+        return base, sorted(whole, key=lambda s: (ALL.index(s[0]), s[1]))
 
 
 def fit_detector(docs: DataFrame, text_col="text", sample=20_000, seed=3) -> Detector:
@@ -247,6 +354,7 @@ def fit_detector(docs: DataFrame, text_col="text", sample=20_000, seed=3) -> Det
         return Detector(None)
     belief = estimate(counts)
     rows = found.orderBy(F.xxhash64(F.lit(seed), "kind", "votes", "length", "words"), "kind", "votes", "length", "words").limit(sample).collect()
+    discard(found)
     x = np.array([features(r.kind, read(r.votes), r.length, r.words.split()) for r in rows])
     y = np.array([belief[r.kind, read(r.votes)] for r in rows])
     return Detector(fit_classifier(x, y, np.array([r.n for r in rows], float)))
@@ -259,7 +367,7 @@ def _listed(spans):
 def find_pii(docs: DataFrame, detector: Detector, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row: id, base counts by kind, base_sha256 and spans, from the whole text (null: empty).
 
-    A text without spans has the digest of the empty string and an empty ``spans``. Repeated rows
+    Spans of the kinds without a base pattern (PROPOSED) follow those of the others. A text without spans has the digest of the empty string and an empty ``spans``. Repeated rows
     count row by row, an empty table gives an empty result, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(detector)
