@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .storage import materialize
+from .storage import discard, materialize
 from .textscan import U, buffer, mix, runs, slices, word_keys
 
 PREFIXES = (4, 5, 6, 8)
@@ -178,9 +178,11 @@ def best_threshold(p, y):
     return float((p[order][k] + (p[order][k + 1] if k + 1 < len(y) else 0)) / 2)
 
 
-def fit_chain(docs, labels, categories, id_col="doc_id", text_col="text", sample=10_000, folds=5, seed=5) -> Chain:
+def fit_chain(docs, labels, categories, id_col="doc_id", text_col="text", sample=10_000, sample_bytes=64 << 20, folds=5, seed=5) -> Chain:
     """Fit on at most ``sample`` labelled ids (the lowest hashes), one text each, and all features of several of them.
 
+    Texts count up to ``sample_bytes`` together: in the order of the hashes, one that doesn't fit any more is left out.
+
     labels has the id and one 0/1 column a category; several rows of an id count as their maximum, a
     null as 0. Of the texts of a repeated id the first in order is read. A feature of one text alone
     says nothing of others. Without labels, or without a category's positives, nothing is that category.
@@ -189,7 +191,17 @@ def fit_chain(docs, labels, categories, id_col="doc_id", text_col="text", sample
     chosen = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*votes).orderBy(F.xxhash64(F.lit(seed), id_col), id_col).limit(sample)
     rows = docs.select(id_col, F.col(text_col).alias("text")).join(F.broadcast(chosen), id_col)
     rows = rows.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min("text").alias("text"), *(F.max(c).alias(c) for c in categories))
-    rows = materialize(rows)  # at most ``sample`` texts
+    stored = rows = materialize(rows)  # at most ``sample`` texts
+    sizes = rows.select(F.xxhash64(F.lit(seed), "id").alias("h"), "id", F.coalesce(F.octet_length("text"), F.lit(0)).alias("n")).collect()  # a row a text
+    room, over = sample_bytes, []
+    for r in sorted(sizes):
+        if r.n <= room:
+            room -= r.n
+        else:
+            over.append(r.id)
+    if over:
+        left_out = docs.sparkSession.createDataFrame([(i,) for i in over], "id long")
+        rows = rows.join(F.broadcast(left_out), "id", "left_anti")
     n = len(categories)
 
     def count(batches):
@@ -212,6 +224,7 @@ def fit_chain(docs, labels, categories, id_col="doc_id", text_col="text", sample
                 yield pa.record_batch({"id": part.column(0), "features": lists, **{f"y{k}": part.column(2 + k) for k in range(n)}})
 
     data = rows.mapInArrow(encode, "id long, features array<int>, " + ", ".join(f"y{k} int" for k in range(n))).toArrow()
+    discard(stored)
     data = data.sort_by("id")
     lists = data["features"].combine_chunks()
     y = np.column_stack([data[f"y{k}"].to_numpy() for k in range(n)]).astype(float)
