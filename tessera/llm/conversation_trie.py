@@ -74,11 +74,11 @@ def running(rows: DataFrame, group: str, order: list[str], weigh, bits=BITS) ->
 
 def number_contents(turns: DataFrame) -> DataFrame:
     """(hash, role, text, variant from 1) of the contents that share their hash with a smaller one; usually none."""
-    contents = turns.groupBy("hash", "role", "text").agg(F.lit(1).alias("held"))
-    shared = contents.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("role", "text")).alias("first")).where("n > 1")
-    odd = contents.join(shared, "hash").where(F.struct("role", "text") != F.col("first"))
-    number = F.row_number().over(Window.partitionBy("hash").orderBy("role", "text"))
-    return odd.select("hash", "role", "text", number.cast("long").alias("variant"))
+    contents = lambda rows: rows.groupBy("hash", "role", "text").agg(F.lit(1).alias("held"))
+    shared = materialize(contents(turns).groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"))
+    number = F.row_number().over(Window.partitionBy("hash").orderBy("role", "text")) - 1
+    odd = contents(turns.join(shared, "hash")).withColumn("variant", number.cast("long"))
+    return odd.where("variant > 0").select("hash", "role", "text", "variant")
 
 
 def number_turns(conversations: DataFrame, hash_bits=64) -> DataFrame:
