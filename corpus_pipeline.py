@@ -11,7 +11,7 @@ from tessera.llm.packing import pack
 from tessera.llm.pii import fit_detector, redact_pii
 from tessera.llm.shingle_dedup import marks, similar_sets
 from tessera.llm.simhash_dedup import fingerprint_edges, fingerprints
-from tessera.llm.storage import discard, drop_shuffles, materialize
+from tessera.llm.storage import discard, drop_shuffles, materialize, settle
 from tessera.llm.toxicity import corpus_chain, score_toxicity
 
 #: Least Jaccard similarity of five-word shingles at which documents count as near-duplicates.
@@ -45,8 +45,8 @@ def drop_near_duplicates(spark, docs, sf_dir):
     Texts link if the Jaccard similarity of their five-word shingles is at least 0.8, which is decided by
     the whole sets; groups are the components of the links. Candidates are SimHash links and, as no
     radius reaches all pairs of that similarity, shared bands of minima. Rows are told apart by a key of
-    their own, so ids may repeat; rows without an id all stay. Null and empty texts are equal texts, an
-    empty table stays empty, and columns may have any names.
+    their own, so ids may repeat; a row without an id stays only if none of its group has one. Null and
+    empty texts are equal texts, an empty table stays empty, and columns may have any names.
     """
     rows = materialize(marks(nested(docs).withColumn("row", F.monotonically_increasing_id())))
     order = F.struct(F.col("own.doc_id").isNull(), "own.doc_id", F.sha2(F.col("text").cast("binary"), 256), "row")
@@ -59,7 +59,7 @@ def drop_near_duplicates(spark, docs, sf_dir):
     kept = materialize(grouped.groupBy(F.coalesce("root", "node")).agg(F.min("first").alias("first")).select("first.row"))
     discard(classes, likely, linked)
     drop_shuffles(spark)
-    return flat(rows.join(kept.hint("merge"), "row").where("own.doc_id is not null").unionByName(rows.where("own.doc_id is null")), docs.columns)
+    return flat(rows.join(kept.hint("merge"), "row"), docs.columns)
 
 
 def mask_personal_data(spark, docs, sf_dir):
@@ -94,10 +94,13 @@ ORACLE_SQL = None
 def run(spark, sf_dir):
     """The last stage's rows; each stage reads the table that the one before it wrote.
 
-    Rows are treated as the stages say, of null, empty, long and repeated ones too; ``release`` of the
-    storage module deletes the stages' tables once their rows have been read.
+    Rows are treated as the stages say, of null, empty, long and repeated ones too. A stage's own tables go once
+    it is written, its result once the next one is; ``release`` of the storage module deletes the last.
     """
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        docs = settle(spark, lambda stage=stage, docs=docs: stage(spark, docs, sf_dir))
+        if last is not None:
+            discard(last)
+        last = docs
     return docs

@@ -58,6 +58,20 @@ def delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def settle(spark: SparkSession, make) -> DataFrame:
+    """What make() gives, materialized; all that was stored on the way to it is deleted."""
+    before = len(_made)
+    out = materialize(make())
+    mine, kept = _made[before:-1], [_made[-1]]
+    for path in mine:
+        if path == spark.sparkContext.getCheckpointDir():
+            kept.append(path)  # Spark goes on using it
+        else:
+            delete(spark, path)
+    _made[before:] = kept
+    return out
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files that only tables written since have read."""
     gc.collect()
