@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType
+from pyspark.sql.types import ArrayType, BinaryType, MapType, StringType, StructType
 
 from tessera.functions import vectors as V
 from tessera.sources.stages import cut_lineage
@@ -15,11 +15,26 @@ from tessera.sources.stages import cut_lineage
 QUERY_BYTES = 64 << 20
 
 
+def row_bytes(rows: DataFrame):
+    """About the bytes that a row takes: fixed-size values and lists of them by their number, all else by its text."""
+    fixed = lambda t: not isinstance(t, ArrayType | MapType | StructType | StringType | BinaryType)
+    size = F.lit(0).cast("long")
+    for f in rows.schema:
+        c = F.col(f"`{f.name}`")
+        if fixed(f.dataType):
+            own = F.lit(16)
+        elif isinstance(f.dataType, ArrayType) and fixed(f.dataType.elementType):
+            own = 16 + 8 * F.size(c).cast("long")
+        else:
+            own = 16 + F.octet_length(c if isinstance(f.dataType, StringType | BinaryType) else F.to_json(F.struct(c)))
+        size = size + F.coalesce(own, F.lit(16))
+    return size
+
+
 def small(side: DataFrame, limit=QUERY_BYTES) -> DataFrame:
     """The side, stored once and measured: with a broadcast hint up to ``limit`` bytes, else for a distributed join."""
     stored = cut_lineage(side)
-    arrays = [F.coalesce(F.size(f.name).cast("long"), F.lit(0)) * 8 for f in stored.schema if isinstance(f.dataType, ArrayType)]
-    size = stored.select(F.sum(sum(arrays, F.lit(16 * len(stored.columns))).cast("long"))).first()[0] or 0
+    size = stored.select(F.sum(row_bytes(stored))).first()[0] or 0
     return F.broadcast(stored) if size <= limit else stored
 
 
@@ -40,19 +55,24 @@ def best_then_sum(pairs: DataFrame, value, name="score") -> DataFrame:
     return best.groupBy("qid", "doc_id").agg(F.sum("best").alias(name))
 
 
-def maxsim(docs: DataFrame, queries: DataFrame, dims: int | None = None, order: list[int] | None = None) -> DataFrame:
-    """qid, doc_id, score with built-in functions only; on the first ``dims`` dimensions of an order if given.
+def maxsim_native(docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """qid, doc_id, score with built-in functions only, from every pair of tokens: the reference form."""
+    return best_then_sum(token_pairs(docs, queries), V.dot("q", "d"))
+
+
+def chosen_dims(tokens: DataFrame, dims: int | None = None, order: list[int] | None = None) -> DataFrame:
+    """Tokens with the first ``dims`` dimensions of an order (null: as stored)."""
+    if order is not None:
+        return tokens.withColumn("vec", V.gather("vec", F.array(*map(F.lit, order[: dims or len(order)]))))
+    return tokens if dims is None else tokens.withColumn("vec", V.prefix("vec", dims))
+
+
+def maxsim(docs: DataFrame, queries: DataFrame, dims: int | None = None, order: list[int] | None = None, k: int | None = None) -> DataFrame:
+    """qid, doc_id, score by blocks; on the first ``dims`` dimensions of an order if given (with k: a block's k best).
 
     Documents and queries without tokens have no rows.
     """
-    pairs = token_pairs(docs, queries)
-    q, d = F.col("q"), F.col("d")
-    if order is not None:
-        listed = F.array(*map(F.lit, order[: dims or len(order)]))
-        q, d = V.gather(q, listed), V.gather(d, listed)
-    elif dims is not None:
-        q, d = V.prefix(q, dims), V.prefix(d, dims)
-    return best_then_sum(pairs, V.dot(q, d))
+    return scores(chosen_dims(docs, dims, order), chosen_dims(queries, dims, order), k)
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
@@ -61,7 +81,7 @@ def pack_documents(docs: DataFrame) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.transform(rows, lambda r: r["vec"]).alias("toks"))
 
 
-def _query_groups(queries: DataFrame, limit: int) -> list[DataFrame]:
+def query_groups(queries: DataFrame, limit=QUERY_BYTES) -> list[DataFrame]:
     """Queries in groups whose vectors stay under ``limit`` bytes each (or one query)."""
     per = queries.select(F.sum(F.size("vec").cast("long") * 8)).first()[0] or 0
     groups = max(1, -(-2 * per // limit)) if per > limit else 1
@@ -76,7 +96,7 @@ def maxsim_blocks(packed: DataFrame, queries: DataFrame, limit=QUERY_BYTES, k: i
     """
     spark = packed.sparkSession
     out = None
-    for group in _query_groups(queries, limit):
+    for group in query_groups(queries, limit):
         rows = group.select("qid", "qtok", V.doubles("vec").alias("vec")).orderBy("qid", "qtok").collect()
         if not rows:
             continue
@@ -160,6 +180,47 @@ def rerank(docs: DataFrame, queries: DataFrame, candidates: DataFrame) -> DataFr
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "doc_id")))
 
 
+def rerank_blocks(packed: DataFrame, queries: DataFrame, candidates: DataFrame, limit=QUERY_BYTES) -> DataFrame:
+    """qid, doc_id and the exact score of given (qid, doc_id) candidates, by matrix products on packed documents.
+
+    Each document meets its own candidates' queries only; queries go out as matrices of at most ``limit`` bytes.
+    """
+    spark, out = packed.sparkSession, None
+    for group in query_groups(queries, limit):
+        rows = group.select("qid", "qtok", V.doubles("vec").alias("vec")).orderBy("qid", "qtok").collect()
+        if not rows:
+            continue
+        ids = np.array([r.qid for r in rows])
+        starts = np.flatnonzero(np.append([True], ids[1:] != ids[:-1]))
+        shared = spark.sparkContext.broadcast((np.array([r.vec for r in rows]), ids[starts], np.append(starts, len(ids))))
+
+        def score(batches, shared=shared):
+            matrix, qids, ends = shared.value
+            for batch in batches:
+                found = []
+                for doc, toks, asking in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                    vectors = toks.values.flatten().to_numpy(zero_copy_only=False).reshape(-1, matrix.shape[1])
+                    asking = asking.values.to_numpy()
+                    at = np.searchsorted(qids, asking)
+                    mine = (at < len(qids)) & (qids[np.minimum(at, len(qids) - 1)] == asking)
+                    at = at[mine]
+                    if not len(at) or not len(vectors):
+                        continue
+                    sizes = ends[at + 1] - ends[at]
+                    cuts = np.cumsum(sizes) - sizes
+                    tokens = np.arange(sizes.sum()) + np.repeat(ends[at] - cuts, sizes)
+                    best = np.concatenate([(matrix[some] @ vectors.T).max(1) for some in np.array_split(tokens, -(-len(tokens) * len(vectors) // CELLS))])
+                    found.append((np.full(len(at), doc), qids[at], np.add.reduceat(best, cuts)))
+                if found:
+                    doc, qid, total = (np.concatenate(c) for c in zip(*found, strict=True))
+                    yield pa.record_batch({"qid": qid, "doc_id": doc, "score": total})
+
+        asked = candidates.join(group.select("qid").distinct(), "qid").groupBy("doc_id").agg(F.collect_set("qid").alias("qids"))  # at most a group's queries
+        one = packed.join(asked, "doc_id").select("doc_id", "toks", "qids").mapInArrow(score, "qid long, doc_id long, score double")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else spark.createDataFrame([], "qid long, doc_id long, score double")
+
+
 def scanned_cells(docs: DataFrame, queries: DataFrame, width: int) -> DataFrame:
     """qid and the products a full scan computes: document tokens x query tokens x dimensions."""
     tokens = docs.agg(F.count("*").alias("n"))

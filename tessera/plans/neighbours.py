@@ -6,9 +6,10 @@ from tessera.functions import vectors as V
 from tessera.operators import index as I
 from tessera.operators import knn, metrics, stats
 from tessera.operators import scoring as S
+from tessera.operators import stored_index as SI
 from tessera.plans.base import exact_sql, qrels, query, read, scores_sql, tables, topk_sql, views
 from tessera.sources import tokens
-from tessera.sources.stages import cut_lineage
+from tessera.sources.stages import cut_lineage, keep
 
 K = 10
 STEPS = [16, 32, 48, 64]
@@ -75,6 +76,12 @@ def early_sql(alpha: float | None, steps=STEPS, width=64) -> str:
 LAST = f"last{len(STEPS) - 1}"
 
 
+@query(L2)
+def knn_l2_scan(spark, sf_dir):
+    """The same by scanning dimensions under a threshold that runs from block to block."""
+    return knn.scanned(knn.scan(*_vectors(spark, sf_dir), K, STEPS), K, STEPS[-1])[0]
+
+
 @query(f"{early_sql(1.5)} {_top('part', 'ASC', f'(SELECT * FROM {LAST} WHERE NOT dead)')}")
 def knn_ads_ratio(spark, sf_dir):
     """Early termination with the adaptive-sampling ratio."""
@@ -198,6 +205,14 @@ def ivf_linear_scan(spark, sf_dir):
     return I.linear_scan(*_lists(spark, sf_dir), 2, K)
 
 
+@query(LISTS)
+def ivf_running_scan(spark, sf_dir):
+    """L3, M4: the same lists, each query's nearest list first, dimensions scanned under a running threshold."""
+    lists, centres, queries = _lists(spark, sf_dir)
+    probed = I.nearest(queries, centres, 2, "qid")
+    return knn.scanned(knn.scan(lists, queries, K, STEPS, probed=probed), K, STEPS[-1])[0]
+
+
 @query(LISTS)
 def ivf_bond_scan(spark, sf_dir):
     """M7: the same lists, dimensions of most variance first, terminated early without loss."""
@@ -212,15 +227,52 @@ def ivf_adaptive_scan(spark, sf_dir):
     return I.early_scan(*_lists(spark, sf_dir), 2, K, STEPS, alpha=2.0)[0]
 
 
+CODED = f"""{CENTRES},
+    entries AS (SELECT doc_id, tok, centroid, list_transform({CODE}, lambda k: -0.5 + (k + 0.5) * 0.0625) AS residual FROM assigned JOIN centres USING (centroid)),
+    probes AS (SELECT qid, qtok, vec AS q, centroid, product FROM (SELECT qid, qtok, vec, centroid, list_inner_product(vec, cv) AS product,
+        row_number() OVER (PARTITION BY qid, qtok ORDER BY round(list_inner_product(vec, cv), 6) DESC, centroid) AS rn FROM query_tokens, centres) WHERE rn <= {PROBES}),
+    rough AS (SELECT qid, doc_id, round(sum(b), 6) AS score FROM (SELECT qid, doc_id, qtok, max(product + list_inner_product(q, residual)) AS b FROM probes JOIN entries USING (centroid) GROUP BY ALL) GROUP BY ALL)"""
+
+
+def _label_index(spark, sf_dir):
+    """The stored index over the labels' means, built once for all queries of a session."""
+
+    def make():
+        docs, _ = tables(spark, sf_dir)
+        return SI.build_index(docs, I.mean_centroids(docs, "label"), codec=SI.Codec.even())
+
+    return keep(spark, ("label index", sf_dir), make)
+
+
+@query(f"WITH {views()}, {CODED} {topk_sql(K, 'rough')}")
+def stored_index_topk(spark, sf_dir):
+    """A stored index, its probed lists alone read, packed codes scored by look-up."""
+    return SI.search_codes(_label_index(spark, sf_dir), tables(spark, sf_dir)[1], PROBES, K)
+
+
+@query(
+    f"""WITH {views()}, {CODED}, best AS (SELECT qid, doc_id FROM rough QUALIFY row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) <= {CANDIDATES}),
+    {scores_sql()}, kept AS (SELECT * FROM scores SEMI JOIN best USING (qid, doc_id)) {topk_sql(K, 'kept')}"""
+)
+def stored_index_rescored(spark, sf_dir):
+    """M2, H3: the same index; its best documents rescored exactly by blocks."""
+    docs, queries = tables(spark, sf_dir)
+    return SI.search_index(_label_index(spark, sf_dir), S.pack_documents(docs), queries, PROBES, CANDIDATES, K)
+
+
+@query(f"WITH {views()}, {CENTRES} SELECT count(*) AS num_embeddings, (SELECT count(*) FROM centres) AS num_partitions, count(*) AS held, count(DISTINCT centroid) AS filled, (SELECT max(n) FROM (SELECT count(*) AS n FROM assigned GROUP BY centroid)) AS longest, true AS consistent FROM assigned")
+def stored_index_check(spark, sf_dir):
+    """The stored metadata against the lists."""
+    return SI.check_index(_label_index(spark, sf_dir))
+
+
 @query(None)
 def ivf_kmeans_topk(spark, sf_dir):
-    """M1-M3: k-means with as many lists as the size asks for, four-bit residuals by quantiles, exact rescoring."""
+    """M1-M3: two-level k-means with as many lists as the size asks for, four-bit residuals by quantiles, exact rescoring."""
     docs, queries = tables(spark, sf_dir)
-    centres = I.kmeans_centroids(docs, I.partitions_for(docs.count()))
-    assigned = cut_lineage(I.assign(docs, centres))
-    edges = I.residual_cutoffs(assigned, centres)
-    coded = I.encode_residuals(assigned, centres, edges=edges)
-    return I.probe(I.decode_residuals(coded, centres, edges=edges), docs, centres, queries, 4, CANDIDATES, K)
+    lists = I.partitions_for(docs.count())
+    index = keep(spark, ("k-means index", sf_dir), lambda: SI.build_index(docs, I.train_centroids(docs, lists)))
+    return SI.search_index(index, S.pack_documents(docs), queries, max(8, lists // 16), 5 * K, K)
 
 
 @query(exact_sql(K))

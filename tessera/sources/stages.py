@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,9 +33,58 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_kept: dict = {}
+_shared: set[str] = set()
+
+
+def keep(spark: SparkSession, key: tuple, make):
+    """What make() gives: made once in a session for each key, and kept until release(), beyond any scope().
+
+    It is made again if someone else has deleted what it stored.
+    """
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _kept or not all(_exists(spark, path) for path in _kept[key][1]):
+        before = len(_made)
+        value = make()
+        _kept[key] = value, _made[before:]
+        _shared.update(_made[before:])
+    return _kept[key][0]
+
+
+@contextmanager
+def scope(spark: SparkSession):
+    """Tables stored inside are deleted at its end, also after a failure; read results before that. Scopes may nest.
+
+    What keep() holds stays for later queries.
+    """
+    before = len(_made)
+    try:
+        yield
+    finally:
+        mine = [path for path in _made[before:] if path not in _shared]
+        _made[before:] = [path for path in _made[before:] if path in _shared]
+        for path in mine:
+            _delete(spark, path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables that this process has stored; DataFrames that read them end with it."""
-    jvm = spark.sparkContext._jvm
+    _kept.clear()
+    _shared.clear()
     while _made:
-        path = jvm.org.apache.hadoop.fs.Path(_made.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _made.pop())
+
+
+def _file(spark: SparkSession, path: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    files, path = _file(spark, path)
+    return files.exists(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, path = _file(spark, path)
+    files.delete(path, True)
