@@ -4,8 +4,8 @@ After k dimensions a product lies within the product of the two vectors' tail no
 value (Cauchy-Schwarz). True tail norms hold for any vector; ``residual="unit"`` takes unit norms for
 granted. ``shrink`` below one scales the residual down and gives up exactness.
 
-Searches run in rounds, one for each number of scanned dimensions. A round narrows the (query,
-document, token) rows that the next one touches; the threshold of a query is its k-th best lower bound.
+Searches scan packed documents by blocks, dimensions step by step. A step narrows the documents and
+tokens that the next one touches; the threshold of a query is its k-th best score or lower bound.
 """
 
 from __future__ import annotations
@@ -15,9 +15,10 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tessera.functions import vectors as V
-from tessera.operators.scoring import QUERY_BYTES, _query_groups, best_then_sum, rounded, small, token_pairs, topk
+from tessera.operators.scoring import QUERY_BYTES, pack_documents, query_groups, scores, threshold, token_pairs, topk
 from tessera.sources.stages import cut_lineage
 
 SLACK = 1e-9
@@ -36,12 +37,25 @@ def bound_pairs(docs: DataFrame, queries: DataFrame, k: int, shrink=1.0, kind="t
     return pairs.select("qid", "qtok", "doc_id", "tok", p.alias("p"), slack.alias("r")).select("*", (F.col("p") + F.col("r")).alias("u"), (F.col("p") - F.col("r")).alias("l"))
 
 
+def _with_residual(tokens: DataFrame, k: int, kind: str, factor: float) -> DataFrame:
+    """Tokens cut to their first k dimensions and the residual's norm, times the factor, as one more."""
+    return tokens.withColumn("vec", F.concat(V.prefix(V.doubles("vec"), k), F.array(residual(V.doubles("vec"), k, kind) * factor)))
+
+
+def _bound(docs, queries, k, sign, name, shrink=1.0, kind="tail", width=None) -> DataFrame:
+    """Bounds as scores of vectors with the residuals' product as one more dimension's."""
+    factor = sign * (1.0 if width is None else V.confidence(k, width, shrink))
+    return scores(_with_residual(docs, k, kind, 1.0), _with_residual(queries, k, kind, factor)).withColumnRenamed("score", name)
+
+
 def upper_scores(docs, queries, k, **kw) -> DataFrame:
-    return best_then_sum(bound_pairs(docs, queries, k, **kw), F.col("u"), "ub")
+    """qid, doc_id, ub after k dimensions, by blocks."""
+    return _bound(docs, queries, k, 1.0, "ub", **kw)
 
 
 def lower_scores(docs, queries, k, **kw) -> DataFrame:
-    return best_then_sum(bound_pairs(docs, queries, k, **kw), F.col("l"), "lb")
+    """qid, doc_id, lb after k dimensions, by blocks."""
+    return _bound(docs, queries, k, -1.0, "lb", **kw)
 
 
 def reorder(tokens: DataFrame, order: list[int]) -> DataFrame:
@@ -51,9 +65,7 @@ def reorder(tokens: DataFrame, order: list[int]) -> DataFrame:
 
 def tightness(docs, queries, qrels, k, least=1e-6, **kw) -> DataFrame:
     """qid, doc_id, relevant and ratio = upper bound / score; scores under ``least`` are left out."""
-    pairs = bound_pairs(docs, queries, k, **kw)
-    full = token_pairs(docs, queries).select("qid", "qtok", "doc_id", "tok", V.dot("q", "d").alias("s"))
-    both = best_then_sum(pairs, F.col("u"), "ub").join(best_then_sum(full, F.col("s")), ["qid", "doc_id"])
+    both = upper_scores(docs, queries, k, **kw).join(scores(docs, queries), ["qid", "doc_id"])
     flagged = relevance(both, qrels)
     return flagged.where(F.col("score") >= least).select("qid", "doc_id", "relevant", (F.col("ub") / F.col("score")).alias("ratio"))
 
@@ -80,49 +92,104 @@ def live_tokens(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("best", best).withColumn("needed", needed).where("needed").drop("needed", "best")
 
 
-def _step(live: DataFrame, docs: DataFrame, queries: DataFrame, start: int, stop: int) -> DataFrame:
-    """The live pairs with p extended over dimensions start..stop-1 of the query's order, and new bounds."""
-    width = F.size("qvec")
-    q = queries.select("qid", "qtok", "qvec", "order", "shrink")
-    grown = live.join(docs.withColumnRenamed("vec", "dvec"), ["doc_id", "tok", "turned"]).join(small(q), ["qid", "qtok"])
-    ordered = F.when(F.col("order").isNull(), F.col("dvec")).otherwise(V.gather("dvec", "order"))
-    part = V.let(ordered, lambda d: F.struct(V.dot(V.dims("qvec", start, stop), V.dims(d, start, stop)).alias("p"), (V.tail_norm("qvec", stop) * V.tail_norm(d, stop)).alias("r")))
-    factor = F.col("shrink") + (1 - F.col("shrink")) * (width - stop) / width
-    grown = grown.withColumn("part", part).withColumn("p", F.col("p") + F.col("part.p")).withColumn("r", F.col("part.r") * factor)
-    return grown.select("qid", "qtok", "doc_id", "tok", "turned", "p", (F.col("p") + F.col("r")).alias("u"), (F.col("p") - F.col("r")).alias("l"))
-
-
-def pruned_rounds(docs: DataFrame, queries: DataFrame, k: int, steps: list[int], warm_up=0) -> tuple[DataFrame, DataFrame]:
+def pruned_rounds(packed: DataFrame, queries: DataFrame, k: int, steps: list[int], warm_up=0, matrix=None, limit=QUERY_BYTES) -> tuple[DataFrame, DataFrame]:
     """(top k: qid, rank, doc_id, score; work by qid and step: live pairs and cells), each query by its own setting.
 
-    docs: doc_id, tok, vec, turned. queries: qid, qtok, qvec, order, shrink, first, turned: vectors with
-    their dimensions in the query's order (null: as stored), the factor on residuals, how many documents by
-    id take part (null: all), and which variant of the documents it meets. Each round is a stored table
-    that narrows the (query, document, token) rows of the next; a query's threshold is its k-th best lower
-    bound of the round.
+    packed: pack_documents(). queries: qid, qtok, vec, order, shrink, first, turned: the query's own order of
+    dimensions (null: as stored), the factor on residuals, how many documents by id take part (null: all), and
+    whether both sides are multiplied by ``matrix`` first. A round narrows the (query, document, token) rows that
+    the next one counts; a query's threshold is its k-th best lower bound over all documents of the round.
+
+    Rounds are passes over the packed documents: a pass repeats the steps before its own under their thresholds,
+    of which there is one a query and round, and gives each query's k best and its count of pairs. So no row for
+    a pair of tokens is ever made, and counts don't depend on how documents are dealt.
     """
-    width = steps[-1]
-    kept = [s for s in steps if s >= warm_up] or [width]
-    docs, queries = cut_lineage(docs.select("doc_id", "tok", "vec", "turned")), cut_lineage(queries)
-    asked = small(queries.select("qid", "qtok", "first", F.col("turned").alias("side")))
-    meets = (F.col("turned") == F.col("side")) & (F.col("first").isNull() | (F.col("doc_id") < F.col("first")))
-    live = docs.select("doc_id", "tok", "turned").join(asked, meets).select("qid", "qtok", "doc_id", "tok", "turned", F.lit(0.0).alias("p"))
-    work, at = None, 0
-    for step in kept:
-        pairs = cut_lineage(_step(live, docs, queries, at, step))
-        done = pairs.groupBy("qid").agg(F.count("*").alias("pairs")).select("qid", F.lit(step).alias("step"), "pairs", (F.col("pairs") * (step - at)).alias("cells"))
-        work = done if work is None else work.unionByName(done)
+    spark, kept, kind = packed.sparkSession, [s for s in steps if s >= warm_up] or [steps[-1]], queries.schema["qid"].dataType
+    own = cut_lineage(queries.select("qid", "qtok", V.doubles("vec").alias("vec"), "order", "shrink", "first", "turned"))
+    found = work = None
+    for group in query_groups(own, limit):
+        asked, names = [], []
+        for r in group.orderBy("qid", "qtok").collect():
+            if not names or names[-1] != r.qid:
+                names.append(r.qid)
+                asked.append(([], r.order, r.shrink, r["first"], r.turned))
+            asked[-1][0].append(r.vec)
+        if not asked:
+            continue
+        asked = [(np.array(x) @ matrix if turned else np.array(x), order, shrink, first, turned) for x, order, shrink, first, turned in asked]
+        asked = [(x if order is None else x[:, order], *own) for x, *own in asked for order in own[:1]]
+        named = spark.createDataFrame(list(enumerate(names)), StructType().add("at", "integer").add("qid", kind))
+        floors: list[np.ndarray] = []
+        for i, step in enumerate(kept):
+            shared = spark.sparkContext.broadcast((asked, floors, matrix))
+            out = cut_lineage(packed.select("doc_id", "toks").mapInArrow(_round_scan(shared, k, kept, i), "at int, doc_id long, value double, pairs long"))
+            best = topk(out.where("doc_id is not null"), k, by="at", value="value")
+            if step < kept[-1]:
+                tau = np.full(len(asked), -np.inf)
+                for r in best.where(F.col("rank") == k).collect():  # at most a row a query
+                    tau[r["at"]] = r.value
+                floors = [*floors, tau]
+            pairs = out.where("doc_id is null").groupBy("at").agg(F.sum("pairs").alias("pairs")).where("pairs > 0")
+            width = step - (kept[i - 1] if i else 0)
+            done = pairs.join(F.broadcast(named), "at").select("qid", F.lit(step).alias("step"), "pairs", (F.col("pairs") * width).alias("cells"))
+            work = done if work is None else work.unionByName(done)
+        top = best.join(F.broadcast(named), "at").select("qid", "rank", "doc_id", F.col("value").alias("score"))
+        found = top if found is None else found.unionByName(top)
+    if found is None:
+        found = spark.createDataFrame([], StructType().add("qid", kind).add("rank", "integer").add("doc_id", "long").add("score", "double"))
+        work = spark.createDataFrame([], StructType().add("qid", kind).add("step", "integer").add("pairs", "long").add("cells", "long"))
+    return found, work
+
+
+def _round_scan(shared, k, steps, upto):
+    """Each query's k best documents by lower bounds after step number ``upto`` (by scores after the last), and its pairs."""
+
+    def scan(batches):
+        asked, floors, matrix = shared.value
+        pairs = np.zeros(len(asked), np.int64)
+        held = [(np.zeros(0), np.zeros(0, np.int64))] * len(asked)
+        for ids, sizes, flat in _documents(batches):
+            other = flat @ matrix if any(turned for *_, turned in asked) else None
+            for docs, tokens in _blocks(sizes, SCAN_TOKENS):
+                for i, (q, order, shrink, first, turned) in enumerate(asked):
+                    x, own, n = (other if turned else flat)[tokens], ids[docs], sizes[docs]
+                    if first is not None and (own >= first).any():
+                        x, n, own = x[np.repeat(own < first, n)], n[own < first], own[own < first]
+                    if not len(own):
+                        continue
+                    seen, places, value = _round_block(q, x if order is None else x[:, order], n, steps[: upto + 1], [tau[i] for tau in floors], shrink, steps[-1])
+                    pairs[i] += seen
+                    value, own = np.concatenate([held[i][0], value]), np.concatenate([held[i][1], own[places]])
+                    top = np.lexsort((own, -value))[:k]
+                    held[i] = value[top], own[top]
+        at, n = np.arange(len(asked), dtype=np.int32), np.array([len(own) for _, own in held])
+        yield pa.record_batch({"at": at, "doc_id": pa.nulls(len(at), pa.int64()), "value": np.zeros(len(at)), "pairs": pairs})
+        if n.sum():
+            value, own = (np.concatenate(c) for c in zip(*held, strict=True))
+            yield pa.record_batch({"at": np.repeat(at, n), "doc_id": own, "value": value, "pairs": np.zeros(n.sum(), np.int64)})
+
+    return scan
+
+
+def _round_block(q, x, sizes, steps, floors, shrink, width):
+    """(pairs of the last step, places of the documents that reach it, their lower bounds or, after all dimensions, scores)."""
+    docs, partial, at = np.arange(len(sizes)), np.zeros((len(q), len(x))), 0
+    for i, step in enumerate(steps):
+        partial += q[:, at:step] @ x[:, at:step].T
+        pairs, at, cuts = partial.size, step, np.cumsum(sizes) - sizes
         if step == width:
-            live = pairs
-            break
-        alive = live_tokens(pairs.repartition("qid", "doc_id"))  # one exchange for all that groups by document below
-        best = alive.groupBy("qid", "doc_id", "qtok").agg(F.max("u").alias("u"), F.max("l").alias("l"))
-        bounds = best.groupBy("qid", "doc_id").agg(F.sum("u").alias("ub"), F.sum("l").alias("lb"))
-        order = Window.partitionBy("qid").orderBy(F.desc("lb"), "doc_id")
-        tau = F.max(F.when(F.col("rn") == k, F.col("lb"))).over(Window.partitionBy("qid"))
-        kept_docs = bounds.withColumn("rn", F.row_number().over(order)).withColumn("tau", tau).where("tau IS NULL OR ub >= tau - 1e-9").select("qid", "doc_id")
-        live, at = alive.join(kept_docs, ["qid", "doc_id"]).select("qid", "qtok", "doc_id", "tok", "turned", "p"), step
-    return topk(rounded(best_then_sum(live, F.col("p"))), k), work
+            return pairs, docs, np.round(np.maximum.reduceat(partial, cuts, axis=1).sum(0), 6)
+        slack = np.linalg.norm(q[:, step:], axis=1)[:, None] * np.linalg.norm(x[:, step:], axis=1) * V.confidence(step, width, shrink)
+        best = np.maximum.reduceat(partial - slack, cuts, axis=1)
+        if i + 1 == len(steps):
+            return pairs, docs, best.sum(0)
+        upper = partial + slack
+        wanted = np.maximum.reduceat(upper, cuts, axis=1).sum(0) >= floors[i] - 1e-9
+        needed = (upper >= np.repeat(best, sizes, axis=1)).any(0) & np.repeat(wanted, sizes)
+        sizes = np.add.reduceat(needed.astype(np.int64), cuts)[wanted]
+        docs, x, partial = docs[wanted], x[needed], partial[:, needed]
+        if not len(docs):
+            return 0, docs, np.zeros(0)
 
 
 def pruned_search(docs: DataFrame, queries: DataFrame, k: int, steps: list[int], shrink=1.0, warm_up=0) -> tuple[DataFrame, DataFrame]:
@@ -131,23 +198,26 @@ def pruned_search(docs: DataFrame, queries: DataFrame, k: int, steps: list[int],
     steps: numbers of scanned dimensions, rising to the full width; those under ``warm_up`` are
     scanned without a bound. Exact at shrink = 1.
     """
-    own = queries.select("qid", "qtok", V.doubles("vec").alias("qvec"), F.lit(None).cast("array<int>").alias("order"), F.lit(float(shrink)).alias("shrink"), F.lit(None).cast("long").alias("first"), F.lit(False).alias("turned"))
-    return pruned_rounds(docs.select("doc_id", "tok", V.doubles("vec").alias("vec"), F.lit(False).alias("turned")), own, k, steps, warm_up)
+    own = queries.select("qid", "qtok", "vec", F.lit(None).cast("array<int>").alias("order"), F.lit(float(shrink)).alias("shrink"), F.lit(None).cast("long").alias("first"), F.lit(False).alias("turned"))
+    return pruned_rounds(pack_documents(docs), own, k, steps, warm_up)
 
 
-def pruned_topk(packed: DataFrame, queries: DataFrame, k: int, steps: list[int], warm_up=0, dense_from=0.5, limit=QUERY_BYTES) -> DataFrame:
-    """qid, rank, doc_id, score of the exact k best, each query by its own order of dimensions, in one pass.
+def pruned_topk(packed: DataFrame, queries: DataFrame, k: int, steps: list[int], warm_up=0, dense_from=0.5, limit=QUERY_BYTES, seeded=True) -> DataFrame:
+    """qid, rank, doc_id, score of the exact k best, each query by its own order of dimensions.
 
     packed: pack_documents(). queries: qid, qtok, vec and, if they have one, order (array of dimensions,
-    one a query). A task keeps each query's k best so far; the k-th is the threshold for the documents
-    that follow, which are scanned step by step and dropped once their upper bound is below it, tokens
-    once no query token can need them. Where at least ``dense_from`` of a block is still wanted, the rest
-    is scanned without bounds. Steps under ``warm_up`` have no bound. Blocks return k rows a query.
+    one a query). A first pass scores all documents by the first step's dimensions and the k best of each batch in
+    full; the k-th best of these scores is a query's threshold, which all tasks of the second pass start from
+    (not with ``seeded`` off) and raise by their own k best. There documents are scanned step by step and dropped
+    once their upper bound is below the threshold, tokens once no query token can need them. Where at least
+    ``dense_from`` of a block is still wanted, the rest is scanned without bounds. Steps under ``warm_up`` have no
+    bound. Blocks return k rows a query.
     """
     marks = [s for s in steps if s >= warm_up] or [steps[-1]]
     ordered = "order" in queries.columns
-    spark, out = packed.sparkSession, None
-    for group in _query_groups(queries, limit):
+    spark, out, columns = packed.sparkSession, None, "qid long, doc_id long, score double"
+    blocks = packed.select("doc_id", "toks")
+    for group in query_groups(queries, limit):
         rows = group.select("qid", "qtok", V.doubles("vec").alias("vec"), *(["order"] if ordered else [])).orderBy("qid", "qtok").collect()
         asked = {}
         for r in rows:
@@ -155,11 +225,13 @@ def pruned_topk(packed: DataFrame, queries: DataFrame, k: int, steps: list[int],
         asked = [(i, np.array([r.vec for r in own]), np.array(own[0].order) if ordered and own[0].order is not None else None) for i, own in asked.items()]
         if not asked:
             continue
-        shared = spark.sparkContext.broadcast(asked)  # at most ``limit`` bytes
-        one = packed.select("doc_id", "toks").mapInArrow(_pruning_scan(shared, k, marks, dense_from), "qid long, doc_id long, score double")
+        shared, floors = spark.sparkContext.broadcast(asked), {}  # at most ``limit`` bytes
+        if seeded and marks[0] < marks[-1]:
+            seeds = blocks.mapInArrow(_seed_scan(shared, k, marks[0]), columns)
+            floors = {r.qid: r.tau for r in threshold(seeds, k).collect()}  # a number a query
+        one = blocks.mapInArrow(_pruning_scan(shared, k, marks, dense_from, floors), columns)
         out = one if out is None else out.unionByName(one)
-    empty = spark.createDataFrame([], "qid long, doc_id long, score double")
-    return topk(out if out is not None else empty, k)
+    return topk(out if out is not None else spark.createDataFrame([], columns), k)
 
 
 #: Document tokens that a query with an order of its own scans at a time; products at a time of all others.
@@ -196,10 +268,10 @@ def _scan_block(flat, sizes, q, order, floor, marks, dense_from):
 
 
 class _Best:
-    """Each query's k best so far; the k-th is its floor."""
+    """Each query's k best so far; its floor is the k-th, or what it was given if that is more."""
 
-    def __init__(self, n, k):
-        self.k, self.floor, self.held = k, np.full(n, -np.inf), [(np.zeros(0), np.zeros(0, np.int64))] * n
+    def __init__(self, n, k, floors=None):
+        self.k, self.floor, self.held = k, np.full(n, -np.inf) if floors is None else floors, [(np.zeros(0), np.zeros(0, np.int64))] * n
         self.wait, self.pause = 0, 1
 
     def add(self, i, ids, scores):
@@ -209,79 +281,132 @@ class _Best:
             first = np.lexsort((own, -score))[: self.k]
             self.held[i] = score[first], own[first]
             if len(first) == self.k:
-                self.floor[i] = score[first][-1]
+                self.floor[i] = max(self.floor[i], score[first][-1])
+
+    def rows(self, asked):
+        for (qid, _, _), (score, own) in zip(asked, self.held, strict=True):
+            if len(own):
+                yield pa.record_batch({"qid": np.full(len(own), qid), "doc_id": own, "score": score})
+
+
+class _Stored:
+    """All queries that scan dimensions as stored, as one matrix; and as one for bounds after ``mark`` dimensions.
+
+    The bound's matrices are of single precision and have the norm of the other dimensions as one more, so that
+    one product gives partial products and their slack; ``error`` is what a query's sum may be off by, for
+    document tokens of norm one.
+    """
+
+    def __init__(self, asked, mark, width):
+        self.queries = [i for i, (_, _, order) in enumerate(asked) if order is None]
+        self.matrix = np.concatenate([asked[i][1] for i in self.queries]) if self.queries else np.zeros((0, width))
+        lengths = np.array([len(asked[i][1]) for i in self.queries], np.int64)
+        self.ends = np.cumsum(lengths)
+        self.starts, self.mark = self.ends - lengths, mark
+        self.narrow = self.bounding(self.matrix, mark)
+        norms = np.linalg.norm(self.matrix, axis=1)
+        self.error = 1e-6 + 1e-5 * np.add.reduceat(norms, self.starts) if self.queries else norms
 
+    @staticmethod
+    def bounding(vectors, mark):
+        return np.concatenate([vectors[:, :mark], np.linalg.norm(vectors[:, mark:], axis=1)[:, None]], axis=1).astype(np.float32)
 
-def _scan_stored(flat, ids, sizes, matrix, starts, best, queries, marks, dense_from):
+    def sums(self, products, cuts):
+        """By query and document: the best products of the query's tokens, added up."""
+        return np.add.reduceat(np.maximum.reduceat(products, cuts, axis=1), self.starts, axis=0, dtype=np.float64)
+
+
+def _scan_stored(flat, ids, sizes, stored, best, marks, dense_from):
     """A block of documents for all queries that scan dimensions as stored: one product for the first step.
 
     After a block of which too much is wanted for the bound to pay, the bound is left out for one block, then
     two, four and so on; that changes the work, never the result.
     """
-    cuts, mark, width = np.cumsum(sizes) - sizes, marks[0], marks[-1]
-    floor, wanted = best.floor[queries], None
+    cuts, wanted = np.cumsum(sizes) - sizes, None
+    floor = best.floor[stored.queries]
     best.wait -= 1
-    if mark < width and best.wait < 0 and np.isfinite(floor).all():
-        partial = matrix[:, :mark] @ flat[:, :mark].T
-        upper = np.linalg.norm(matrix[:, mark:], axis=1)[:, None] * (np.linalg.norm(flat[:, mark:], axis=1) + SLACK)
-        upper += partial
-        wanted = np.add.reduceat(np.maximum.reduceat(upper, cuts, axis=1), starts, axis=0) >= floor[:, None] - 1e-6
+    if stored.mark < marks[-1] and best.wait < 0 and np.isfinite(floor).all():
+        narrow = stored.bounding(flat, stored.mark)
+        error = stored.error * max(1.0, float(np.sqrt((flat * flat).sum(1).max())))
+        wanted = stored.sums(stored.narrow @ narrow.T, cuts) >= (floor - error)[:, None]
         if wanted.mean() >= dense_from:
             best.wait, best.pause, wanted = best.pause, 2 * best.pause, None
-            partial += matrix[:, mark:] @ flat[:, mark:].T
         else:
             best.pause = 1
-    else:
-        partial = matrix @ flat.T
     if wanted is None:
-        scores = np.add.reduceat(np.maximum.reduceat(partial, cuts, axis=1), starts, axis=0)
+        scores = stored.sums(stored.matrix @ flat.T, cuts)
         may = scores >= floor[:, None] - 1e-6
         for j in np.flatnonzero(may.any(1)):
-            best.add(queries[j], ids[may[j]], scores[j][may[j]])
+            best.add(stored.queries[j], ids[may[j]], scores[j][may[j]])
         return
-    ends = np.append(starts[1:], len(matrix))
     for j in np.flatnonzero(wanted.any(1)):
         some = np.repeat(wanted[j], sizes)
-        found, scores = _scan_block(flat[some], sizes[wanted[j]], matrix[starts[j] : ends[j]], None, floor[j], marks, dense_from)
-        best.add(queries[j], ids[wanted[j]][found], scores)
+        found, scores = _scan_block(flat[some], sizes[wanted[j]], stored.matrix[stored.starts[j] : stored.ends[j]], None, floor[j], marks, dense_from)
+        best.add(stored.queries[j], ids[wanted[j]][found], scores)
+
+
+def _documents(batches):
+    """(ids, sizes, token vectors) of each batch's documents that have tokens."""
+    for batch in batches:
+        ids, toks = batch.column(0).to_numpy(), batch.column(1)
+        sizes = toks.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        some = np.flatnonzero(sizes)
+        if len(some):
+            yield ids[some], sizes[some], toks.flatten().flatten().to_numpy(zero_copy_only=False).reshape(int(sizes.sum()), -1)
+
 
+def _blocks(sizes, most):
+    """(documents, tokens) slices of consecutive documents with at most so many tokens, or one document."""
+    ends, at = np.cumsum(sizes), 0
+    while at < len(sizes):
+        done = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
+        yield slice(at, stop), slice(done, ends[stop - 1])
+        at = stop
+
+
+def _seed_scan(shared, k, mark):
+    """Each query's k best in full of those that are best, batch by batch, by their first ``mark`` dimensions."""
 
-def _pruning_scan(shared, k, marks, dense_from):
     def scan(batches):
         asked = shared.value
         best = _Best(len(asked), k)
-        stored = [i for i, (_, _, order) in enumerate(asked) if order is None]
-        matrix = np.concatenate([asked[i][1] for i in stored]) if stored else np.zeros((0, marks[-1]))
-        lengths = np.array([len(asked[i][1]) for i in stored], np.int64)
-        starts = np.cumsum(lengths) - lengths
-        for batch in batches:
-            ids, toks = batch.column(0).to_numpy(), batch.column(1)
-            sizes = toks.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-            some = np.flatnonzero(sizes)
-            if not len(some):
-                continue
-            ids, sizes = ids[some], sizes[some]
-            flat = toks.flatten().flatten().to_numpy(zero_copy_only=False).reshape(int(sizes.sum()), -1)
-            ends = np.cumsum(sizes)
-
-            def blocks(most, ends=ends, n=len(ids)):
-                at = 0
-                while at < n:
-                    done = ends[at - 1] if at else 0
-                    stop = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
-                    yield slice(at, stop), slice(done, ends[stop - 1])
-                    at = stop
-
-            for docs, tokens in blocks(max(1, SCAN_CELLS // len(matrix))) if stored else ():
-                _scan_stored(flat[tokens], ids[docs], sizes[docs], matrix, starts, best, stored, marks, dense_from)
-            for docs, tokens in blocks(SCAN_TOKENS) if len(stored) < len(asked) else ():
+        for ids, sizes, flat in _documents(batches):
+            stored = _Stored(asked, mark, flat.shape[1])
+            starts = np.cumsum(sizes) - sizes
+            partial = np.full((len(asked), len(ids)), -np.inf)
+            for docs, tokens in _blocks(sizes, max(1, SCAN_CELLS // len(stored.matrix))) if stored.queries else ():
+                products = stored.narrow[:, :mark] @ flat[tokens, :mark].astype(np.float32).T
+                partial[stored.queries, docs] = stored.sums(products, starts[docs] - tokens.start)
+            for i, (_, q, order) in enumerate(asked):
+                if order is not None:
+                    for docs, tokens in _blocks(sizes, SCAN_TOKENS):
+                        partial[i, docs] = np.maximum.reduceat(q[:, order[:mark]] @ flat[tokens][:, order[:mark]].T, starts[docs] - tokens.start, axis=1).sum(0)
+            n = min(k, len(ids))
+            for i, top in enumerate(np.argpartition(-partial, n - 1, axis=1)[:, :n]):
+                own = sizes[top]
+                cuts = np.cumsum(own) - own
+                tokens = np.arange(own.sum()) + np.repeat(starts[top] - cuts, own)
+                best.add(i, ids[top], np.maximum.reduceat(asked[i][1] @ flat[tokens].T, cuts, axis=1).sum(0))
+        yield from best.rows(asked)
+
+    return scan
+
+
+def _pruning_scan(shared, k, marks, dense_from, floors):
+    def scan(batches):
+        asked = shared.value
+        best = _Best(len(asked), k, np.array([floors.get(qid, -np.inf) for qid, _, _ in asked]))
+        stored = _Stored(asked, marks[0], marks[-1])
+        for ids, sizes, flat in _documents(batches):
+            for docs, tokens in _blocks(sizes, max(1, SCAN_CELLS // len(stored.matrix))) if stored.queries else ():
+                _scan_stored(flat[tokens], ids[docs], sizes[docs], stored, best, marks, dense_from)
+            for docs, tokens in _blocks(sizes, SCAN_TOKENS) if len(stored.queries) < len(asked) else ():
                 for i, (_, q, order) in enumerate(asked):
                     if order is not None:
                         found, scores = _scan_block(flat[tokens], sizes[docs], q, order, best.floor[i], marks, dense_from)
                         best.add(i, ids[docs][found], scores)
-        for (qid, _, _), (score, own) in zip(asked, best.held, strict=True):
-            if len(own):
-                yield pa.record_batch({"qid": np.full(len(own), qid), "doc_id": own, "score": score})
+        yield from best.rows(asked)
 
     return scan
 

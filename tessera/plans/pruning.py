@@ -5,9 +5,10 @@ from pyspark.sql import functions as F
 from tessera.functions import vectors as V
 from tessera.operators import pruning as P
 from tessera.operators import scoring as S
-from tessera.operators import stats, sweeps
+from tessera.operators import sliced, stats, sweeps
 from tessera.plans.base import exact_sql, qrels, query, scores_sql, tables, topk_sql, views
 from tessera.sources import tokens
+from tessera.sources.stages import keep
 
 K = 10
 ANISO = 0.9
@@ -150,6 +151,32 @@ def pruned_topk_rounds(spark, sf_dir):
     return P.pruned_search(*tables(spark, sf_dir, ANISO), K, ROUNDS)[0]
 
 
+MARKS = [16, 32, 64]
+
+
+def _slices(spark, sf_dir, aniso=None):
+    """The document tokens by slices of dimensions, stored once for all queries of a session."""
+    return keep(spark, ("slices", sf_dir, aniso), lambda: sliced.store_slices(tables(spark, sf_dir, aniso)[0], MARKS))
+
+
+@query(f"WITH {views()}, {scores_sql('scores', 'q.vec[1:32]', 'd.vec[1:32]')} SELECT qid, doc_id, round(score, 6) AS score FROM scores")
+def sliced_partial_k32(spark, sf_dir):
+    """Scores by the first 32 dimensions, from the two slices that hold them."""
+    return S.rounded(sliced.partial_scores(_slices(spark, sf_dir), tables(spark, sf_dir)[1], 32))
+
+
+@query(f"WITH {views()}, {bounds_sql(32)}, {sum_sql('ub', 'b')} SELECT qid, doc_id, round(ub, 6) AS ub FROM b")
+def sliced_bounds_k32(spark, sf_dir):
+    """Bounds after 32 dimensions, from two slices and the norms behind them."""
+    return S.rounded(sliced.upper_bounds(_slices(spark, sf_dir), tables(spark, sf_dir)[1], 32), "ub")
+
+
+@query(exact_sql(K, True))
+def sliced_pruned_topk(spark, sf_dir):
+    """Exact search that scans one slice of all documents and whole documents only where bounds ask for it."""
+    return sliced.pruned_topk(_slices(spark, sf_dir, ANISO), tables(spark, sf_dir, ANISO)[1], K, 16)
+
+
 def rounds_sql(steps: list[int], shrink: float, tag="") -> str:
     """CTEs of a search in rounds: pairs<tag><i> are the rows that round i computes, final<tag> the scores."""
     out, before, at = [], None, 0

@@ -14,14 +14,14 @@ ALL = f"WITH {views()}, {scores_sql()} SELECT qid, doc_id, round(score, 6) AS sc
 
 @query(exact_sql(K))
 def maxsim_topk(spark, sf_dir):
-    """Exact scores by built-in functions, ten best documents a query."""
-    return S.topk(S.rounded(S.maxsim(*tables(spark, sf_dir))), K)
+    """Exact scores, ten best documents a query."""
+    return S.topk(S.rounded(S.maxsim(*tables(spark, sf_dir), k=K)), K)
 
 
 @query(ALL)
 def maxsim_all_scores(spark, sf_dir):
-    """H1, H2: all scores of all pairs; ragged documents need no padding."""
-    return S.rounded(S.maxsim(*tables(spark, sf_dir)))
+    """H1, H2: all scores of all pairs by built-in functions; ragged documents need no padding."""
+    return S.rounded(S.maxsim_native(*tables(spark, sf_dir)))
 
 
 @query(exact_sql(K))
@@ -84,7 +84,7 @@ def maxsim_dense_rotation(spark, sf_dir):
 def rerank_candidates(spark, sf_dir):
     """H3: exact scores of the twenty best candidates by the first sixteen dimensions."""
     docs, queries = tables(spark, sf_dir)
-    pairs = S.topk(S.rounded(S.maxsim(docs, queries, dims=16)), 20).select("qid", "doc_id")
+    pairs = S.topk(S.rounded(S.maxsim(docs, queries, dims=16, k=20)), 20).select("qid", "doc_id")
     return S.rerank(docs, queries, pairs)
 
 
@@ -97,13 +97,13 @@ def full_scan_cells(spark, sf_dir):
 @query(f"WITH {views()}, {scores_sql()} SELECT qid, doc_id FROM ({topk_sql(K)})")
 def topk_set(spark, sf_dir):
     """The ten best as a set."""
-    return S.topk(S.rounded(S.maxsim(*tables(spark, sf_dir))), K).select("qid", "doc_id")
+    return S.topk(S.rounded(S.maxsim(*tables(spark, sf_dir), k=K)), K).select("qid", "doc_id")
 
 
 @query(f"WITH {views()}, {scores_sql()} SELECT qid, score AS tau FROM ({topk_sql(K)}) WHERE rank = {K}")
 def kth_score(spark, sf_dir):
     """The oracle threshold."""
-    return S.threshold(S.rounded(S.maxsim(*tables(spark, sf_dir))), K)
+    return S.threshold(S.rounded(S.maxsim(*tables(spark, sf_dir), k=K)), K)
 
 
 @query(
@@ -119,7 +119,7 @@ def longest_items(spark, sf_dir):
 def truncated_query_topk(spark, sf_dir):
     """Queries cut to their first three tokens."""
     docs, queries = tables(spark, sf_dir)
-    return S.topk(S.rounded(S.maxsim(docs, queries.where("qtok < 3"))), K)
+    return S.topk(S.rounded(S.maxsim(docs, queries.where("qtok < 3"), k=K)), K)
 
 
 @query(

@@ -48,7 +48,7 @@ def test_scores_agree_with_numpy(spark, seed):
     docs, queries = make(seed)
     d, q = token_table(spark, docs), token_table(spark, queries, ("qid", "qtok"))
     want = brute(docs, queries, 5)
-    native = as_dict(scoring.topk(scoring.rounded(scoring.maxsim(d, q)), 5).collect())
+    native = as_dict(scoring.topk(scoring.rounded(scoring.maxsim_native(d, q)), 5).collect())
     packed = scoring.pack_documents(d)
     blocks = as_dict(scoring.topk(scoring.rounded(scoring.maxsim_blocks(packed, q, k=5)), 5).collect())
     groups = as_dict(scoring.topk(scoring.rounded(scoring.maxsim_blocks(packed, q, limit=500)), 5).collect())
