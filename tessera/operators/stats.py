@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors as V
+from tessera.operators.order_stats import mean_ranks, quantiles
+from tessera.sources.stages import cut_lineage
 
 
 def by_dimension(tokens: DataFrame, *keys: str, vector="vec") -> DataFrame:
@@ -80,20 +82,22 @@ def spearman(left: DataFrame, right: DataFrame, digits=9) -> DataFrame:
     """qid and the rank correlation of two scores over the documents; ties get mean ranks."""
 
     def ranks(df, name):
-        order = Window.partitionBy("qid").orderBy(F.round("score", digits))
-        ties = Window.partitionBy("qid", F.round("score", digits))
-        return df.select("qid", "doc_id", (F.rank().over(order) + (F.count("*").over(ties) - 1) / 2).alias(name))
+        rounded = cut_lineage(df.select("qid", "doc_id", F.round("score", digits).alias("score")))
+        return mean_ranks(rounded, "score", "qid").select("qid", "doc_id", F.col("rank").alias(name))
 
     both = ranks(left, "a").join(ranks(right, "b"), ["qid", "doc_id"])
     return both.groupBy("qid").agg(F.corr("a", "b").alias("rho"))
 
 
 def quartiles(rows: DataFrame, value: str) -> DataFrame:
-    return rows.agg(F.avg(value).alias("mean"), F.percentile(value, F.lit(0.25)).alias("q25"), F.percentile(value, F.lit(0.75)).alias("q75"))
+    """One row: mean, q25 and q75."""
+    rows = cut_lineage(rows.select(value))
+    return rows.agg(F.avg(value).alias("mean")).crossJoin(quantiles(rows, value, {"q25": 0.25, "q75": 0.75}))  # one row each
 
 
 def medians(rows: DataFrame, value: str, *keys: str) -> DataFrame:
-    return rows.groupBy(*keys).agg(F.median(value).alias("median"), F.percentile(value, F.lit(0.95)).alias("p95"))
+    """keys, median and p95."""
+    return quantiles(cut_lineage(rows.select(*keys, value)), value, {"median": 0.5, "p95": 0.95}, *keys)
 
 
 def token_counts(docs: DataFrame) -> DataFrame:

@@ -67,7 +67,7 @@ def head_scan(spark, sf_dir):
     return C.head(read(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", 50)
 
 
-@query("SELECT vec_id FROM embeddings ORDER BY (vec_id * 7919 + 42) % 100003, vec_id LIMIT 80")
+@query("SELECT vec_id FROM embeddings ORDER BY md5(vec_id::VARCHAR || ':42'), vec_id LIMIT 80")
 def exact_sample(spark, sf_dir):
     """Exactly eighty rows without replacement, keyed by id and seed."""
     return harness.sample(read(spark, sf_dir, "embeddings").select("vec_id"), "vec_id", 80)

@@ -4,9 +4,11 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera.plans import catalog
+from tessera.sources import stages
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -25,7 +27,7 @@ def plain(value):
         return value
     if hasattr(value, "__iter__"):
         return "[" + ",".join(plain(v) for v in value) + "]"
-    if value is None or value != value:
+    if value is None or value is pd.NA or value != value:
         return "null"
     if isinstance(value, bool | np.bool_):
         return str(bool(value))
@@ -40,7 +42,10 @@ def rows(frame):
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 @pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, duck, name):
-    got = catalog.queries()[name](spark, SF).toPandas()
+    before = {*stages._made}
+    with stages.scope(spark):
+        got = catalog.queries()[name](spark, SF).toPandas()
+    assert {*stages._made} - before <= stages._shared  # what a query stored is gone, but for what a session keeps
     want = duck.sql(catalog.oracle_sql()[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
     assert rows(got) == rows(want)
