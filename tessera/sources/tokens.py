@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import io
+import pickle
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,6 +41,14 @@ def validate(tokens: DataFrame, vector="vec") -> DataFrame:
     return tokens.where(F.col(vector).isNotNull() & (F.size(vector) == (width or -1)) & ~bad)
 
 
+def rejected(tokens: DataFrame, vector="vec") -> DataFrame:
+    """reason and rows: what validate() leaves out, by its first fault: null, width (not the commonest) or element."""
+    width = width_of(tokens, vector)
+    bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    reason = F.when(F.col(vector).isNull(), "null").when(F.size(vector) != (width or -1), "width").when(bad, "element")
+    return tokens.select(reason.alias("reason")).where("reason is not null").groupBy("reason").agg(F.count("*").alias("rows"))
+
+
 def norm_report(tokens: DataFrame, vector="vec") -> DataFrame:
     """Mean, deviation and range of the norms, and whether they are near one."""
     stats = tokens.select(V.norm(V.doubles(vector)).alias("n")).agg(
@@ -108,6 +122,69 @@ def read_cache(spark: SparkSession, path: str, ids: DataFrame | None = None, id_
     return cached
 
 
+class _ArraysOnly(pickle.Unpickler):
+    """Reads pickled NumPy arrays and nothing else, as caches may come from elsewhere."""
+
+    ALLOWED = {"ndarray", "dtype", "_reconstruct", "_frombuffer", "scalar"}
+
+    def find_class(self, module, name):
+        if module.split(".")[0] == "numpy" and name in self.ALLOWED:
+            return super().find_class(module, name)
+        raise pickle.UnpicklingError(f"{module}.{name} is no array")
+
+
+def _ragged(content: bytes) -> list:
+    """The arrays of a .npy file: of an object array, or the rows of a plain one."""
+    file = io.BytesIO(content)
+    version = np.lib.format.read_magic(file)
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    shape, order, kind = read(file)
+    if kind.hasobject:
+        return [np.atleast_2d(np.asarray(x, float)) for x in _ArraysOnly(file).load().ravel()]
+    flat = np.frombuffer(file.read(), kind)
+    return [np.atleast_2d(x).astype(float) for x in flat.reshape(shape, order="F" if order else "C")]
+
+
+def read_arrays(spark: SparkSession, path: str, names=("doc_id", "tok")) -> DataFrame | None:
+    """Token rows (file, position as the first name, place as the second, vec) of ragged .npy caches; None if none is there.
+
+    path: a file or a pattern. A file is an array of one matrix an item, read through Spark in one task; a
+    corpus is as many files as it has tasks for.
+    """
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p):
+        return None
+    item, tok = names
+
+    def rows(batches):
+        for b in batches:
+            for file, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                for i, x in enumerate(_ragged(content.as_py())):
+                    if x.size:
+                        ends = pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32())
+                        yield pa.record_batch({"file": pa.array([file.rsplit("/", 1)[-1]] * len(x)), item: np.full(len(x), i), tok: np.arange(len(x), dtype=np.int32), "vec": pa.ListArray.from_arrays(ends, pa.array(x.ravel()))})
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    return files.mapInArrow(rows, f"file string, {item} long, {tok} int, vec array<double>")
+
+
+def array_files(tokens: DataFrame, items=1000, names=("doc_id", "tok")) -> DataFrame:
+    """file and content: token rows as ragged .npy caches of single precision, ``items`` consecutive ids a file, ordered by id."""
+    item, tok = names
+    packed = tokens.groupBy(item).agg(F.sort_array(F.collect_list(F.struct(tok, V.floats("vec").alias("vec")))).alias("toks"))
+    packed = packed.select(F.col(item).alias("item"), F.transform("toks", lambda t: t["vec"]).alias("toks")).withColumn("part", F.expr(f"item div {items}"))
+
+    def write(frame):
+        frame, out = frame.sort_values("item"), io.BytesIO()
+        arrays = np.empty(len(frame), object)
+        for i, x in enumerate(frame["toks"]):
+            arrays[i] = np.stack([np.asarray(v, np.float32) for v in x])
+        np.save(out, arrays, allow_pickle=True)
+        return pd.DataFrame({"file": [f"part-{frame['part'].iloc[0]:08d}.npy"], "content": [out.getvalue()]})
+
+    return packed.groupBy("part").applyInPandas(write, "file string, content binary")  # at most ``items`` items a group
+
+
 def read_or_encode(spark: SparkSession, path: str, ids: DataFrame, encode, id_col="doc_id") -> DataFrame:
     """The cached token table if it holds exactly these ids; else it is replaced by what encode(ids) gives."""
     cached = read_cache(spark, path, ids, id_col)
