@@ -206,12 +206,12 @@ def pruned_topk(packed: DataFrame, queries: DataFrame, k: int, steps: list[int],
     """qid, rank, doc_id, score of the exact k best, each query by its own order of dimensions.
 
     packed: pack_documents(). queries: qid, qtok, vec and, if they have one, order (array of dimensions,
-    one a query). A first pass scores all documents by the first step's dimensions and the k best of each batch in
-    full; the k-th best of these scores is a query's threshold, which all tasks of the second pass start from
-    (not with ``seeded`` off) and raise by their own k best. There documents are scanned step by step and dropped
-    once their upper bound is below the threshold, tokens once no query token can need them. Where at least
-    ``dense_from`` of a block is still wanted, the rest is scanned without bounds. Steps under ``warm_up`` have no
-    bound. Blocks return k rows a query.
+    one a query). A first search among one in SEED_SHARE documents gives every query a threshold, its k-th
+    best score there, which all tasks of the second start from (not with ``seeded`` off) and raise by their own k
+    best. Documents whose upper bound after a step is below the threshold are dropped; for queries with an order
+    of their own also tokens that no query token can need. Where at least ``dense_from`` of a block is still
+    wanted, the next step's bounds are taken, or after the last no bound. Steps under ``warm_up`` have no bound.
+    Tasks return k rows a query.
     """
     marks = [s for s in steps if s >= warm_up] or [steps[-1]]
     ordered = "order" in queries.columns
@@ -227,7 +227,7 @@ def pruned_topk(packed: DataFrame, queries: DataFrame, k: int, steps: list[int],
             continue
         shared, floors = spark.sparkContext.broadcast(asked), {}  # at most ``limit`` bytes
         if seeded and marks[0] < marks[-1]:
-            seeds = blocks.mapInArrow(_seed_scan(shared, k, marks[0]), columns)
+            seeds = blocks.where(F.pmod(F.xxhash64("doc_id"), F.lit(SEED_SHARE)) == 0).mapInArrow(_pruning_scan(shared, k, marks[-1:], dense_from, {}), columns)
             floors = {r.qid: r.tau for r in threshold(seeds, k).collect()}  # a number a query
         one = blocks.mapInArrow(_pruning_scan(shared, k, marks, dense_from, floors), columns)
         out = one if out is None else out.unionByName(one)
@@ -290,59 +290,83 @@ class _Best:
 
 
 class _Stored:
-    """All queries that scan dimensions as stored, as one matrix; and as one for bounds after ``mark`` dimensions.
+    """All queries that scan dimensions as stored, as one matrix; and as one for bounds after each mark.
 
-    The bound's matrices are of single precision and have the norm of the other dimensions as one more, so that
+    The bounds' matrices are of single precision and have the norm of the other dimensions as one more, so that
     one product gives partial products and their slack; ``error`` is what a query's sum may be off by, for
-    document tokens of norm one.
+    document tokens of norm one. ``level`` is the mark that bounds are taken at.
     """
 
-    def __init__(self, asked, mark, width):
-        self.queries = [i for i, (_, _, order) in enumerate(asked) if order is None]
-        self.matrix = np.concatenate([asked[i][1] for i in self.queries]) if self.queries else np.zeros((0, width))
+    def __init__(self, asked, marks):
+        self.queries = np.array([i for i, (_, _, order) in enumerate(asked) if order is None], np.int64)
+        self.matrix = np.concatenate([asked[i][1] for i in self.queries]) if len(self.queries) else np.zeros((0, marks[-1]))
         lengths = np.array([len(asked[i][1]) for i in self.queries], np.int64)
         self.ends = np.cumsum(lengths)
-        self.starts, self.mark = self.ends - lengths, mark
-        self.narrow = self.bounding(self.matrix, mark)
-        norms = np.linalg.norm(self.matrix, axis=1)
-        self.error = 1e-6 + 1e-5 * np.add.reduceat(norms, self.starts) if self.queries else norms
+        self.starts, self.marks, self.level, self.tried = self.ends - lengths, marks, 0, False
+        self.narrow = [bounding(self.matrix, mark) for mark in marks[:-1]]
+        self.error = 1e-6 + 1e-5 * np.add.reduceat(np.linalg.norm(self.matrix, axis=1), self.starts) if len(lengths) else lengths
 
-    @staticmethod
-    def bounding(vectors, mark):
-        return np.concatenate([vectors[:, :mark], np.linalg.norm(vectors[:, mark:], axis=1)[:, None]], axis=1).astype(np.float32)
+    def sums(self, matrix, flat, sizes):
+        """By query and document: the best products of the query's tokens with the document's, added up."""
+        out, cuts = np.empty((len(self.queries), len(sizes))), np.cumsum(sizes) - sizes
+        for docs, tokens in _blocks(sizes, max(1, SCAN_CELLS // len(matrix))):
+            best = np.maximum.reduceat(matrix @ flat[tokens].T, cuts[docs] - tokens.start, axis=1)
+            out[:, docs] = np.add.reduceat(best, self.starts, axis=0, dtype=np.float64)
+        return out
 
-    def sums(self, products, cuts):
-        """By query and document: the best products of the query's tokens, added up."""
-        return np.add.reduceat(np.maximum.reduceat(products, cuts, axis=1), self.starts, axis=0, dtype=np.float64)
 
+def bounding(vectors, mark):
+    """The first ``mark`` dimensions and the norm of the others, in single precision."""
+    return np.concatenate([vectors[:, :mark], np.linalg.norm(vectors[:, mark:], axis=1)[:, None]], axis=1).astype(np.float32)
 
-def _scan_stored(flat, ids, sizes, stored, best, marks, dense_from):
-    """A block of documents for all queries that scan dimensions as stored: one product for the first step.
 
-    After a block of which too much is wanted for the bound to pay, the bound is left out for one block, then
-    two, four and so on; that changes the work, never the result.
+def _score_some(q, flat, sizes, starts, docs):
+    """Full scores of some documents of a block."""
+    own = sizes[docs]
+    cuts = np.cumsum(own) - own
+    tokens = np.arange(own.sum()) + np.repeat(starts[docs] - cuts, own)
+    return np.maximum.reduceat(q @ flat[tokens].T, cuts, axis=1).sum(0)
+
+
+def _scan_stored(flat, ids, sizes, stored, best, k, dense_from):
+    """Documents for all queries that scan dimensions as stored.
+
+    Those with the k best bounds are scored in full, which gives a threshold; then all others whose bound
+    reaches it. Where too many do, the next mark's bounds are taken from here on, and after the last full scores.
     """
-    cuts, wanted = np.cumsum(sizes) - sizes, None
+    starts, last = np.cumsum(sizes) - sizes, len(stored.marks) - 1
+    error = stored.error * max(1.0, float(np.sqrt((flat * flat).sum(1).max())))
     floor = best.floor[stored.queries]
-    best.wait -= 1
-    if stored.mark < marks[-1] and best.wait < 0 and np.isfinite(floor).all():
-        narrow = stored.bounding(flat, stored.mark)
-        error = stored.error * max(1.0, float(np.sqrt((flat * flat).sum(1).max())))
-        wanted = stored.sums(stored.narrow @ narrow.T, cuts) >= (floor - error)[:, None]
+    if not stored.tried and np.isfinite(floor).all():  # a few documents tell at which mark bounds begin to pay
+        stored.tried = True
+        few, tokens = next(_blocks(sizes, PROBE_TOKENS))
+        while stored.level < last:
+            upper = stored.sums(stored.narrow[stored.level], bounding(flat[tokens], stored.marks[stored.level]), sizes[few])
+            if (upper >= (floor - error)[:, None]).mean() < dense_from:
+                break
+            stored.level += 1
+    while stored.level < last:
+        upper = stored.sums(stored.narrow[stored.level], bounding(flat, stored.marks[stored.level]), sizes)
+        n = min(k, len(ids))
+        top = np.argpartition(-upper, n - 1, axis=1)[:, :n]
+        seen = np.zeros(upper.shape, bool)
+        np.put_along_axis(seen, top, True, 1)
+        seeds = [_score_some(stored.matrix[a:z], flat, sizes, starts, docs) for a, z, docs in zip(stored.starts, stored.ends, top, strict=True)]
+        if n == k:
+            floor = np.maximum(best.floor[stored.queries], [np.round(x, 6).min() for x in seeds])
+        wanted = ~seen & (upper >= (floor - error)[:, None])
         if wanted.mean() >= dense_from:
-            best.wait, best.pause, wanted = best.pause, 2 * best.pause, None
-        else:
-            best.pause = 1
-    if wanted is None:
-        scores = stored.sums(stored.matrix @ flat.T, cuts)
-        may = scores >= floor[:, None] - 1e-6
-        for j in np.flatnonzero(may.any(1)):
-            best.add(stored.queries[j], ids[may[j]], scores[j][may[j]])
+            stored.level += 1
+            continue
+        for j, i in enumerate(stored.queries):
+            more = np.flatnonzero(wanted[j])
+            scores = _score_some(stored.matrix[stored.starts[j] : stored.ends[j]], flat, sizes, starts, more) if len(more) else np.zeros(0)
+            best.add(i, ids[np.concatenate([top[j], more])], np.concatenate([seeds[j], scores]))
         return
-    for j in np.flatnonzero(wanted.any(1)):
-        some = np.repeat(wanted[j], sizes)
-        found, scores = _scan_block(flat[some], sizes[wanted[j]], stored.matrix[stored.starts[j] : stored.ends[j]], None, floor[j], marks, dense_from)
-        best.add(stored.queries[j], ids[wanted[j]][found], scores)
+    scores = stored.sums(stored.matrix, flat, sizes)
+    may = scores >= best.floor[stored.queries][:, None] - 1e-6
+    for j in np.flatnonzero(may.any(1)):
+        best.add(stored.queries[j], ids[may[j]], scores[j][may[j]])
 
 
 def _documents(batches):
@@ -365,42 +389,19 @@ def _blocks(sizes, most):
         at = stop
 
 
-def _seed_scan(shared, k, mark):
-    """Each query's k best in full of those that are best, batch by batch, by their first ``mark`` dimensions."""
-
-    def scan(batches):
-        asked = shared.value
-        best = _Best(len(asked), k)
-        for ids, sizes, flat in _documents(batches):
-            stored = _Stored(asked, mark, flat.shape[1])
-            starts = np.cumsum(sizes) - sizes
-            partial = np.full((len(asked), len(ids)), -np.inf)
-            for docs, tokens in _blocks(sizes, max(1, SCAN_CELLS // len(stored.matrix))) if stored.queries else ():
-                products = stored.narrow[:, :mark] @ flat[tokens, :mark].astype(np.float32).T
-                partial[stored.queries, docs] = stored.sums(products, starts[docs] - tokens.start)
-            for i, (_, q, order) in enumerate(asked):
-                if order is not None:
-                    for docs, tokens in _blocks(sizes, SCAN_TOKENS):
-                        partial[i, docs] = np.maximum.reduceat(q[:, order[:mark]] @ flat[tokens][:, order[:mark]].T, starts[docs] - tokens.start, axis=1).sum(0)
-            n = min(k, len(ids))
-            for i, top in enumerate(np.argpartition(-partial, n - 1, axis=1)[:, :n]):
-                own = sizes[top]
-                cuts = np.cumsum(own) - own
-                tokens = np.arange(own.sum()) + np.repeat(starts[top] - cuts, own)
-                best.add(i, ids[top], np.maximum.reduceat(asked[i][1] @ flat[tokens].T, cuts, axis=1).sum(0))
-        yield from best.rows(asked)
-
-    return scan
+#: One document in so many, by hash, is searched first for thresholds; document tokens that stored queries scan at a
+#: time, and of which the first tell which bounds pay.
+SEED_SHARE, CHUNK_TOKENS, PROBE_TOKENS = 16, 1 << 16, 1 << 12
 
 
 def _pruning_scan(shared, k, marks, dense_from, floors):
     def scan(batches):
         asked = shared.value
         best = _Best(len(asked), k, np.array([floors.get(qid, -np.inf) for qid, _, _ in asked]))
-        stored = _Stored(asked, marks[0], marks[-1])
+        stored = _Stored(asked, marks)
         for ids, sizes, flat in _documents(batches):
-            for docs, tokens in _blocks(sizes, max(1, SCAN_CELLS // len(stored.matrix))) if stored.queries else ():
-                _scan_stored(flat[tokens], ids[docs], sizes[docs], stored, best, marks, dense_from)
+            for docs, tokens in _blocks(sizes, CHUNK_TOKENS) if len(stored.queries) else ():
+                _scan_stored(flat[tokens], ids[docs], sizes[docs], stored, best, k, dense_from)
             for docs, tokens in _blocks(sizes, SCAN_TOKENS) if len(stored.queries) < len(asked) else ():
                 for i, (_, q, order) in enumerate(asked):
                     if order is not None:
