@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions import vectors as V
+
 
 def _columns(long: DataFrame, keys: list[str], order: str, digits=6) -> DataFrame:
     """keys, dim and that dimension's values in order."""
-    cells = F.sort_array(F.collect_list(F.struct(order, F.round("x", digits).alias("x"))))
+    cells = F.sort_array(F.collect_list(F.struct(order, V.signed_round("x", digits).alias("x"))))
     return long.groupBy(*keys, "dim").agg(F.transform(cells, lambda c: c["x"]).alias("column"))
 
 

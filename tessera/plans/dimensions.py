@@ -126,7 +126,7 @@ def array_orders(spark, sf_dir):
     """Argsort and gather inside one array column."""
     _, queries = tables(spark, sf_dir)
     back = F.sequence(F.lit(63), F.lit(0), F.lit(-1))
-    return queries.select("qid", "qtok", V.argsort_desc("vec").alias("by_value"), F.transform(V.gather("vec", back), lambda x: F.round(x, 6)).alias("reversed"))
+    return queries.select("qid", "qtok", V.argsort_desc("vec").alias("by_value"), F.transform(V.gather("vec", back), lambda x: V.signed_round(x)).alias("reversed"))
 
 
 @query("SELECT vec_id // 64 AS block_id, dim::INT AS dim, list(round(embedding[dim + 1]::DOUBLE, 6) ORDER BY vec_id) AS \"column\" FROM embeddings, range(0, 64) t(dim) GROUP BY ALL")
@@ -146,7 +146,7 @@ def layout_per_doc(spark, sf_dir):
 def layout_dim_major(spark, sf_dir):
     """K4, DM6."""
     vectors = read(spark, sf_dir, "embeddings").select("vec_id", V.doubles("embedding").alias("vec"))
-    return layout.dimension_major(vectors).withColumn("x", F.round("x", 6))
+    return layout.dimension_major(vectors).withColumn("x", V.signed_round("x"))
 
 
 RHO = f"""WITH {views()}, {scores_sql('a', 'q.vec[1:32]', 'd.vec[1:32]')}, {scores_sql('b')},
