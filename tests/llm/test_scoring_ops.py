@@ -217,6 +217,54 @@ def test_frequent_contexts_and_partitions_leave_scores_whole(spark, monkeypatch)
     assert all(a[0] == b[0] and math.isclose(a[1], b[1], rel_tol=1e-12) for a, b in zip(got, again, strict=True))
 
 
+def scores(df, **more):
+    return {r.doc_id: (r.score, r.base_score, r.n_known) for r in hpy_lm.score_texts(df, F.col("doc_id") % 4 != 0, **more).collect()}
+
+
+def test_scores_hang_on_no_size(spark, monkeypatch):
+    """The bytes of text, rows outside the training set, tasks and divided contexts change where work is done, no score."""
+    df, _ = corpus(spark, 80, 5)
+    want = scores(df)
+    text = " ".join(f"{w} unseen{i}" for i, w in enumerate(WORDS)) + " w1 w7 unseen" * 550_000  # 7 MB, past BUCKET
+    more = scores(df.union(spark.createDataFrame([(1000, text)], df.schema)))
+    assert more.pop(1000)[0] < 0 and more == want
+    monkeypatch.setattr(hpy_lm, "BUCKET", 500)  # some thirty tasks, several readers
+    assert scores(df) == want
+    monkeypatch.setattr(hpy_lm, "ROOM", 20)  # contexts whose words lie in many tasks
+    assert scores(df) == want
+    assert scores(df, seed=12) != want
+
+
+def test_scores_are_those_of_one_model_in_one_place(spark, monkeypatch):
+    """Tasks, readers and divided contexts together give what all cells over one parent give."""
+    df, rows = corpus(spark, 80, 6)
+    pairs = {i: list(itertools.pairwise([None, *t.split(), None])) for i, t in rows}
+    cells = Counter(p for i, ps in pairs.items() if i % 4 for p in ps)
+    keys = sorted({p for ps in pairs.values() for p in ps}, key=str)
+    place = {w: k for k, w in enumerate(sorted({w for p in keys for w in p}, key=str))}
+    c, context, word = (np.array(x) for x in zip(*((cells[p], place[p[0]], place[p[1]]) for p in keys), strict=True))
+    n = np.bincount(word, c, len(place))
+    base, ones = (n + 1) / (n.sum() + np.count_nonzero(n) + 1), np.ones(len(place))
+    mean = dict(zip(keys, hpy_lm.predictive(c, context, word, base, ones < 0, (ones, ones), 20, 300, np.random.default_rng(0)), strict=True))
+    monkeypatch.setattr(hpy_lm, "ROOM", 20)
+    got = scores(df, buckets=12, samples=8)
+    off = [got[i][0] / sum(math.log10(mean[p]) for p in ps) - 1 for i, ps in pairs.items()]
+    print("largest", max(map(abs, off)), "mean", np.mean(np.abs(off)))
+    assert max(map(abs, off)) < 0.02 and np.mean(np.abs(off)) < 0.005
+
+
+def test_seating_hangs_on_the_cells_alone():
+    """Keyed draws: a cell's tables are the same whatever cells it is seated with, also by leaps."""
+    keys, c = np.arange(400), np.tile([1, 3, 40, 700], 100)
+    mass, table = np.linspace(0.1, 5, 400), hpy_lm.log_stirling(0.6)
+    whole = hpy_lm.seat(c, mass, 0.6, table, hpy_lm.Draws(keys, 1, 2))
+    part = np.random.default_rng(0).permutation(400)[:150]
+    assert (hpy_lm.seat(c[part], mass[part], 0.6, table, hpy_lm.Draws(keys[part], 1, 2)) == whole[part]).all()
+    assert (hpy_lm.seat(c, mass, 0.6, table, hpy_lm.Draws(keys, 1, 3)) != whole).any()
+    even = hpy_lm.Draws(np.arange(100_000), 5).random(100_000)
+    assert np.abs(np.histogram(even, 20, (0, 1))[0] / 5000 - 1).max() < 0.08 and abs(np.corrcoef(even[1:], even[:-1])[0, 1]) < 0.02
+
+
 def test_long_text_is_scored_whole(spark):
     text = "some words that come again " * 500_000  # 13.5 MB, over a slice
     got = hpy_lm.score_texts(spark.createDataFrame([(1, text), (2, "some words")], "doc_id long, text string"), F.lit(True)).collect()
